@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import media, simhash
+from barloom.llm import media, mixing, sharding, simhash, topk, warc
 from barloom.llm.util import table
 
 
@@ -15,14 +15,41 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.document_media(table(spark, sf_dir, "documents")))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.sample(table(spark, sf_dir, "documents"))
+    named = {name: F.col(f"mix_{name}") for name in mixing.DIMENSIONS}
+    return drawn.select(
+        "doc_id", *[column.alias(name) for name, column in named.items()], F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability")
+    )
+
+
+def op8_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.usable(table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op10_simhash)}
+    return {f.__name__: f for f in (op1_transport_stream, op5_extendible_shards, op6_raked_mixture, op8_block_pruned_top_k, op9_warc_revisits, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_extendible_shards": sharding.oracle(),
+        "op6_raked_mixture": mixing.oracle(),
+        "op8_block_pruned_top_k": topk.oracle(),
+        "op9_warc_revisits": warc.oracle(),
+    }
