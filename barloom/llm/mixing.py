@@ -12,8 +12,8 @@ ordered list of (name, substring) rules that a text satisfies.
 
 Defined cases: null source, language or topic is the category ''; categories without a target
 keep their own share; a null or empty text has no tokens, and a cell without tokens is kept
-whole; repeated rows have the same fate; an empty table gives an empty result; columns beside
-those named are carried by ``sample`` and don't matter to it.
+whole; repeated rows have the same fate; an empty table gives an empty result; other columns
+are carried by ``sample``, and those named like its results (``mix_...``) are replaced.
 """
 
 from __future__ import annotations
@@ -84,9 +84,9 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS,
     cells = marked.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).withColumnsRenamed(names)
     ratios = checkpointed(rake(checkpointed(cells.where("tokens > 0")), targets, passes).withColumn("ratio", F.col("weight") / F.col("tokens")))
     most = ratios.agg(F.max("ratio")).first()[0] or 1.0
-    chances = ratios.select(*[F.col(name).alias(column) for column, name in names.items()], (F.col("ratio") / F.lit(most)).alias("chance"))
-    found = marked.join(broadcast_up_to(chances, BROADCAST_CELLS), [*names], "left")
-    return found.withColumn("mix_probability", F.coalesce("chance", F.lit(1.0))).drop("chance")
+    chances = ratios.select(*[F.col(name).alias(column) for column, name in names.items()], (F.col("ratio") / F.lit(most)).alias("mix_probability"))
+    found = marked.drop("mix_probability").join(broadcast_up_to(chances, BROADCAST_CELLS), [*names], "left")
+    return found.withColumn("mix_probability", F.coalesce("mix_probability", F.lit(1.0)))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import media, mixing, sharding, simhash, topk, warc
+from barloom.llm import langid, media, mixing, pii, quality, sentencepieces, sharding, simhash, topk, warc
 from barloom.llm.util import table
 
 
@@ -15,6 +16,20 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.document_media(table(spark, sf_dir, "documents")))
 
 
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_piece_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.quality_scores(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").alias("predicted"))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
@@ -27,6 +42,11 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), pii.counted(F.col("pii_found")).alias("kinds"))
+
+
 def op8_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.usable(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(rows, rows.where("vec_id % 100 = 0"))
@@ -42,8 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+REGISTERED = (
+    op1_transport_stream, op2_cross_parsing, op3_piece_prefixes, op4_compression_quality, op5_extendible_shards,
+    op6_raked_mixture, op7_feistel_pseudonyms, op8_block_pruned_top_k, op9_warc_revisits, op10_simhash,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op5_extendible_shards, op6_raked_mixture, op8_block_pruned_top_k, op9_warc_revisits, op10_simhash)}
+    return {query.__name__: query for query in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:

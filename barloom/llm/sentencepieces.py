@@ -3,13 +3,15 @@
 For a merge-type (BPE) model the encoding of a text has one property that makes it linear: the
 last token of each prefix's encoding is unique, and it is the one token that ends there and is
 compatible with the last token of the prefix before it. Two tokens are compatible if merging
-the two of them alone gives exactly these two. The encoder walks a text once through an
-Aho-Corasick automaton of all pieces, stores for each prefix its last token (longest matches
-are tested first), and recovers the ids backwards from the end of the table.
+the two of them together gives exactly these two. The encoder walks a text once through an
+automaton of all pieces whose states hold the pieces that end there (longest first), stores
+for each prefix its last token, and recovers the ids backwards from the end of the table. The
+automaton's states and the pairs' compatibility are worked out as texts ask for them.
 
-No piece spans a blank that follows other text, so texts are cut before such blanks, and also
-around characters that only occur alone; the pieces' ids are remembered per cut, up to
-``REMEMBERED`` cuts, in each worker, as is the compatibility of pairs. Characters without a piece become byte tokens.
+No piece spans a blank that follows other text, so texts are cut before such blanks, and no
+piece holds anything but a letter after a letter, so a cut's trailing punctuation stands
+alone. Up to ``REMEMBERED`` cuts are remembered with their ids in each worker. Characters
+without a piece become byte tokens.
 
 Defined cases: null and empty texts give the end id alone and decode to ''; texts of any
 length take memory in proportion to one text; equal texts give equal results; an empty table
@@ -20,11 +22,11 @@ normalisation, a blank put in front and byte fallback; others are refused.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
@@ -35,10 +37,13 @@ from pyspark.sql import types as T
 from barloom.llm.util import fields
 
 BLANK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Longer cuts are not remembered.
+LONGEST = 64
 NORMAL, BYTE = 1, 6
-ID_BITS = 24
-UNMERGED = 1 << ID_BITS
+#: Where a token would be: before the first character, and for a character without a piece.
+START, NO_PIECE = -2, -1
+MATCHES, SEEN = 0, 1
 
 DIGEST = fields(n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
@@ -66,79 +71,139 @@ class PrefixEncoder:
         self.end = next(i for i, piece in enumerate(model.pieces) if piece.piece == "</s>")
         if any(BLANK in piece[1:] and piece.strip(BLANK) for piece in self.ids):
             raise ValueError("pieces that hold a blank after other characters are not supported")
-        # a token ends a prefix only if its own text encodes to itself
-        whole = [piece for piece in self.ids if len(piece) == 1 or self.merge(piece) == [self.ids[piece]]]
-        self.automaton = ahocorasick.Automaton()
-        for piece in whole:
-            self.automaton.add_word(piece, (len(piece), self.ids[piece]))
-        self.automaton.make_automaton()
-        joined = {char for piece in whole if len(piece) > 1 for char in piece}
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        self.cuts = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|[{alone}]")
-        self.remembered: dict[str, tuple[int, ...]] = {}
-        self.compatible: dict[int, bool] = {}
-
-    def merge(self, text: str) -> list[int] | None:
-        """The ids of a short text by merging its best-scored neighbours, leftmost first; None if a character has no piece."""
+        self.tails_alone = not any(a.isalpha() and not b.isalpha() for piece in self.ids for a, b in zip(piece, piece[1:], strict=False))
+        self.lines_alone = not any("\n" in piece for piece in self.ids if len(piece) > 1)
+        # a token ends a prefix only if its own text encodes to itself; with each, by left neighbour, whether the two fit
+        self.halves: dict[str, list[str]] = {}
+        self.whole: dict[str, tuple[int, int, dict[int, bool]]] = {}
+        for piece, token in self.ids.items():
+            if len(parts := self.parts(piece, 2)) <= 2:
+                self.halves[piece] = parts
+                self.whole[piece] = (len(piece), token, {START: True, NO_PIECE: True})
+        self.prefixes = {piece[:k] for piece in self.whole for k in range(1, len(piece) + 1)}
+        self.states: dict[str, dict] = {}
+        self.root = self.state("")
+        self.runs = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.remembered: dict[str, tuple[int, ...]] = {"": ()}
+
+    def parts(self, text: str, least: int = 1) -> list[str]:
+        """A short text's parts after merging best-scored neighbours, leftmost first, down to ``least`` parts."""
         rank, parts = self.rank, list(text)
-        pairs = [rank.get(a + b, UNMERGED) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (best := min(pairs)) != UNMERGED:
+        pairs = [rank.get(a + b, math.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while len(parts) > least and (best := min(pairs)) != math.inf:
             at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
             if at:
-                pairs[at - 1] = rank.get(parts[at - 1] + parts[at], UNMERGED)
+                pairs[at - 1] = rank.get(parts[at - 1] + parts[at], math.inf)
             if at < len(pairs):
-                pairs[at] = rank.get(parts[at] + parts[at + 1], UNMERGED)
-        return [self.ids[part] for part in parts] if all(part in self.ids for part in parts) else None
+                pairs[at] = rank.get(parts[at] + parts[at + 1], math.inf)
+        return parts
+
+    @lru_cache(maxsize=1 << 17)  # noqa: B019  one encoder lives as long as its worker
+    def edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """The parts at one side of a piece as it is merged, smallest first, each with the rank of the merge that ends it."""
+        out: list[tuple[str, float]] = [(piece, math.inf)]
+        while len(piece) > 1:
+            out.append((self.halves[piece][side], self.rank[piece]))
+            piece = out[-1][0]
+        return out[::-1]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether two neighbouring tokens stay as they are when their texts are merged together."""
-        if len(self.compatible) >= REMEMBERED:
-            self.compatible.clear()
-        known = self.compatible[left << ID_BITS | right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
-        return known
-
-    def prefix_table(self, text: str) -> list[tuple[int, int]]:
-        """For each prefix of ``text`` the length and id of its last token; id -1 stands for a character without a piece."""
-        last: list[tuple[int, int]] = [(1, -1)] * len(text)
-        known, done = self.compatible, -1
-        for at, match in self.automaton.iter(text):  # matches that end at one place come longest first
-            if at == done:
-                continue
-            length, token = match
-            if length <= at:
-                left = last[at - length][1]
-                if left >= 0:
-                    fit = known.get(left << ID_BITS | token)
-                    if not (self.fits(left, token) if fit is None else fit):
-                        continue
-            last[at], done = match, at
-        return last
+        """Whether two neighbouring tokens stay as they are when their texts are merged together.
+
+        Only a merge across their border could change them: it happens if its rank comes before
+        those of the merges that end the parts at the border (on equal ranks the leftmost is first).
+        """
+        ours, theirs, i, j = self.edge(self.pieces[left], 1), self.edge(self.pieces[right], 0), 0, 0
+        while True:
+            (a, ends_a), (b, ends_b) = ours[i], theirs[j]
+            across = self.rank.get(a + b, math.inf)
+            if across < ends_a and across <= ends_b and across != math.inf:
+                return False
+            if ends_a == ends_b == math.inf:
+                return True
+            if ends_a <= ends_b:
+                i += 1
+            else:
+                j += 1
+
+    def state(self, seen: str) -> dict:
+        """The automaton's state for the longest end of the text that begins a piece."""
+        if seen not in self.states:
+            ends = (seen[k:] for k in range(len(seen)))
+            self.states[seen] = {MATCHES: tuple(self.whole[end] for end in ends if end in self.whole), SEEN: seen}
+        return self.states[seen]
+
+    def step(self, state: dict, char: str) -> dict:
+        """The state after one more character; the automaton keeps it."""
+        seen = state[SEEN] + char
+        while seen and seen not in self.prefixes:
+            seen = seen[1:]
+        state[char] = self.state(seen)
+        return state[char]
+
+    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
+        """For each prefix of ``text``, the empty one included, the id of its last token and that token's length."""
+        tokens, lengths, state = [START], [0], self.root
+        for at, char in enumerate(text, 1):
+            try:
+                state = state[char]
+            except KeyError:
+                state = self.step(state, char)
+            for length, token, fit in state[MATCHES]:
+                left = tokens[at - length]
+                try:
+                    fitting = fit[left]
+                except KeyError:
+                    fitting = fit[left] = self.fits(left, token)
+                if fitting:
+                    break
+            else:
+                length, token = 1, NO_PIECE
+            tokens.append(token)
+            lengths.append(length)
+        return tokens, lengths
+
+    def recovered(self, text: str) -> tuple[int, ...]:
+        """The ids of one text, recovered backwards from its prefix table."""
+        tokens, lengths = self.prefix_table(text)
+        at, back = len(text), []
+        while at:
+            token = tokens[at]
+            back += [token] if token >= 0 else [self.bytes[b] for b in reversed(text[at - 1].encode())]
+            at -= lengths[at]
+        back.reverse()
+        return tuple(back)
 
     def cut_ids(self, cut: str) -> tuple[int, ...]:
-        """The ids of one cut, recovered backwards from its prefix table."""
-        last, at, back = self.prefix_table(cut), len(cut), []
-        while at:
-            length, token = last[at - 1]
-            back += [token] if token >= 0 else [self.bytes[b] for b in reversed(cut[at - 1].encode())]
-            at -= length
-        return tuple(reversed(back))
+        """The ids of one cut, which is remembered."""
+        ids = None
+        if self.tails_alone and not cut[-1].isalpha():
+            at = next((k for k in range(len(cut) - 1, 0, -1) if cut[k - 1].isalpha()), 0)
+            if at:
+                ids = tuple(i for part in (cut[:at], cut[at:]) for i in (self.remembered.get(part) or self.cut_ids(part)))
+        ids = ids or self.recovered(cut)
+        if len(cut) <= LONGEST:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered = {"": ()}
+            self.remembered[cut] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, without an end id."""
         if not text:
             return []
-        known, out = self.remembered, []
-        for cut in self.cuts.findall(BLANK + text.replace(" ", BLANK)):
-            ids = known.get(cut)
-            if ids is None:
-                ids = self.cut_ids(cut)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(cut) <= 64:
-                    known[cut] = ids
-            out += ids
+        blanks = BLANK + text.replace(" ", BLANK)
+        if BLANK + BLANK in blanks or "\0" in blanks:
+            cuts = self.runs.findall(blanks)
+        else:  # the same cuts by plain string operations, and line ends apart, which no piece joins to other characters
+            marked = blanks.replace(BLANK, "\0" + BLANK)
+            cuts = (marked.replace("\n", "\0\n\0") if self.lines_alone else marked).split("\0")
+        out: list[int] = []
+        for cut in cuts:
+            ids = self.remembered.get(cut)
+            out += self.cut_ids(cut) if ids is None else ids
         return out
 
 
@@ -182,11 +247,12 @@ def digests(model_file: str):
     @F.pandas_udf(DIGEST)
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, back = encoder(model_file), library(model_file)
+        named = [str(i) for i in range(len(own.pieces))]
         for batch in texts:
             rows = []
             for text in batch:
                 ids = [*own.encode(text or ""), own.end]
-                listed, decoded_text = " ".join(map(str, ids)), back.decode(ids)
+                listed, decoded_text = " ".join([named[i] for i in ids]), back.decode(ids)
                 rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded_text.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=DIGEST.names)
 

@@ -109,7 +109,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, the one of the smallest doc_id.
 
-    Rows without a doc_id can't be named and stay.
+    Rows that share a doc_id count as one document if any of them is kept. Rows without a doc_id
+    can't be named and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    own = F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("own")
+    decided = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(own, F.count("*").alias("rows")).where("own = 1")
+    decided = checkpointed(decided.select("doc_id", "rows"))
+    single = docs.join(decided.where("rows = 1"), "doc_id", "left_semi")
+    repeated = docs.join(decided.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -5,19 +5,49 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import mixing, pii, quality, sentencepieces, simhash
 from barloom.llm.util import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, doesn't reject."""
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels")).where("quality_kept = 1").select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs).select(docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms for personal data; ``n_chars`` follows the text."""
+    before = docs.withColumn("n_chars", F.col("n_chars") - F.length("text"))
+    made = pii.pseudonymised(before)
+    return made.withColumn("n_chars", F.col("n_chars") + F.length("text")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by their calibrated probabilities."""
+    return mixing.sample(docs).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids): the training rows."""
+    made = docs.select("doc_id", "lang", "source", sentencepieces.encoded(public_tokenizers.path(TOKENIZER))(F.col("text")).alias("ids"))
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_filter", quality_filter), ("near_dedup", near_dedup), ("pseudonyms", pseudonyms), ("mixture", mixture), ("tokens", tokens),
+]
 
 #: SQL expresses neither the classifier nor fingerprints nor tokens; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
