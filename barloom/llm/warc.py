@@ -33,6 +33,7 @@ RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -40,11 +41,10 @@ RECORDS = fields(page_id="long", record_type="string", payload_digest="string",
 
 
 def payload_digest(payload: Column) -> Column:
-    """Base32 of the SHA-1 of a string, from 40-bit pieces of its hexadecimal form."""
+    """Base32 of the SHA-1 of a string: its 40-bit pieces as numbers of base 32, in the alphabet of base32."""
     digest = F.sha1(payload.cast("binary"))
-    piece = lambda k: F.conv(F.substring(digest, 10 * k + 1, 10), 16, 10).cast("long")
-    letter = lambda k, shift: F.substring(F.lit(BASE32), (F.shiftright(piece(k), shift).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
-    return F.concat(*[letter(k, shift) for k in range(4) for shift in range(35, -1, -5)])
+    pieces = [F.lpad(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*pieces), DIGITS, BASE32)
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
