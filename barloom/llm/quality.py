@@ -14,7 +14,8 @@ texts are scored whole.
 Defined cases: rows with a null id or label teach nothing, and a document labelled both ways
 counts as label 0; a null text is scored like an empty one, whose features are 0; equal texts
 give equal scores; if either label is missing, every score is the labels' mean (0.5 if there are
-none); an empty table gives an empty result; other columns are ignored.
+none); an empty table gives an empty result; other columns are kept, and those named
+``quality_score`` or ``quality_kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -147,9 +148,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             rows = [shared.value.features((text or "").encode("utf-8", "surrogatepass")) for text in batch]
             yield pd.DataFrame(rows, columns=SCORES.names, dtype="float64")
 
-    found = docs.withColumn("quality_features", features(F.col(text)))
-    score = curve(F.col("quality_features.difference"), F.col("quality_features.ratio"))
-    return found.withColumn("quality_score", score).drop("quality_features").withColumn("quality_kept", (F.col("quality_score") >= THRESHOLD).cast("int"))
+    found = docs.withColumn("quality_score", features(F.col(text)))
+    scored = found.withColumn("quality_score", curve(F.col("quality_score.difference"), F.col("quality_score.ratio")))
+    return scored.withColumn("quality_kept", (F.col("quality_score") >= THRESHOLD).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
