@@ -1 +1 @@
-"""Price-bar research and training-data pipelines as PySpark plans."""
+"""Price bars, conditions, rules and strategies on Spark DataFrames."""

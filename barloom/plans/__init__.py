@@ -1 +1 @@
-
+"""The registered queries over the test tables, each with its SQL."""

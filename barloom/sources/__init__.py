@@ -1 +1 @@
-
+"""Tables, ticks and sinks."""

@@ -1 +1 @@
-
+"""Bars and indicators by Structured Streaming."""
