@@ -10,8 +10,8 @@ automaton's states and the pairs' compatibility are worked out as texts ask for
 
 No piece spans a blank that follows other text, so texts are cut before such blanks, and no
 piece holds anything but a letter after a letter, so a cut's trailing punctuation stands
-alone. Up to ``REMEMBERED`` cuts are remembered with their ids in each worker. Characters
-without a piece become byte tokens.
+alone. Up to ``REMEMBERED`` cuts with their ids, and as many pairs of tokens, are remembered in
+each worker. Characters without a piece become byte tokens.
 
 Defined cases: null and empty texts give the end id alone and decode to ''; texts of any
 length take memory in proportion to one text; equal texts give equal results; an empty table
@@ -37,12 +37,15 @@ from pyspark.sql import types as T
 from barloom.llm.util import fields
 
 BLANK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+#: Rows that a worker encodes before it hands their ids on.
+ROWS_AT_ONCE = 1000
 #: Longer cuts are not remembered.
 LONGEST = 64
 NORMAL, BYTE = 1, 6
 #: Where a token would be: before the first character, and for a character without a piece.
 START, NO_PIECE = -2, -1
+ANY_LEFT = {START: True, NO_PIECE: True}
 MATCHES, SEEN = 0, 1
 
 DIGEST = fields(n_tokens="long", ids_sha256="string", decoded_sha256="string")
@@ -79,12 +82,13 @@ class PrefixEncoder:
         for piece, token in self.ids.items():
             if len(parts := self.parts(piece, 2)) <= 2:
                 self.halves[piece] = parts
-                self.whole[piece] = (len(piece), token, {START: True, NO_PIECE: True})
+                self.whole[piece] = (len(piece), token, dict(ANY_LEFT))
         self.prefixes = {piece[:k] for piece in self.whole for k in range(1, len(piece) + 1)}
         self.states: dict[str, dict] = {}
         self.root = self.state("")
         self.runs = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.remembered: dict[str, tuple[int, ...]] = {"": ()}
+        self.pairs = 0
 
     def parts(self, text: str, least: int = 1) -> list[str]:
         """A short text's parts after merging best-scored neighbours, leftmost first, down to ``least`` parts."""
@@ -100,7 +104,7 @@ class PrefixEncoder:
                 pairs[at] = rank.get(parts[at] + parts[at + 1], math.inf)
         return parts
 
-    @lru_cache(maxsize=1 << 17)  # noqa: B019  one encoder lives as long as its worker
+    @lru_cache(maxsize=1 << 15)  # noqa: B019  one encoder lives as long as its worker
     def edge(self, piece: str, side: int) -> list[tuple[str, float]]:
         """The parts at one side of a piece as it is merged, smallest first, each with the rank of the merge that ends it."""
         out: list[tuple[str, float]] = [(piece, math.inf)]
@@ -157,6 +161,7 @@ class PrefixEncoder:
                     fitting = fit[left]
                 except KeyError:
                     fitting = fit[left] = self.fits(left, token)
+                    self.pairs += 1
                 if fitting:
                     break
             else:
@@ -167,6 +172,11 @@ class PrefixEncoder:
 
     def recovered(self, text: str) -> tuple[int, ...]:
         """The ids of one text, recovered backwards from its prefix table."""
+        if self.pairs >= REMEMBERED:
+            self.pairs = 0
+            for _, _, fit in self.whole.values():
+                fit.clear()
+                fit.update(ANY_LEFT)
         tokens, lengths = self.prefix_table(text)
         at, back = len(text), []
         while at:
@@ -224,7 +234,8 @@ def encoded(model_file: str):
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(model_file)
         for batch in texts:
-            yield batch.map(lambda text: np.array([*own.encode(text or ""), own.end], np.int32))
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                yield batch.iloc[at : at + ROWS_AT_ONCE].map(lambda text: np.array([*own.encode(text or ""), own.end], np.int32))
 
     return ids
 
