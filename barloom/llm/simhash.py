@@ -7,7 +7,8 @@ connected through links form a component named by its smallest doc_id.
 The index keeps each distinct fingerprint under its two 32-bit halves. Two fingerprints that
 differ in at most three bits differ in at most one bit in one half, so probing the ball of
 radius one around each half (33 keys) finds every link; the full distance is then verified in
-the join. Copies share a fingerprint and are folded before the join, so a group of copies
+the join. Where very many fingerprints share a half, the other half is looked up as well, in
+the same way by its quarters. Copies share a fingerprint and are folded before the join, so a group of copies
 costs one row however large it is.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; a text of
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.components import connected_components
-from barloom.llm.util import checkpointed
+from barloom.llm.util import broadcast_up_to, checkpointed
 
 RADIUS = 3
 SEED = 42
 SHINGLE = 3
-HALF = 32
+HALF, QUARTER = 32, 16
+#: Fingerprints with one half in common from which on their other halves are looked up too, and so many crowded halves are broadcast at most.
+CROWD, BROADCAST_KEYS = 1000, 50_000
 #: Shingles whose bits are counted at once; bounds the memory of a very long text.
 BLOCK = 1 << 16
 
@@ -74,21 +77,41 @@ def _keys(fp: Column) -> Column:
     return F.array(_half(fp, 0), _half(fp, 1).bitwiseOR(F.lit(1 << HALF)))
 
 
+def _ball(bits: int) -> Column:
+    """The differences of at most one bit among ``bits``."""
+    return F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(bits)])
+
+
+def _quarters(fp: Column, key: Column) -> Column:
+    """The two 16-bit parts of the half that ``key`` is not about, each with its number above it."""
+    other = F.when(F.shiftright(key, HALF) == 0, _half(fp, 1)).otherwise(_half(fp, 0))
+    return F.array(F.shiftright(other, QUARTER), other.bitwiseAND(F.lit((1 << QUARTER) - 1)).bitwiseOR(F.lit(1 << QUARTER)))
+
+
 def hamming_links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of fingerprints at distance RADIUS or less, each pair once.
 
-    ``fps`` holds distinct fingerprints in ``fp``. A pair that both halves would find comes
-    from the first half only.
+    ``fps`` holds distinct fingerprints in ``fp``. Where more than ``CROWD`` fingerprints share a
+    half, pairs are looked up by the other half too: it differs in three bits at most, so one of
+    its quarters in one at most. No key then meets all pairs of a crowd.
     """
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(HALF)])
-    table = fps.select(F.col("fp").alias("b"), F.explode(_keys(F.col("fp"))).alias("key"))
-    probe = fps.select(F.col("fp").alias("a"), F.explode(_keys(F.col("fp"))).alias("half")).select(
-        "a", F.explode(F.transform(ball, lambda mask: F.col("half").bitwiseXOR(mask))).alias("key")
-    )
+    fp = F.col("fp")
+    table = fps.select(fp.alias("b"), F.explode(_keys(fp)).alias("key"))
+    crowds = checkpointed(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"))
+    halves = fps.select(fp.alias("a"), F.explode(_keys(fp)).alias("half"))
+    probe = halves.select("a", F.explode(F.transform(_ball(HALF), lambda mask: F.col("half").bitwiseXOR(mask))).alias("key"))
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    found_once = (F.shiftright("key", HALF) == 0) | (F.bit_count(_half(differing, 0)) > 1)
-    verified = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= RADIUS) & found_once
-    return probe.join(table.withColumnRenamed("key", "indexed"), (F.col("key") == F.col("indexed")) & verified).select("a", "b")
+    verified = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= RADIUS)
+    if crowds.isEmpty():
+        found = probe.join(table, "key").where(verified)
+    else:
+        crowds = broadcast_up_to(crowds, BROADCAST_KEYS)
+        alone = probe.join(crowds, "key", "left_anti").join(table.join(crowds, "key", "left_anti"), "key").where(verified)
+        parts = table.join(crowds, "key", "left_semi").select("b", "key", F.explode(_quarters(F.col("b"), F.col("key"))).alias("quarter"))
+        asked = probe.join(crowds, "key", "left_semi").select("a", "key", F.explode(_quarters(F.col("a"), F.col("key"))).alias("quarter"))
+        asked = asked.select("a", "key", F.explode(F.transform(_ball(QUARTER), lambda mask: F.col("quarter").bitwiseXOR(mask))).alias("quarter"))
+        found = alone.select("a", "b").unionByName(asked.join(parts, ["key", "quarter"]).where(verified).select("a", "b"))
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from barloom.llm import components, simhash
@@ -44,7 +45,9 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert {row["doc_id"]: row["component_id"] for row in rows} == brute_components(prints)
 
 
-def test_links_against_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_links_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(5)
     prints: set[int] = {0, (1 << 64) - 1, 7}
     for _ in range(60):
