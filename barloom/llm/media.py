@@ -3,14 +3,16 @@
 ``to_transport_stream`` packs a payload into 188-byte packets: a program association table, a
 program map table and one private elementary stream whose access units carry presentation
 timestamps, a clock reference and, at every ``RANDOM_ACCESS``-th unit, the random-access
-flag. ``read_transport_stream`` parses the program tables (checking their CRCs), follows the
-continuity counter of every packet identifier, reassembles the elementary packets and returns
-the payload with an index of timestamps and random-access points.
+flag. ``read_transport_stream`` parses the program tables (checking their CRCs, over several
+packets if they are long), follows the continuity counter of every packet identifier,
+reassembles the elementary packets and returns the payload with an index of timestamps and
+random-access points. Units of several streams follow one another as they begin.
 
 Defined cases: a null payload column stays null and a null or empty text is one unit of
 blanks; bytes that are not a whole packet, or packets that do not start with the sync byte, are
 skipped and counted; a gap in a continuity counter is counted and the unit that it breaks is
-kept as far as it arrived; streams without program tables give an empty payload. Packets are
+kept as far as it arrived (announced discontinuities are no gaps); a packet sent twice is
+counted and read once; streams without program tables give an empty payload. Packets are
 read one after another, so memory is a small multiple of one value.
 """
 
@@ -94,24 +96,62 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tables(section: bytes) -> bytes | None:
-    """The body of a program table behind its pointer field, or None if it is broken."""
-    if not section or len(section) < 1 + section[0] + 3:
+def _sections(begun: bytes, data: bytes, start: bool) -> tuple[list[bytes], bytes]:
+    """The program tables that a packet completes, and the beginning of one that goes on in the next packet."""
+    done = []
+    if start:
+        pointer = data[0] if data else 0
+        if begun:
+            done, _ = _sections(begun, data[1 : 1 + pointer], False)
+        begun = data[1 + pointer :]
+    elif begun:
+        begun += data
+    while len(begun) >= 3 and begun[0] != 0xFF:
+        size = 3 + (int.from_bytes(begun[1:3], "big") & 0x0FFF)
+        if len(begun) < size:
+            return done, begun
+        done.append(begun[:size])
+        begun = begun[size:]
+    return done, b"" if begun[:1] == b"\xff" else begun
+
+
+def _body(section: bytes) -> bytes | None:
+    """What a program table holds, or None if it is broken."""
+    if len(section) < 12 or section_crc(section[:-4]) != int.from_bytes(section[-4:], "big"):
         return None
-    table = section[1 + section[0] :]
-    whole = table[: 3 + (int.from_bytes(table[1:3], "big") & 0x0FFF)]
-    if len(whole) < 12 or section_crc(whole[:-4]) != int.from_bytes(whole[-4:], "big"):
+    return section[8:-4]
+
+
+def _listed_streams(body: bytes) -> dict[int, int]:
+    """Stream types by packet identifier, from a program map table."""
+    found, place = {}, 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+    while place + 5 <= len(body):
+        kind, stream, info = struct.unpack_from(">BHH", body, place)
+        found[stream & 0x1FFF] = kind
+        place += 5 + (info & 0x0FFF)
+    return found
+
+
+def _unit(pes: bytes) -> tuple[int | None, bytes] | None:
+    """(timestamp, data) of a packet of an elementary stream; None if it is no such packet."""
+    if pes[:3] != b"\0\0\1" or len(pes) < 9:
         return None
-    return whole[8:-4]
+    size, pts = int.from_bytes(pes[4:6], "big"), None
+    if pes[7] & 0x80 and len(pes) >= 14:
+        high, mid, low = struct.unpack_from(">BHH", pes, 9)
+        pts = (high >> 1 & 7) << 30 | mid >> 1 << 15 | low >> 1
+    return pts, pes[9 + pes[8] : 6 + size if size else len(pes)]  # size 0: up to the next unit
 
 
 def demux(media: bytes) -> dict:
     """What ``read_transport_stream`` returns of one stream."""
     programs: dict[int, int] = {}
     streams: dict[int, int] = {}
-    last: dict[int, int] = {}
-    units: list[list] = []
-    packets = skipped = gaps = bad_tables = at = 0
+    last: dict[int, tuple[int, int]] = {}
+    begun: dict[int, bytes] = {}
+    units: dict[int, list[tuple[bool, list[bytes]]]] = {}
+    order: list[tuple[bool, list[bytes]]] = []
+    packets = skipped = gaps = repeated = bad_tables = at = 0
     while at < len(media):
         if media[at] != SYNC or at + PACKET > len(media):
             follow = media.find(SYNC, at + 1)
@@ -119,55 +159,54 @@ def demux(media: bytes) -> dict:
             skipped, at = skipped + step, at + step
             continue
         flags, counter = media[at + 3], media[at + 3] & 15
-        pid, start = (media[at + 1] & 0x1F) << 8 | media[at + 2], media[at + 1] & 0x40
+        pid, start = (media[at + 1] & 0x1F) << 8 | media[at + 2], bool(media[at + 1] & 0x40)
         body, field = at + 4, 0
         if flags & 0x20:
             field = media[at + 5] if media[at + 4] else 0
             body += 1 + media[at + 4]
-        data = media[body : at + PACKET] if flags & 0x10 else b""
-        packets, at = packets + 1, at + PACKET
-        if flags & 0x10:
-            gaps += pid in last and last[pid] + 1 & 15 != counter
-            last[pid] = counter
-        if pid == PAT_PID and start:
-            table = _tables(data)
-            bad_tables += table is None
-            programs |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", table or b"") if n}
-        elif pid in programs and start:
-            table = _tables(data)
-            bad_tables += table is None
-            place = 4 + (int.from_bytes(table[2:4], "big") & 0x0FFF) if table else 0
-            while table and place + 5 <= len(table):
-                kind, stream, info = struct.unpack_from(">BHH", table, place)
-                streams[stream & 0x1FFF] = kind
-                place += 5 + (info & 0x0FFF)
+        here, packets, at = at, packets + 1, at + PACKET
+        if not flags & 0x10:
+            continue
+        if pid in last:
+            before, place = last[pid]
+            if before == counter and media[place : place + PACKET] == media[here:at]:
+                repeated += 1  # a packet may be sent twice
+                continue
+            gaps += before + 1 & 15 != counter and not field & 0x80
+        last[pid] = counter, here
+        data = media[body:at]
+        if pid == PAT_PID or pid in programs:
+            done, begun[pid] = _sections(begun.get(pid, b""), data, start)
+            for table in map(_body, done):
+                if table is None:
+                    bad_tables += 1
+                elif pid == PAT_PID:
+                    programs |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", table[: len(table) // 4 * 4]) if n}
+                else:
+                    streams |= _listed_streams(table)
         elif pid in streams:
+            own = units.setdefault(pid, [])
             if start:
-                units.append([bool(field & 0x40), [data]])
-            elif units:
-                units[-1][1].append(data)
+                own.append((bool(field & 0x40), [data]))
+                order.append(own[-1])
+            elif own:
+                own[-1][1].append(data)
     payload, index, offset = [], [], 0
-    for random_access, parts in units:
-        pes = b"".join(parts)
-        if pes[:3] != b"\0\0\1" or len(pes) < 9:
-            continue
-        data = pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")]
-        pts = None
-        if pes[7] & 0x80:
-            high, mid, low = struct.unpack_from(">BHH", pes, 9)
-            pts = (high >> 1 & 7) << 30 | mid >> 1 << 15 | low >> 1
-        index.append((offset, pts, random_access))
-        offset += len(data)
-        payload.append(data)
+    for random_access, parts in order:
+        unit = _unit(b"".join(parts))
+        if unit is not None:
+            index.append((offset, unit[0], random_access))
+            payload.append(unit[1])
+            offset += len(unit[1])
     return {
         "payload": b"".join(payload), "packets": packets, "programs": len(programs), "streams": len(streams),
-        "skipped_bytes": skipped, "continuity_errors": gaps, "bad_tables": bad_tables, "units": index,
+        "skipped_bytes": skipped, "continuity_errors": gaps, "repeated_packets": repeated, "bad_tables": bad_tables, "units": index,
     }
 
 
 STREAM = fields(
     payload="binary", packets="long", programs="int", streams="int", skipped_bytes="long", continuity_errors="long",
-    bad_tables="long", units=T.ArrayType(fields(offset="long", pts="long", random_access="boolean")),
+    repeated_packets="long", bad_tables="long", units=T.ArrayType(fields(offset="long", pts="long", random_access="boolean")),
 )
 
 

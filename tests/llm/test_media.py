@@ -36,6 +36,29 @@ def test_broken_streams_are_counted():
     assert media.demux(b"")["payload"] == b""
 
 
+def test_repeated_packets_and_announced_gaps():
+    stream = media.mux(b"z" * 5000)
+    at = 3 * media.PACKET
+    twice = stream[: at + media.PACKET] + stream[at:]
+    found = media.demux(twice)
+    assert (found["repeated_packets"], found["continuity_errors"], found["payload"]) == (1, 0, b"z" * 5000)
+    announced = media._packet(media.ES_PID, 9, False, b"\x80", b"more")
+    assert media.demux(stream[:at] + announced)["continuity_errors"] == 0
+
+
+def test_long_tables_and_open_ended_units():
+    many = b"".join(media.struct.pack(">BHH", 6, 0xE000 | 0x200 + k, 0xF000) for k in range(60))
+    table = media._section(2, media.PROGRAM, media.struct.pack(">HH", 0xE100, 0xF000) + many)
+    first, rest = table[: media.PACKET - 4], table[media.PACKET - 4 :]
+    pes = b"\0\0\1" + bytes([media.STREAM_ID, 0, 0, 0x84, 0x80, 5]) + media._pts(77) + b"open"
+    stream = b"".join([
+        media._packet(media.PAT_PID, 0, True, b"", media._PAT), media._packet(media.PMT_PID, 0, True, b"", first), media._packet(media.PMT_PID, 1, False, b"", rest),
+        media._packet(0x205, 0, True, b"\x40", pes),
+    ])
+    found = media.demux(stream)
+    assert (found["streams"], found["bad_tables"], found["payload"], found["units"]) == (60, 0, b"open", [(0, 77, True)])
+
+
 def test_query_against_plain_python(spark, sf_dir):
     texts = {row["doc_id"]: row["text"] for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op1_transport_stream(spark, sf_dir).collect()
