@@ -49,7 +49,7 @@ CLASS_OF = {char: chars for chars in CLASSES for char in chars}
 PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w@]))
-  | (?P<secret>(?<![\w-])(?:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{8,512})
+  | (?P<secret>(?<![\w-])(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{8,512})
   | (?P<access_key>(?<!\w)A(?:KIA|SIA)[0-9A-Z]{16}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
@@ -61,7 +61,7 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 #: Every candidate holds one of these.
-HINT = re.compile(r"[0-9@]|[Pp]ass|pwd|secret|token|api")
+HINT = re.compile(r"[0-9@]|A[KS]IA|(?i:passw|pwd|secret|token|api)")
 
 FOUND = fields(text="string", found=T.ArrayType(fields(kind="string", start="long", end="long")))
 
