@@ -36,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.util import fields, hash_number, id_remainder
+from barloom.llm.util import broadcast_up_to, checkpointed, fields, hash_number, id_remainder
 
 SAMPLE_CHARS, TOTAL_CHARS = 24_000, 1_600_000
 #: Documents of a language's sample at most.
 SAMPLE_DOCS = 400
+#: So many sampled rows are broadcast at most.
+BROADCAST_ROWS = 50_000
 SEGMENT = 256
 #: Segments that are parsed side by side.
 ABREAST = 4096
@@ -197,10 +199,10 @@ def labelled_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = Window.partitionBy("lang").orderBy("order", "id")
     first = short.where("chars > 0").withColumn("row", F.row_number().over(chosen)).where(F.col("row") <= SAMPLE_DOCS)
     before = F.coalesce(F.sum("chars").over(chosen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "id", "order", "before")
+    wanted = checkpointed(first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "id", "order"))
     rows = (
         learning.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(wanted), ["id", "lang"])
+        .join(broadcast_up_to(wanted, BROADCAST_ROWS), ["id", "lang"])
         .collect()
     )
     samples: dict[str, list[str]] = {}
