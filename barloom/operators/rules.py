@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from barloom.functions.columns import column, ratio, series, upper_tail
 from barloom.operators.conditions import held, long_form
 from barloom.operators.numbering import row_numbers
+from barloom.sources.shared import checkpointed
 
 BAR = ["sym", "bar_ts"]
 
@@ -46,6 +47,38 @@ def pair_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return known.select("fwd", F.explode(pairs).alias("pair")).select("pair.*", "fwd").groupBy("c1", "c2").agg(*outcome())
 
 
+def combinations(conds: Column, longest: int) -> Column:
+    """All sets of 1 to ``longest`` elements of a sorted array, each as a sorted array."""
+    level = F.transform(conds, lambda c: F.array(c))
+    out = level
+    for _ in range(longest - 1):
+        grown = lambda items: F.transform(F.filter(conds, lambda c: c > F.element_at(items, -1)), lambda c: F.concat(items, F.array(c)))
+        level = F.flatten(F.transform(level, grown))
+        out = F.concat(out, level)
+    return out
+
+
+def combination_scores(df: DataFrame, names: Sequence[str], longest: int, *by: str) -> DataFrame:
+    """(items, by columns, n, wins, mean_fwd) of every set of up to ``longest`` conditions that hold on one bar."""
+    known = df.where("fwd is not null").select("fwd", *by, F.sort_array(held(names)).alias("conds"))
+    return known.select("fwd", *by, F.explode(combinations(F.col("conds"), longest)).alias("items")).groupBy("items", *by).agg(*outcome())
+
+
+def mined(df: DataFrame, names: Sequence[str], longest: int, least: int, q: float, base: float = 0.5) -> DataFrame:
+    """The mining loop for rules: enumerate, score on the earlier half, filter, score on the later half.
+
+    (items, train_n, train_wins, train_mean, z, p, rank, kept, tried, test_n, test_mean): sets of
+    conditions that held on ``least`` bars or more of each symbol's earlier half (``fold`` 1), with
+    what the Benjamini-Hochberg procedure at rate q says of them there and what came of them later.
+    """
+    scores = checkpointed(combination_scores(df, names, longest, "fold"))
+    train = scores.where("fold = 1").where(F.col("n") >= least)
+    train = train.select("items", F.col("n").alias("train_n"), F.col("wins").alias("train_wins"), F.col("mean_fwd").alias("train_mean"))
+    judged = false_discovery(train.withColumn("z", binomial_z("train_wins", "train_n", base)), q)
+    test = scores.where("fold = 2").select("items", F.col("n").alias("test_n"), F.col("mean_fwd").alias("test_mean"))
+    return judged.withColumn("tried", F.lit(train.count())).join(test, "items", "left").withColumn("test_n", F.coalesce("test_n", F.lit(0)))
+
+
 def itemsets(df: DataFrame, names: Sequence[str], longest: int, least: int, key: Sequence[str] = BAR) -> DataFrame:
     """(items, n): the sets of up to ``longest`` conditions that hold together on at least ``least`` bars.
 
@@ -126,6 +159,7 @@ def false_discovery(rules: DataFrame, q: float, z: str = "z") -> DataFrame:
 
     Ranks are taken within buckets of p, so no task sees all rules.
     """
+    rules = checkpointed(rules)
     scored = rules.withColumn("p", upper_tail(z)).withColumn("__all", F.lit(1))
     keys = [name for name, kind in rules.dtypes if not kind.startswith("map")]
     ranked = row_numbers(scored, ["__all"], ["p", *keys], F.floor(F.col("p") * 1000), "rank")

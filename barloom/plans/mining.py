@@ -139,6 +139,20 @@ def rule_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.false_discovery(scored, 0.3), "z", "p")
 
 
+@query(f"""{HOURS}, {CONDITIONS}, h AS (SELECT *, ntile(2) OVER ({SERIES}) AS fold FROM c), l AS (SELECT sym, bar_ts, fwd, fold, unnest({HELD}) AS cond FROM h WHERE fwd IS NOT NULL),
+i1 AS (SELECT sym, bar_ts, fwd, fold, [cond] AS items FROM l),
+i2 AS (SELECT i.sym, i.bar_ts, i.fwd, i.fold, list_append(items, cond) AS items FROM i1 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
+i3 AS (SELECT i.sym, i.bar_ts, i.fwd, i.fold, list_append(items, cond) AS items FROM i2 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
+s AS (SELECT array_to_string(items, '+') AS items, fold, count(*) AS n, count(*) FILTER (fwd > 0) AS wins, avg(fwd) AS mean_fwd FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3) GROUP BY ALL),
+z AS (SELECT *, (wins - n * 0.5) / nullif(sqrt(n * 0.5 * (1 - 0.5)), 0) AS z FROM s WHERE fold = 1 AND n >= {LEAST}), k AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS k FROM z),
+q AS (SELECT *, CASE WHEN z >= 0 THEN {TAIL} ELSE 1 - {TAIL} END AS p FROM k), r AS (SELECT *, row_number() OVER (ORDER BY p, string_split(items, '+'), n, wins, mean_fwd) AS rank, count(*) OVER () AS m FROM q)
+SELECT r.items, r.n AS train_n, r.wins AS train_wins, {shown(train_mean="r.mean_fwd")}, {shown("z", "p")}, rank, rank <= coalesce((SELECT max(rank) FROM r WHERE p <= rank * 0.3 / m), 0) AS kept,
+m AS tried, coalesce(t.n, 0) AS test_n, {shown(test_mean="t.mean_fwd")} FROM r LEFT JOIN s t ON t.items = r.items AND t.fold = 2""")
+def rule_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rules.mined(strategies.with_folds(conditioned(spark, sf_dir), 2), NAMES, 3, LEAST, 0.3)
+    return rounded(made.withColumns({"items": F.array_join("items", "+"), "tried": F.col("tried").cast("long")}))
+
+
 @query(f"{PAIRS} SELECT c1, c2, {OUTCOME} FROM p GROUP BY c1, c2 ORDER BY avg(fwd) DESC, c1, c2 LIMIT 5")
 def rule_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.top(rules.pair_scores(conditioned(spark, sf_dir), NAMES), 5, "mean_fwd", "c1", "c2"))

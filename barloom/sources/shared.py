@@ -1,10 +1,10 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and results kept in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isEmpty():
         context.setCheckpointDir(path)
     return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder, with its lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -123,6 +123,27 @@ def test_fp_growth_agrees(sets_and_bars):
             assert ours[key] == pytest.approx((row["confidence"], row["lift"]))
 
 
+def test_combination_scores_against_counting(sets_and_bars):
+    _, found = sets_and_bars
+    rows = [({name for name in NAMES if row[name]}, row["fwd"]) for row in found.collect() if row["fwd"] is not None]
+    made = {tuple(r["items"]): (r["n"], r["wins"]) for r in rules.combination_scores(found, NAMES, 3).collect()}
+    want = {}
+    for k in (1, 2, 3):
+        for c in itertools.combinations(sorted(NAMES), k):
+            fwd = [f for held, f in rows if set(c) <= held]
+            if fwd:
+                want[c] = (len(fwd), sum(f > 0 for f in fwd))
+    assert made == want
+
+
+def test_mining_scores_the_earlier_half_only(sets_and_bars):
+    _, found = sets_and_bars
+    halves = strategies.with_folds(found, 2)
+    later = halves.withColumn("fwd", F.when(F.col("fold") == 1, F.col("fwd")).otherwise(-F.col("fwd")))
+    pick = lambda df: sorted((tuple(r["items"]), r["train_n"], r["z"], r["rank"], r["kept"]) for r in rules.mined(df, NAMES, 2, 3, 0.3).collect())
+    assert pick(halves) == pick(later) != []
+
+
 def test_pruning_by_hand(spark):
     df = spark.createDataFrame([(["a"], "z", 0.5), (["a", "b"], "z", 0.5), (["a", "c"], "z", 0.6), (["b", "c"], "z", 0.1), (["c"], "y", 0.9)], "antecedent array<string>, consequent string, confidence double")
     assert sorted((tuple(r["antecedent"]), r["consequent"]) for r in rules.pruned(df).collect()) == [(("a",), "z"), (("a", "c"), "z"), (("b", "c"), "z"), (("c",), "y")]
