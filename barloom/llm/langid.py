@@ -36,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.util import broadcast_up_to, checkpointed, fields, hash_number, id_remainder
+from barloom.llm.util import broadcast_up_to, fields, hash_number, id_remainder
+from barloom.sources.shared import checkpointed
 
 SAMPLE_CHARS, TOTAL_CHARS = 24_000, 1_600_000
 #: Documents of a language's sample at most.

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.util import broadcast_up_to, checkpointed, hash_number
+from barloom.llm.util import broadcast_up_to, hash_number
+from barloom.sources.shared import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}

@@ -22,7 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.util import broadcast_up_to, checkpointed, hash_number
+from barloom.llm.util import broadcast_up_to, hash_number
+from barloom.sources.shared import checkpointed
 
 HASH_BITS = 60
 LIMIT = 4 << 20

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.components import connected_components
-from barloom.llm.util import broadcast_up_to, checkpointed
+from barloom.llm.util import broadcast_up_to
+from barloom.sources.shared import checkpointed
 
 RADIUS = 3
 SEED = 42

@@ -6,19 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.sources.shared import shared_dir
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.util import checkpointed, fields
-from barloom.sources.shared import shared_dir
+from barloom.llm.util import fields
+from barloom.sources.shared import checkpointed, shared_dir
 
 RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
