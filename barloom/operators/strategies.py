@@ -18,6 +18,8 @@ from barloom.operators.conditions import holds
 
 #: What is left at least after a bar: a loss of everything counts as one down to this share.
 LEAST_LEFT = 1e-9
+#: From so many pairs on, a grid is dealt by symbol and pair, so that one symbol's pairs run side by side.
+DEAL_FROM = 16
 
 
 def signal(entry: Column, leave: Column) -> Column:
@@ -80,14 +82,16 @@ def crossover_grid(df: DataFrame, fast: Sequence[int], slow: Sequence[int], valu
     """``df`` once for each pair fast < slow, with ``fast``, ``slow`` and their averages ``fast_avg`` and ``slow_avg``.
 
     Each look-back is computed once, however many pairs use it, and the pairs come out of an
-    array on the bar: there is no join of bars with strategies.
+    array on the bar: there is no join of bars with strategies. A small grid stays where the
+    averages were computed, which saves a shuffle; a large one is dealt anew.
     """
     lengths = sorted({*fast, *slow})
     averaged = df.withColumns({f"__avg{n}": full(F.avg(value).over(last_rows(n)), n) for n in lengths})
     pairs = [F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(f"__avg{f}").alias("fast_avg"), F.col(f"__avg{s}").alias("slow_avg")) for f in fast for s in slow if f < s]
     if not pairs:
         raise ValueError("no fast look-back is shorter than a slow one")
-    return averaged.select(*df.columns, F.explode(F.array(*pairs)).alias("__pair")).select(*df.columns, "__pair.*")
+    grid = averaged.select(*df.columns, F.explode(F.array(*pairs)).alias("__pair")).select(*df.columns, "__pair.*")
+    return grid.repartition("sym", "fast", "slow") if len(pairs) >= DEAL_FROM else grid
 
 
 def crossover_backtest(df: DataFrame, fast: Sequence[int], slow: Sequence[int], bps: float = 0.0) -> DataFrame:

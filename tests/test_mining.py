@@ -197,6 +197,15 @@ def test_walk_forward_trains_only_on_the_past(spark, sf_dir):
         strategies.crossover_grid(base, [5], [5])
 
 
+def test_dealing_a_grid_changes_nothing(spark, sf_dir, monkeypatch):
+    base = conditioned(spark, sf_dir).select("sym", "bar_ts", "open", "high", "low", "close", "volume", "ticks")
+    found = []
+    for least in (1, 100):
+        monkeypatch.setattr(strategies, "DEAL_FROM", least)
+        found.append(sorted(map(repr, strategies.crossover_backtest(base, [2, 3], [4, 6]).select("sym", "bar_ts", "fast", "slow", "pos", "pnl").collect())))
+    assert found[0] == found[1]
+
+
 def test_portfolio_and_excess(spark, sf_dir):
     placed = strategy(spark, sf_dir)
     total = placed.agg(F.sum("pnl")).first()[0]
