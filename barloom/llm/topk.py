@@ -2,8 +2,8 @@
 
 Vectors become integers floor(SCALE * x). Candidates are ordered by a locality key (the signs
 of fixed pseudo-random projections) and cut into blocks of consecutive rows; a block is a
-forward index: its ids and its dense integer matrix, with each term's maximum and minimum over
-the block. For a query a block can score at most the sum over terms of weight times maximum
+forward index: its ids and its dense integer matrix (in the smallest integers that hold it), from which
+each term's maximum and minimum over the block are taken. For a query a block can score at most the sum over terms of weight times maximum
 (minimum for negative weights). A query visits blocks in falling order of that bound and stops
 at the first block whose bound is below its k-th score, so no result is ever missed.
 
@@ -13,7 +13,8 @@ group with one slice and keeps k rows per query, and a last window merges the sl
 Defined cases: a vector that is null or has a null or non-finite component, or a row without
 an id, takes no part; a shorter vector counts as filled up with zeros; equal scores rank by
 smaller id; a repeated query id is asked once; repeated candidate rows each count; a query has
-fewer than k rows if there are fewer candidates; an empty table gives an empty result.
+fewer than k rows if there are fewer candidates; scores that don't fit 64 bits are refused
+with an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ PROJECTIONS = 16
 #: Doubles hold every integer up to this exactly.
 EXACT = float(1 << 53)
 
-PACKED = fields(block="long", ids="binary", matrix="binary")
+PACKED = fields(block="long", ids="binary", matrix="binary", size="int")
 HITS = fields(query_id="long", vec_id="long", score="long")
 
 
@@ -72,14 +73,20 @@ def _dense(vectors: pd.Series) -> np.ndarray:
     return out
 
 
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The matrix in the smallest integers that hold it, which is what is shuffled."""
+    reach = (matrix.min(initial=0), matrix.max(initial=0))
+    return matrix.astype(next(kind for kind in (np.int16, np.int32, np.int64) if np.iinfo(kind).min <= reach[0] and reach[1] <= np.iinfo(kind).max))
+
+
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Consecutive rows as blocks, each numbered by its first id."""
     for batch in batches:
         made = []
         for at in range(0, len(batch), BLOCK):
             part = batch.iloc[at : at + BLOCK]
-            ids = part["vec_id"].to_numpy(np.int64)
-            made.append((int(ids[0]), ids.tobytes(), _dense(part["vector"]).tobytes()))
+            ids, dense = part["vec_id"].to_numpy(np.int64), _narrow(_dense(part["vector"]))
+            made.append((int(ids[0]), ids.tobytes(), dense.tobytes(), dense.itemsize))
         yield pd.DataFrame(made, columns=PACKED.names)
 
 
@@ -92,8 +99,8 @@ def packed(rows: DataFrame) -> DataFrame:
 
 def _unpack(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [
-        (ids := np.frombuffer(i, np.int64), np.frombuffer(m, np.int64).reshape(len(ids), -1))
-        for i, m in zip(frame["ids"], frame["matrix"], strict=True)
+        (ids := np.frombuffer(i, np.int64), np.frombuffer(m, f"i{size}").reshape(len(ids), -1).astype(np.int64))
+        for i, m, size in zip(frame["ids"], frame["matrix"], frame["size"], strict=True)
     ]
 
 
@@ -147,7 +154,8 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, top: int = TOP) -> Da
     """
     blocks = checkpointed(packed(candidates))
     groups = checkpointed(packed(queries.dropDuplicates(["vec_id"])))
-    shape = F.count("block").alias("blocks"), F.coalesce(F.max(F.octet_length("matrix")), F.lit(1)).alias("bytes")
+    widened = (F.octet_length("matrix") * F.lit(8) / F.col("size")).cast("long")
+    shape = F.count("block").alias("blocks"), F.coalesce(F.max(widened), F.lit(1)).alias("bytes")
     (n_blocks, block_bytes), (n_groups, group_bytes) = blocks.agg(*shape).first(), groups.agg(*shape).first()
     slices = max(1, -(-n_blocks * block_bytes // SLICE_BYTES))
     parts = max(1, -(-n_groups * group_bytes // GROUP_BYTES))

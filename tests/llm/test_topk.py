@@ -36,6 +36,12 @@ def test_against_all_pairs(spark, monkeypatch, block, slice_bytes, group_bytes):
     assert grouped(topk.exact_top_k(usable, usable.where("vec_id % 100 = 0"))) == brute(rows, 10)
 
 
+def test_large_components(spark):
+    rows = [(0, [3.0e4, 1.0]), (1, [3.0e4, -5.0e7]), (2, [-1.0, 2.0e9]), (3, [0.0, 0.0])]
+    usable = topk.usable(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA))
+    assert grouped(topk.exact_top_k(usable, usable.where("vec_id % 100 = 0"))) == brute(rows, 10)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, nan]), (200, None), (300, [inf, 0.0]), (None, [1.0, 1.0]), (1, [1.0, None]), (2, [0.5]), (3, [0.5, 9.0]), (400, [1.0, 0.0])]
