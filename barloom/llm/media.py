@@ -35,6 +35,8 @@ PACKET, SYNC = 188, 0x47
 UNIT = 192
 #: Payload bytes of an access unit, 90 kHz ticks from one unit to the next, units between random-access points.
 ACCESS_UNIT, TICKS, RANDOM_ACCESS = 16 * UNIT, 3600, 8
+#: Streams that a worker makes before it hands them on.
+ROWS_AT_ONCE = 500
 PAT_PID, PMT_PID, ES_PID = 0x0000, 0x1000, 0x0100
 PROGRAM, STREAM_TYPE, STREAM_ID = 1, 0x06, 0xBD
 
@@ -233,8 +235,9 @@ def _padded(text: str | None) -> tuple[int, bytes]:
 def text_media(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Each whole text as media: its UTF-8 bytes, blank-filled to a positive multiple of UNIT, as a stream."""
     for batch in texts:
-        made = [_padded(text) for text in batch]
-        yield pd.DataFrame({"n_bytes": [n for n, _ in made], "media": [mux(payload) for _, payload in made]})
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            made = [(n, mux(payload)) for n, payload in map(_padded, batch.iloc[at : at + ROWS_AT_ONCE])]
+            yield pd.DataFrame(made, columns=["n_bytes", "media"])
 
 
 DIGEST = fields(
