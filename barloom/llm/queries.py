@@ -9,23 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import langid, media, mixing, pii, quality, sentencepieces, sharding, simhash, topk, warc
-from barloom.llm.util import table
+from barloom.llm.util import dealt_table, table
 
 
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.document_media(table(spark, sf_dir, "documents")))
+    return media.media_features(media.document_media(dealt_table(spark, sf_dir, "documents")))
 
 
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(dealt_table(spark, sf_dir, "documents"))
 
 
 def op3_piece_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepieces.token_digests(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = dealt_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.quality_scores(docs.select("doc_id", "text"), labels)
     return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").alias("predicted"))
 
@@ -43,7 +43,7 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymised(dealt_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), pii.counted(F.col("pii_found")).alias("kinds"))
 
 
@@ -58,7 +58,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    groups = simhash.near_duplicates(dealt_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
