@@ -3,8 +3,15 @@
 Tokens are summed per (source, language, topic) cell. Raking scales the cells' weights to the
 target share of each source, then of each language, then of each topic, ``PASSES`` times over;
 every step is a window over the cells, so the table of cells may itself be distributed. A
-document's probability is its cell's raked weight over the cell's tokens, scaled so that the
-largest is 1: expected tokens then have the raked shares. Its own hash of the id decides.
+document's probability is its cell's raked weight over the cell's tokens; its own hash of the id
+decides.
+
+Without a ``rate`` the largest probability is 1: expected tokens have the raked shares, but one
+small cell sets the scale of all. With one, at least that share of all tokens is expected to stay:
+where the scale of the largest would keep less, weights are raked to that budget instead, no cell
+beyond its own tokens, until every category is within ``TOLERANCE`` of its target. A category whose
+target is more than it has is kept whole and the others of its kind share the rest. Targets that
+aren't met are logged (``missed`` lists them).
 
 Targets come as DataFrames (category, share), or as a power to which observed shares are
 raised and renormalised (below 1: large categories are damped). Topics are the first of an
@@ -18,6 +25,9 @@ are carried by ``sample``, and those named like its results (``mix_...``) are re
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +38,10 @@ from barloom.sources.shared import checkpointed
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 PASSES = 8
+#: The share of all tokens that is expected to stay at least.
+RATE = 0.5
+#: Raking to a budget stops at this relative error of every category, or after so many rounds of passes.
+TOLERANCE, ROUNDS = 1e-3, 12
 SEED = "mix-1"
 #: A table of so many cells is broadcast at most.
 BROADCAST_CELLS = 20_000
@@ -58,8 +72,8 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame | float], passes: int = PASSES) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens > 0) with ``weight``, the raked share of all tokens."""
+def _aimed(cells: DataFrame, targets: dict[str, DataFrame | float]) -> DataFrame:
+    """``cells`` with ``weight``, their share of all tokens, and the target share of each dimension's category."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     weighted = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for name in DIMENSIONS:
@@ -70,34 +84,103 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame | float], passes: int =
             goal = goal.select(name, F.pow("own", F.lit(float(aim))).alias("goal"))
         whole = goal.agg(F.sum("goal")).first()[0] or 1.0
         weighted = weighted.join(goal.select(name, (F.col("goal") / F.lit(whole)).alias(f"goal_{name}")), name)
-    weighted = checkpointed(weighted)
+    return checkpointed(weighted)
+
+
+def _raked(weighted: DataFrame, passes: int, budget: float | None = None) -> DataFrame:
+    """``weight`` after so many passes: shares, or with a ``budget`` tokens of which no cell gives more than it has."""
     for _ in range(passes):
         for name in DIMENSIONS:
             here = F.sum("weight").over(Window.partitionBy(name))
-            weighted = weighted.withColumn("weight", F.col("weight") * F.col(f"goal_{name}") / here)
-    return weighted.select(*DIMENSIONS, "tokens", "weight")
+            if budget is None:
+                weight = F.col("weight") * F.col(f"goal_{name}") / here
+            else:
+                weight = F.when(here > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"goal_{name}") * F.lit(budget) / here)).otherwise(F.lit(0.0))
+            weighted = weighted.withColumn("weight", weight)
+    return weighted
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, text: str = "text") -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame | float], passes: int = PASSES) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens > 0) with ``weight``, the raked share of all tokens."""
+    return _raked(_aimed(cells, targets), passes).select(*DIMENSIONS, "tokens", "weight")
+
+
+def missed(weighted: DataFrame, budget: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """(dimension, category, goal, reached): categories whose expected tokens aren't their share of the budget."""
+    sums = [
+        weighted.groupBy(F.lit(name).alias("dimension"), F.col(name).alias("category")).agg(
+            (F.first(f"goal_{name}") * F.lit(budget)).alias("goal"), F.sum(F.col("weight").cast("double")).alias("reached")
+        )
+        for name in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionAll, sums).where(F.abs(F.col("reached") - F.col("goal")) > F.col("goal") * F.lit(tolerance))
+
+
+def _gathered(cells: DataFrame) -> DataFrame:
+    """A table of few cells as one partition, whose windows need no shuffle."""
+    return cells.coalesce(1) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
+
+
+def _affordable(weighted: DataFrame, budget: float) -> DataFrame:
+    """``weighted`` with each dimension's shares of the budget such that no category's is more than it has; the others share the rest."""
+    for name in DIMENSIONS:
+        kinds = checkpointed(weighted.groupBy(name).agg(F.first(f"goal_{name}").alias("goal"), F.sum("tokens").cast("double").alias("own")))
+        scale, whole = budget, -1
+        while True:
+            poor = F.col("own") <= F.col("goal") * F.lit(scale)
+            count, spent, rest = kinds.agg(F.count(F.when(poor, 1)), F.sum(F.when(poor, F.col("own"))), F.sum(F.when(~poor, F.col("goal")))).first()
+            if count == whole or not rest:
+                break
+            whole, scale = count, (budget - (spent or 0.0)) / rest
+        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
+        weighted = weighted.withColumn(f"goal_{name}", F.least(own, F.col(f"goal_{name}") * F.lit(scale)) / F.lit(budget))
+    return weighted
+
+
+def _within(weighted: DataFrame, budget: float, passes: int) -> DataFrame:
+    """Shares ``weight`` raked to tokens of ``budget`` until all targets are met that can be."""
+    _logged(missed(weighted.withColumn("weight", F.col("tokens")), budget).where("reached < goal"), "can't reach its target")
+    within = _affordable(weighted, budget).withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(budget)))
+    for _ in range(ROUNDS):
+        within = checkpointed(_raked(_gathered(within), passes, budget))
+        if missed(within, budget).isEmpty():
+            return within
+    _logged(missed(within, budget), "is not at its target")
+    return within
+
+
+def _logged(rows: DataFrame, what: str) -> None:
+    for row in rows.orderBy(F.desc(F.abs(F.col("reached") - F.col("goal")))).limit(20).collect():
+        logging.getLogger(__name__).warning("mixing: %s %r %s: %.0f of %.0f tokens", row["dimension"], row["category"], what, row["reached"], row["goal"])
+
+
+def calibrated(
+    docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, text: str = "text", rate: float | None = RATE
+) -> DataFrame:
     """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens and ``mix_probability``."""
     marked = described(docs, text)
     names = {f"mix_{name}": name for name in DIMENSIONS}
     cells = marked.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).withColumnsRenamed(names)
-    ratios = checkpointed(rake(checkpointed(cells.where("tokens > 0")), targets, passes).withColumn("ratio", F.col("weight") / F.col("tokens")))
-    most = ratios.agg(F.max("ratio")).first()[0] or 1.0
-    chances = ratios.select(*[F.col(name).alias(column) for column, name in names.items()], (F.col("ratio") / F.lit(most)).alias("mix_probability"))
+    raked = checkpointed(_raked(_gathered(_aimed(checkpointed(cells.where("tokens > 0")), targets)), passes))
+    most, total = raked.agg(F.max(F.col("weight") / F.col("tokens")), F.sum("tokens")).first()
+    chance = F.col("weight") / F.col("tokens") / F.lit(most or 1.0)
+    if rate is not None and total and 1 / most < rate * total:
+        raked, chance = _within(raked, rate * total, passes), F.col("weight") / F.col("tokens")
+    chances = raked.select(*[F.col(name).alias(column) for column, name in names.items()], chance.alias("mix_probability"))
     found = marked.drop("mix_probability").join(broadcast_up_to(chances, BROADCAST_CELLS), [*names], "left")
     return found.withColumn("mix_probability", F.coalesce("mix_probability", F.lit(1.0)))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sample(
+    docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text", rate: float | None = RATE
+) -> DataFrame:
     """The rows of ``calibrated`` whose hash falls below their probability."""
     salted = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return calibrated(docs, targets, passes, text).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col("mix_probability"))
+    return calibrated(docs, targets, passes, text, rate).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col("mix_probability"))
 
 
 def oracle() -> str:
-    """DuckDB SQL of ``sample`` over documents with the default targets."""
+    """DuckDB SQL of ``sample`` over documents with the default targets and no rate."""
     cases = " ".join(f"WHEN contains(text, '{part}') THEN '{name}'" for name, part in TOPICS)
     goals = "".join(
         f", g_{n} AS (SELECT {n}, pow(own, {POWERS[n]}) / sum(pow(own, {POWERS[n]})) OVER () AS goal FROM "

@@ -32,3 +32,20 @@ def test_odd_documents(odd_documents, no_documents):
     assert rows[3]["mix_source"] == "" and rows[3]["mix_tokens"] == 0 and rows[2]["mix_tokens"] == 0
     assert all(0 < row["mix_probability"] <= 1 for row in rows.values())
     assert mixing.sample(odd_documents).columns and mixing.sample(no_documents).collect() == []
+
+
+def test_a_tiny_cell_does_not_set_the_scale(spark):
+    rows = [(k, "some words of a text " * (1 + k % 3), ("en", "de", "fr")[k % 3], f"src{k % 2}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = docs.agg(F.sum(mixing.token_count())).first()[0]
+    share = lambda made: made.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()[0] / whole
+    before = {row["doc_id"]: row["mix_probability"] for row in mixing.calibrated(docs).collect()}
+    rare = docs.unionByName(spark.createDataFrame([(10_000, "ten words", "xx", "rare")], docs.schema))
+    made = mixing.calibrated(rare).cache()
+    after = {row["doc_id"]: row["mix_probability"] for row in made.collect()}
+    assert after.pop(10_000) == 1 and max(after.values()) <= 1
+    assert share(made) >= mixing.RATE * 0.99 > share(mixing.calibrated(rare, rate=None))
+    langs = lambda made: {r[0]: r[1] for r in made.where("mix_lang != 'xx'").groupBy("mix_lang").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).collect()}
+    old, new = langs(mixing.calibrated(docs)), langs(made)
+    assert set(before) == set(after)
+    assert all(new[k] / sum(new.values()) == pytest.approx(old[k] / sum(old.values()), rel=0.02) for k in old)
