@@ -15,7 +15,7 @@ the same notation;
 e-mail names, passwords, tokens and access key ids keep the class of each character.
 
 Defined cases: a null text stays null and has nothing found; a text without candidates is
-unchanged; candidates that fail validation are left alone; equal texts give equal results;
+unchanged; candidates that fail validation are left alone, and what begins inside them is looked at; equal texts give equal results;
 whole texts of any length are read once; an empty table gives an empty result; other columns
 are kept by ``pseudonymised``, and a column named like its results is replaced.
 """
@@ -44,16 +44,41 @@ SSN_AREAS = [area for area in range(1, 900) if area != 666]
 #: Characters that stand for one another in e-mail names, IBANs and secrets.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 HEX = "0123456789abcdef"
+#: Longer secrets are permuted in parts of so many characters, which the network's numbers cover.
+PART = 128
+#: Pseudonyms that are tried where a failed candidate reaches into a valid one.
+TURNS = 1000
 CLASS_OF = {char: chars for chars in CLASSES for char in chars}
 
+#: Countries by the length of their IBANs (the SWIFT registry).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """IBANs as long as their country's are, in one run or in groups of four; those of other countries up to the last group."""
+    part, known = "[ ]?[A-Z0-9]", "|".join(" ".join(IBAN_COUNTRIES.values()).split())
+    kinds = [
+        f"(?:{'|'.join(names.split())})\\d\\d(?:{part}{{4}}){{{length // 4 - 1}}}" + (f"{part}{{{length % 4}}}" if length % 4 else "")
+        for length, names in IBAN_COUNTRIES.items()
+    ]
+    return "|".join([*kinds, f"(?!{known})[A-Z]{{2}}\\d\\d(?:{part}{{4}}){{2,7}}(?:{part}{{1,3}})?"])
+
+
 PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w@]))
-  | (?P<secret>(?<![\w-])(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{8,512})
+  | (?P<secret>(?<![^\W_])(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-](?:access[_-]?)?key)?)["']?\s{0,3}[=:]\s{0,3}
+      (?:"(?:(?!")[!-~À-ÿ]){7,}(?![".,;:!?])[!-~À-ÿ]|'(?:(?!')[!-~À-ÿ]){7,}(?!['.,;:!?])[!-~À-ÿ]|["']?[A-Za-z0-9À-ÿ!\#$%*+./:=?@^_~-]{7,}[A-Za-z0-9À-ÿ\#$%*+/=@^_~-]))
   | (?P<access_key>(?<!\w)A(?:KIA|SIA)[0-9A-Z]{16}(?!\w))
-  | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
+  | (?P<iban>(?<!\w)(?=[A-Z]{2}\d\d)(?:"""
+    + _iban_pattern()
+    + r""")(?!\w))
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-  | (?P<date>(?<![\w/.-])(?:\d{4}(?P<mark>[-/.])\d{2}(?P=mark)\d{2}|\d{1,2}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{4})(?![\w/-]|\.\d))
+  | (?P<date>(?<![\w/.-])(?:\d{4}(?P<mark>[-/.])\d{2}(?P=mark)\d{2}|\d{1,2}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{4})(?!(?!T\d\d)\w|[/-]|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\(?\d{2,4}\)?){2,4}|\+\d{8,15})(?!\w|-\d))
   | (?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}(?P<slot>[ -])\d{6}(?P=slot)\d{5})(?!\w))
@@ -209,7 +234,10 @@ def _secret(text: str, permute: Permuter) -> str | None:
     at = re.search(r"[=:]\s*[\"']?", text).end()
     value = text[at:]
     alphabet = HEX if all(char in HEX for char in value) else None
-    return text[:at] + permute.characters(value, "hex" if alphabet else "secret", alphabet)
+    kind = "hex" if alphabet else "secret"
+    parts = [permute.characters(value[k : k + PART], f"{kind}{k or ''}", alphabet) for k in range(0, len(value), PART)]
+    new = text[:at] + "".join(parts)
+    return new if new != text else None
 
 
 def _access_key(text: str, permute: Permuter) -> str | None:
@@ -221,19 +249,43 @@ KINDS: dict[str, Callable[[str, Permuter], str | None]] = {
 }
 
 
+def _next(text: str, at: int, permute: Permuter) -> tuple[re.Match, str, str, int] | None:
+    """The first valid candidate from ``at`` on, its kind and pseudonym, and the start of the first failed one that reaches into it (or its own)."""
+    failed: list[tuple[int, int]] = []
+    while match := PATTERN.search(text, at):
+        kind = next(name for name in KINDS if match[name] is not None)
+        new = KINDS[kind](match[0], permute)
+        if new is not None:
+            return match, kind, new, min([start for start, end in failed if end > match.start()], default=match.start())
+        failed = [*(x for x in failed if x[1] > match.start()), match.span()]
+        at = match.start() + 1
+    return None
+
+
+def _settled(text: str, match: re.Match, kind: str, new: str, first: int, permute: Permuter) -> str:
+    """The pseudonym, or one further on, that leaves the failed candidates that reach into it failed, so that the way back finds it."""
+    before, behind = text[max(0, first - 1) : match.start()], text[match.end() : match.end() + 64]
+    for _ in range(TURNS):
+        found = _next(before + new + behind, min(first, 1), permute)
+        if found and found[0].span() == (len(before), len(before) + len(new)):
+            return new
+        new = KINDS[kind](new, permute)
+    return new
+
+
 def replace(text: str | None, permute: Permuter) -> tuple[str | None, list[tuple[str, int, int]]]:
     """A text with pseudonyms, and their kinds and places in it."""
     if not text or not HINT.search(text):
         return text, []
     out, found, done, length = [], [], 0, 0
-    for match in PATTERN.finditer(text):
-        kind = next(name for name in KINDS if match[name] is not None)
-        new = KINDS[kind](match[0], permute)
-        if new is not None:
-            before = text[done : match.start()]
-            found.append((kind, length + len(before), length + len(before) + len(new)))
-            out += [before, new]
-            length, done = found[-1][2], match.end()
+    while hit := _next(text, done, permute):
+        match, kind, new, first = hit
+        if first < match.start():
+            new = _settled(text, match, kind, new, first, permute)
+        before = text[done : match.start()]
+        found.append((kind, length + len(before), length + len(before) + len(new)))
+        out += [before, new]
+        length, done = found[-1][2], match.end()
     return "".join([*out, text[done:]]), found
 
 

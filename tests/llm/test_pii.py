@@ -71,6 +71,34 @@ def test_dates_come_back(day, form):
     assert [kind for kind, _, _ in found] == ["date"] and new != text and pii.replace(new, BACK)[0] == text
 
 
+WHOLE = [
+    ("iban", "BE68 5390 0754 7034", " EUR"), ("iban", "BE68 5390 0754 7034", " 2024"), ("iban", "PL61109010140000071219812874", " EUR"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", " USD"), ("iban", "GB82WEST12345698765432", " AND MORE"), ("secret", "hunter2!xYz99", " is it"),
+    ("secret", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", ", then"),
+    ("secret", "aB3" * 400, "."), ("secret", "0f" * 2000, " end"), ("date", "2024-02-03", "T10:11:12Z"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "behind"), WHOLE)
+def test_values_are_read_whole(kind, value, behind):
+    for name in ("password: ", "DB_PASSWORD=", "client_secret = ", "access-token:", '"api_key": "') if kind == "secret" else ("",):
+        text = f"see {name}{value}{behind}"
+        new, found = pii.replace(text, THERE)
+        (shown, start, end) = found[0]
+        assert shown == kind and text[start:end].endswith(value) and new[end:] == behind and new[:start] == text[:start]
+        assert pii.replace(new, BACK)[0] == text
+        parts = range(0, len(value), 40)
+        assert len(new) == len(text) and all(value[k : k + 40] != new[end - len(value) :][k : k + 40] for k in parts if len(value) - k > 7)
+
+
+@pytest.mark.parametrize("start", ["5555 ", "1234 5678 ", "DE12 3456 7890 "])
+def test_a_failed_candidate_hides_no_other(start):
+    for last in range(20):
+        text = f"no {start}4111 1111 1111 1111 {last:04d} end"
+        new, found = pii.replace(text, THERE)
+        assert "card" in [kind for kind, _, _ in found] and pii.replace(new, BACK)[0] == text
+
+
 def test_other_keys_give_other_pseudonyms():
     assert pii.replace("4111111111111111", THERE)[0] != pii.replace("4111111111111111", pii.Permuter(b"other"))[0]
 
