@@ -16,6 +16,9 @@ The sample takes whole documents in the order of a hash of their ids until a lan
 ``TOTAL_CHARS``) or ``SAMPLE_DOCS`` documents, which bounds what the driver and the workers hold. Everything else works on
 all rows.
 
+Every letter of a sample has a class of its own, however many scripts there are. While all letters
+fit ``CLASSES`` the automata are dense tables; else each is a sorted list of its transitions.
+
 Defined cases: null ids, texts and languages teach nothing; a text that is null or has no
 letter is ``und`` with score 0, and so is every text if no language was learned; equal texts
 give equal results and equal code lengths go to the language that sorts first; letters unknown
@@ -26,7 +29,6 @@ are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -49,6 +51,7 @@ SEGMENT = 256
 ABREAST = 4096
 #: Classes of characters: the end of a segment, a letter outside the alphabet, a blank, then the alphabet.
 END, OTHER, BLANK, FIRST = 0, 1, 2, 3
+#: Classes of a dense table.
 CLASSES = 128
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
@@ -90,11 +93,11 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 def character_classes(alphabet: str) -> np.ndarray:
     """The class of every code point."""
     known = {char: FIRST + k for k, char in enumerate(alphabet)}
-    classes = np.full(0x110000, BLANK, np.uint8)
+    classes = np.full(0x110000, BLANK, np.min_scalar_type(FIRST + len(alphabet)))
     for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
-            classes[point] = known.get(char.lower(), OTHER)
+            classes[point] = known.get(char.lower()[0], OTHER)
     return classes
 
 
@@ -111,8 +114,7 @@ class CrossParser:
     """Languages' suffix automata; ``phrases`` counts a text's phrases against each."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        seen = Counter(char for texts in samples.values() for text in texts for char in text.lower() if char.isalpha())
-        self.alphabet = "".join(sorted(char for char, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - FIRST]))
+        self.alphabet = "".join(sorted({char for texts in samples.values() for text in texts for char in text.lower() if char.isalpha()}))
         self.languages = sorted(samples)
         share = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, len(samples)))
         self.bits, self.edges = [], []
@@ -124,7 +126,7 @@ class CrossParser:
             self.edges.append((len(automaton), arcs.reshape(-1, 3)))
 
     def __getstate__(self) -> dict:
-        return {name: value for name, value in self.__dict__.items() if name != "table"}  # each worker makes its own
+        return {name: value for name, value in self.__dict__.items() if name not in ("table", "arcs")}  # each worker makes its own
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +150,8 @@ class CrossParser:
 
     def phrases(self, segments: np.ndarray) -> np.ndarray:
         """(language, segment): the phrases of each row of classes, all of one length."""
+        if FIRST + len(self.alphabet) > CLASSES:
+            return self._sparse_phrases(segments)
         table, starts = self.table
         steps = np.ascontiguousarray(segments.T).astype(np.int32)
         value = np.repeat(starts[:, None] * 4, len(segments), axis=1)
@@ -157,6 +161,33 @@ class CrossParser:
             count += value & 3
         return count
 
+    @cached_property
+    def arcs(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each language the sorted (state, class) that have a way on, as one number, the next states, and the next states from the start by class."""
+        classes, made = FIRST + len(self.alphabet), []
+        for _, arcs in self.edges:
+            keys = arcs[:, 0].astype(np.int64) * classes + arcs[:, 1]
+            order = keys.argsort()
+            opening = np.zeros(classes, np.int32)
+            first = arcs[arcs[:, 0] == 0]
+            opening[first[:, 1]] = first[:, 2]
+            made.append((np.append(keys[order], -1), np.append(arcs[order, 2], 0), opening))
+        return made
+
+    def _sparse_phrases(self, segments: np.ndarray) -> np.ndarray:
+        """``phrases`` by search in the sorted transitions."""
+        classes, count = FIRST + len(self.alphabet), np.zeros((len(self.languages), len(segments)), np.int32)
+        steps = np.vstack([segments.T.astype(np.int64), np.full((1, len(segments)), END, np.int64)])
+        for (keys, follow, opening), counted in zip(self.arcs, count, strict=True):
+            state = np.zeros(len(segments), np.int32)
+            for step in steps:
+                key = state * np.int64(classes) + step
+                at = np.searchsorted(keys[:-1], key)
+                known, fresh = keys[at] == key, opening[step]
+                counted += ~known * ((state > 0) + ((fresh == 0) & (step != END)).astype(np.int32))
+                state = np.where(known, follow[at], fresh)
+        return count
+
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         """The prediction for each text."""
         total = np.zeros((len(self.languages), len(texts)))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pandas as pd
@@ -40,6 +41,30 @@ def test_phrases_against_substring_search(text):
         assert found[at, 0] == brute_phrases(seen, sample)
 
 
+SCRIPTS = {"el": 0x3B1, "ru": 0x430, "ar": 0x627, "hi": 0x915, "ka": 0x10D0, "hy": 0x561, "ko": 0xAC00, "zh": 0x4E00, "ja": 0x3042}
+
+
+def test_languages_of_many_scripts():
+    """No letter of a sample is lost, however many there are; a language has no advantage by its name or length."""
+    pick = random.Random(7)
+    letters = {lang: [chr(start + k) for k in range(900 if lang in ("ko", "zh") else 20)] for lang, start in SCRIPTS.items()}
+    letters |= {"en": [*"abcdefghijklmnopqrstuvwxyz"], "zh2": letters["zh"]}
+    words = {lang: ["".join(pick.choices(chars, k=4)) for _ in range(400)] for lang, chars in letters.items()}
+    text = lambda lang, n: " ".join(pick.choices(words[lang], k=n))
+    parser = langid.CrossParser({lang: [text(lang, 60 if lang == "hy" else 1500)] for lang in letters})
+    asked = [lang for lang in letters for _ in range(5)]
+    made = parser.predict(pd.Series([text(lang, 30) for lang in asked]))
+    assert list(made["lang_pred"]) == asked
+
+
+def test_sparse_and_dense_count_alike():
+    wide = langid.CrossParser(SAMPLES | {"cc": ["".join(chr(0x4E00 + k) for k in range(300))]})
+    texts = pd.Series(["the cat and der hund", "ein Rat, that ran", "zzz the", "und " * 200])
+    for text in texts:
+        narrow, other = (parser.phrases(langid.classified(text, parser.alphabet).reshape(1, -1)) for parser in (PARSER, wide))
+        assert narrow[:, 0].tolist() == other[:2, 0].tolist()
+
+
 def test_suffix_automaton_holds_the_substrings():
     automaton = langid.suffix_automaton([ord(c) for c in "abcbcabab"])
 
