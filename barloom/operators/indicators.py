@@ -111,7 +111,7 @@ def in_last(interval: str, aggregate: str) -> Column:
 Step = tuple[str, Callable[[pd.DataFrame], pd.Series], float]
 
 
-def recursive(df: DataFrame, steps: list[Step]) -> DataFrame:
+def recursive(df: DataFrame, steps: list[Step], order: tuple[str, ...] = ("bar_ts",)) -> DataFrame:
     """``df`` with exponentially smoothed columns: y = weight * x + (1 - weight) * y before, from the first x on.
 
     A window function can't see its own earlier output, so each symbol's bars are dealt to one
@@ -136,7 +136,7 @@ def recursive(df: DataFrame, steps: list[Step]) -> DataFrame:
                 batch[name] = out
             yield batch
 
-    return df.repartition("sym").sortWithinPartitions("sym", "bar_ts").mapInPandas(smooth, schema)
+    return df.repartition("sym").sortWithinPartitions("sym", *order).mapInPandas(smooth, schema)
 
 
 def ema_step(n: int, source: str = "close", name: str | None = None) -> Step:

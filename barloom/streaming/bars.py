@@ -8,14 +8,13 @@ cast back. In append mode a bar comes out when the watermark (the highest ``ts``
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.bars import COLUMNS, _aggregates
+from barloom.operators.indicators import ema_step, recursive
 from barloom.sources.shared import shared_dir
 from barloom.sources.tables import load
 
@@ -43,32 +42,55 @@ def stream_session_bars(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
     return made.select("sym", F.col("session_window.start").cast("timestamp_ntz").alias("bar_ts"), F.col("session_window.end").cast("timestamp_ntz").alias("end_ts"), *COLUMNS)
 
 
-def stream_ema(ticks: DataFrame, n: int) -> DataFrame:
+class Smoothed(NamedTuple):
+    """A stream of ticks to be smoothed batch by batch; ``completed`` runs it."""
+
+    ticks: DataFrame
+    n: int
+
+
+def stream_ema(ticks: DataFrame, n: int) -> Smoothed:
     """(sym, ts, seq, price, ema): each tick with the exponential average so far; the state is one number a symbol.
 
-    A symbol's ticks of one batch are put in order in memory, so the batch (``files_per_batch``)
-    bounds it; batches must arrive in order.
+    Spark sorts a batch, and each symbol's ticks pass through in Arrow batches with one carried
+    number, so no batch need fit in memory; batches must arrive in order. A null price keeps the
+    average before it.
     """
-    weight = 2 / (n + 1)
+    return Smoothed(ticks, n)
+
 
-    def smooth(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        before = [state.get[0]] if state.exists else []
-        smoothed = pd.Series([*before, *batch["price"]]).ewm(alpha=weight, adjust=False).mean().to_numpy()[len(before) :]
-        state.update((float(smoothed[-1]),))
-        yield pd.DataFrame({"sym": key[0], "ts": batch["ts"], "seq": batch["seq"], "price": batch["price"], "ema": smoothed})
+def _smoothed(stream: Smoothed, folder: str) -> DataFrame:
+    """Each batch and its state in folders of its number: a batch that is run again writes the same again."""
+    spark, kept = stream.ticks.sparkSession, ["sym", "ts", "seq", "price"]
+    last: list[int] = []
+
+    def smooth(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*kept, F.lit(1).alias("own"))
+        if number:  # the averages so far come first, as ticks
+            state = batch.sparkSession.read.parquet(f"{folder}/state/{number - 1}")
+            rows = rows.unionByName(state.select("sym", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq"), F.col("ema").alias("price"), F.lit(0).alias("own")))
+        recursive(rows, [ema_step(stream.n, "price", "ema")], ("own", "ts", "seq")).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        made = batch.sparkSession.read.parquet(f"{folder}/out/{number}")
+        ends = made.groupBy("sym").agg(F.max_by("ema", F.struct("own", "ts", "seq")).alias("ema"))
+        ends.where(F.col("ema").isNotNull() & ~F.isnan("ema")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        last[:] = [number]
 
-    schema = "sym string, ts timestamp, seq long, price double, ema double"
-    return ticks.groupBy("sym").applyInPandasWithState(smooth, schema, "ema double", "append", GroupStateTimeout.NoTimeout)
+    writer = stream.ticks.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(smooth).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], "sym string, ts timestamp, seq long, price double, ema double")
+    return spark.read.parquet(*[f"{folder}/out/{number}" for number in range(last[0] + 1)]).where("own = 1").select(*kept, "ema")
 
 
-def completed(stream: DataFrame, mode: str = "append") -> DataFrame:
+def completed(stream: DataFrame | Smoothed, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input at hand, written to the shared folder and read back.
 
     In complete mode each batch holds the whole result, and the last batch's is returned.
     """
-    spark = stream.sparkSession
+    spark = (stream.ticks if isinstance(stream, Smoothed) else stream).sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if isinstance(stream, Smoothed):
+        return _smoothed(stream, folder)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()

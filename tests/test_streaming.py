@@ -47,6 +47,27 @@ def test_state_goes_on_across_batches(spark, sf_dir, batches):
         assert [found[i] for i in part["event_id"]] == pytest.approx(want.tolist())
 
 
+def test_averages_do_not_depend_on_how_batches_are_cut(spark, tmp_path):
+    """Ticks out of order in one batch, in two, with a missing price and a symbol that only one batch has, in Arrow batches of three rows."""
+    rows = pd.DataFrame({"event_id": range(40), "ts": pd.date_range("2024-01-01", periods=40, freq="s").astype("datetime64[us]"), "event_type": ["a", "b"] * 15 + ["a"] * 10, "value": [float(k % 7) for k in range(40)]})
+    rows.loc[[4, 30, 36], "value"] = None
+    made = {}
+    for cut in (40, 20):
+        (tmp_path / str(cut) / "events.parquet").mkdir(parents=True)
+        for k in range(0, 40, cut):
+            rows.iloc[k : k + cut].sample(frac=1, random_state=1).to_parquet(tmp_path / str(cut) / "events.parquet" / f"part-{k:02d}.parquet", index=False)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        try:
+            found = streams.completed(streams.stream_ema(streams.tick_stream(spark, str(tmp_path / str(cut)), files_per_batch=1), 5)).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        made[cut] = {row["seq"]: row["ema"] for row in found}
+    want = pd.concat([part["value"].ewm(span=5, adjust=False, ignore_na=True).mean() for _, part in rows.groupby("event_type")])
+    assert sorted(made[40]) == sorted(made[20]) == list(range(40))
+    for found in made.values():
+        assert [found[k] for k in range(40)] == pytest.approx(want.sort_index().tolist())
+
+
 def test_late_ticks_are_dropped(spark, batches, tmp_path):
     """A file of early ticks that comes in last adds nothing to bars that are closed."""
     folder = tmp_path / "events.parquet"
