@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where none is named (local tests) a temporary folder stands in for it."""
+    """``spark.checkpoint.dir`` of the session; only a local session (tests) that names none gets a temporary folder instead."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
+    if path is None and current.isDefined():
+        path = current.get()
     if path is None:
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="barloom-")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="barloom-")
     if current.isEmpty():
         context.setCheckpointDir(path)
     return path
@@ -23,3 +27,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, in whichever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
