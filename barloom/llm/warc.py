@@ -1,25 +1,36 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers (id, payload digest, size) are shuffled by digest; the smallest id of equal payloads
-is the original response and every other record becomes a revisit that names it. Archives are
-written with fresh headers by Spark's text writer, a record a row and ``CRLF CRLF`` between
-rows, so they can go to any store that Spark writes to; revisits carry no payload. Reading
-streams through each archive by the records' lengths, checks what it reads against the digest
-in the header, and joins revisits to the responses that hold their payload.
+Headers (id, URL, payload digest, size) are folded by digest and id and then shuffled by digest; the
+smallest id of equal payloads is the original response and every other record becomes a revisit of it.
+What was decided goes back to the pages by id: through a broadcast while it is at most
+``BROADCAST_REVISITS`` rows, so that no payload leaves its task, else through a join in which each page
+moves once by its own id. A join of headers with a very common digest is for Spark to split (adaptive
+skew join): both of its sides are shuffled for it alone.
+
+Archives hold one gzip member a record, behind a member with their ``warcinfo``, so each record can be
+sought; one has at most ``archive_bytes`` or a single record, however large. Spark's text writer writes
+them (a row is an archive) to any store that Spark writes to. Headers are fresh: record ids are names made of
+page id and digest (random ones where these repeat), the date is that of the writing, and a revisit
+names its original's record, URL and date. Reading streams through each archive by the records'
+lengths, checks what it reads against the digest in the header, and joins revisits to the responses
+that hold their payload.
 
 Defined cases: a null payload is empty; payloads below ``min_bytes`` are always responses; a
 row without an id is a revisit if a row with an id has its payload and else a response; rows
-that repeat an original's id and payload are responses too; line breaks in a URL become blanks; an
-empty table gives an empty result; other columns are ignored. One record at a time is held
-decompressed, and an archive has at most ``RECORDS_PER_FILE`` records.
+that repeat an original's id and payload are responses too; in URLs blanks, line breaks and what is not ASCII are
+percent-encoded, and a page without one is named by its id; an empty table gives an empty result;
+other columns are ignored. One record at a time is held decompressed.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import gzip
 import hashlib
 import io
+import string
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -27,16 +38,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.util import fields
-from barloom.sources.shared import checkpointed, shared_dir
+from barloom.llm.util import broadcast_up_to, fields
+from barloom.sources.shared import checkpointed, removed, shared_dir
 
-RECORDS_PER_FILE = 1000
-DATE = "2024-01-01T00:00:00Z"
+ARCHIVE_BYTES = 32 << 20
+#: So many decided headers (about 150 bytes each) are broadcast at most.
+BROADCAST_REVISITS = 100_000
+LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-END = "\r\n\r\n"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+END = b"\r\n\r\n"
+SOFTWARE = b"software: barloom\r\nformat: WARC File Format 1.1\r\n"
+NAMES = uuid.uuid5(uuid.NAMESPACE_DNS, "page.barloom")
+#: What a URL keeps as it is.
+PLAIN = string.punctuation
 
 RECORDS = fields(page_id="long", record_type="string", payload_digest="string", payload_bytes="long", refers_to="long", target="string", intact="boolean")
 
@@ -48,45 +64,113 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*pieces), DIGITS, BASE32)
 
 
+def decided(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """What to do with which (page_id, payload_digest) of ``heads`` (page_id, url, payload_bytes, payload_digest): only revisits and responses that are there more than once.
+
+    (page_id, payload_digest, refers_to, refers_url, named, repeated): ``named`` if the original has a record id of its own.
+    """
+    folded = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "page_id").agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("n"))
+    folded = checkpointed(folded)
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "n"))).alias("original")
+    originals = checkpointed(folded.groupBy("payload_digest").agg(first, F.sum("n").alias("all")).where("all > 1 and original is not null").drop("all"))
+    found = folded.join(originals, "payload_digest")
+    repeated, named = F.coalesce(F.col("page_id") == F.col("original.page_id"), F.lit(False)), F.col("original.n") == 1
+    kept = found.where(~repeated | (F.col("n") > 1))
+    return kept.select(
+        "page_id", "payload_digest", F.when(~repeated, F.col("original.page_id")).alias("refers_to"), F.when(~repeated, F.col("original.url")).alias("refers_url"),
+        named.alias("named"), repeated.alias("repeated"),
+    )
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every page."""
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url, named, repeated) of every page; revisits have no payload."""
     payload = F.coalesce(html, F.lit(""))
     full = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))}
     )
-    originals = full.groupBy("payload_digest").agg(F.min("page_id").alias("original"))
-    first = (F.col("payload_bytes") < min_bytes) | F.col("original").isNull() | F.coalesce(F.col("page_id") == F.col("original"), F.lit(False))
-    return full.join(originals.hint("shuffle_hash"), "payload_digest").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("original")).alias("refers_to"),
+    found = broadcast_up_to(checkpointed(decided(full.drop("payload"), min_bytes)), BROADCAST_REVISITS).withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
+    met = full.join(found, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
+    revisit = F.col("refers_to").isNotNull()
+    return met.select(
+        "page_id", "url", F.when(~revisit, F.col("payload").cast("binary")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", "refers_url",
+        F.coalesce("named", F.lit(False)).alias("named"), F.coalesce("repeated", F.lit(False)).alias("repeated"),
     )
 
 
-def _record() -> Column:
-    """A resolved page as the text of its record."""
-    name = lambda column: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
-    revisit = F.col("record_type") == "revisit"
-    block = F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(END), F.when(revisit, "").otherwise(F.col("payload")))
-    target = F.regexp_replace(F.coalesce("url", name("page_id")), r"[\r\n]", " ")
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), name("page_id"),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), target,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), name("refers_to"), F.lit(f"\r\nWARC-Profile: {PROFILE}"))).otherwise(""),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit(END), block,
-    )
+def _id(page_id: int | None, digest: str) -> str:
+    return f"<{(uuid.uuid4() if page_id is None else uuid.uuid5(NAMES, f'{page_id} {digest}')).urn}>"
+
+
+def _target(url: str | None, page_id: int | None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}" if url is None else urllib.parse.quote(url, PLAIN)
+
+
+def _member(head: dict[str, str], block: bytes) -> bytes:
+    """A record as a gzip member."""
+    lines = ["WARC/1.1", *[f"{name}: {value}" for name, value in head.items()], f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + END + block + END, LEVEL, mtime=0)
+
 
+def _page(row: tuple, date: str) -> bytes:
+    page_id, url, payload, size, digest, kind, refers_to, refers_url, named, repeated = row
+    head = {"WARC-Type": kind, "WARC-Record-ID": _id(None if repeated else page_id, digest), "WARC-Date": date, "WARC-Target-URI": _target(url, page_id)}
+    head["WARC-Payload-Digest"] = f"sha1:{digest}"
+    if page_id is not None:
+        head["X-Page-ID"] = str(page_id)
+    if kind == "revisit":
+        head |= {"WARC-Refers-To": _id(refers_to, digest)} if named else {}
+        head |= {"WARC-Refers-To-Target-URI": _target(refers_url, refers_to), "WARC-Refers-To-Date": date, "WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(refers_to)}
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % size
+    return _member(head | {"Content-Type": "application/http; msgtype=response"}, http + END + (payload or b""))
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Writes resolved pages as gzip-compressed archives under ``path``."""
-    writer = records.select(_record().alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+#: The text writer ends each row with a zero byte, which is the last of an archive: that of the length of its last member, if it is one of less than 16 MB.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
+
+def _archives(date: str, archive_bytes: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
+
+        def done() -> pd.DataFrame:
+            whole = b"".join(parts if parts[-1][-1] == 0 else [*parts, EMPTY_MEMBER])
+            return pd.DataFrame({"archive": [whole[:-1]]})
+
+        for batch in batches:
+            batch = batch.astype({"page_id": "Int64", "refers_to": "Int64"}).astype(object)
+            for row in batch.where(batch.notna(), None).itertuples(index=False):
+                member = _page(tuple(row), date)
+                if parts and size + len(member) > archive_bytes:
+                    yield done()
+                    parts, size = [], 0
+                if not parts:
+                    parts.append(_member({"WARC-Type": "warcinfo", "WARC-Record-ID": _id(None, ""), "WARC-Date": date, "Content-Type": "application/warc-fields"}, SOFTWARE))
+                parts.append(member)
+                size += len(member)
+        if parts:
+            yield done()
+
+    return pack
+
+
+def write_archives(records: DataFrame, path: str, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes resolved pages as ``*.warc.gz`` under ``path``; ``date`` (now, if it is not given) is that of all records."""
+    date = date or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    made = records.mapInPandas(_archives(date, archive_bytes), fields(archive="binary")).select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    spark = records.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in store.listStatus(at):
+        name = file.getPath().getName()
+        if name.endswith(".txt"):
+            store.rename(file.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + ".warc.gz"))
 
 
 def parse(archive: io.BufferedIOBase) -> Iterator[tuple]:
-    """The records of one archive as rows of RECORDS, read one after another."""
-    number = lambda text: int(text[len("<urn:page:") : -1]) if text and text != "<urn:page:>" else None
+    """The records of one archive's pages as rows of RECORDS, read one after another."""
+    number = lambda text: int(text) if text else None
     while line := archive.readline():
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record where one is due: {line[:40]!r}")
@@ -96,15 +180,17 @@ def parse(archive: io.BufferedIOBase) -> Iterator[tuple]:
             head[key.lower()] = value
         length = int(head["content-length"])
         block = archive.read(length)
-        if len(block) != length or archive.read(4) != END.encode():
+        if len(block) != length or archive.read(4) != END:
             raise ValueError(f"record {head.get('warc-record-id')} is cut off")
-        _, _, payload = block.partition(END.encode())
+        if head["warc-type"] == "warcinfo":
+            continue
+        _, _, payload = block.partition(END)
         told = head["warc-payload-digest"].removeprefix("sha1:")
         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         whole = head["warc-type"] == "response"
         yield (
-            number(head["warc-record-id"]), head["warc-type"], own if whole else told, len(payload) if whole else None,
-            number(head.get("warc-refers-to")), head["warc-target-uri"], own == told if whole else None,
+            number(head.get("x-page-id")), head["warc-type"], own if whole else told, len(payload) if whole else None,
+            number(head.get("x-refers-to-page-id")), head["warc-target-uri"], own == told if whole else None,
         )
 
 
@@ -118,21 +204,26 @@ def _read(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``; digest and size are those of the payload read, if it has one."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInPandas(_read, RECORDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInPandas(_read, RECORDS)
 
 
 def joined_revisits(records: DataFrame) -> DataFrame:
-    """``records`` with each revisit's payload size taken from the response that holds its payload."""
-    held = records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("held_bytes"))
-    return records.join(held, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "held_bytes")).drop("held_bytes")
+    """``records`` with each revisit's payload size taken from the response that holds its payload, and ``intact`` if there is one."""
+    revisit = F.col("record_type") == "revisit"
+    held = checkpointed(records.where(~revisit & F.col("intact")).groupBy("payload_digest").agg(F.max("payload_bytes").alias("held_bytes")))
+    joined = records.where(revisit).join(held, "payload_digest", "left").withColumns({"payload_bytes": F.col("held_bytes"), "intact": F.col("held_bytes").isNotNull()})
+    return records.where(~revisit).unionByName(joined.select(records.columns))
 
 
-def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` as deduplicated archives, by default in the shared folder, and returns what is read back."""
+def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes ``pages`` as deduplicated archives and returns what is read back; without a ``path`` they lie in the shared folder meanwhile."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(resolve(pages, min_bytes), path)
-    return joined_revisits(checkpointed(read_archives(spark, path)))
+    own = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(resolve(pages, min_bytes), own, date, archive_bytes)
+    records = checkpointed(read_archives(spark, own))
+    if path is None:
+        removed(spark, own)
+    return joined_revisits(records)
 
 
 def oracle() -> str:
