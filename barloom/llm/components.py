@@ -11,22 +11,21 @@ from barloom.sources.shared import checkpointed
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; component is its smallest reachable node.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that
-    label, so chains shorten by more than half. A round's labels are checkpointed: lost
-    executors cost a round at most. Self links, repeated and null-ended links are ignored.
+    Each round takes the smallest label among a node's neighbours and then the label that that one had,
+    so chains shorten by half or more. A round's labels are checkpointed: lost executors cost a round at
+    most. Joins meet a hub's links, or the members of a large component, with one row of labels;
+    both sides are shuffled for the join alone, so that Spark can split such a key (adaptive skew
+    join), and what is joined is folded by partial sums. Self links, repeated and null-ended links are ignored.
     """
     pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node <> next")
     both = checkpointed(pairs.union(pairs.select(F.col("next"), F.col("node"))).distinct())
-    labels = both.groupBy("node").agg(F.least("node", F.min("next")).alias("label"))
+    labels = checkpointed(both.groupBy("node").agg(F.least("node", F.min("next")).alias("label")))
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("next"), F.col("label").alias("theirs")), "next")
-            .groupBy("node")
-            .agg(F.min("theirs").alias("theirs"))
-        )
+        theirs = labels.select(F.col("node").alias("next"), F.col("label").alias("theirs"))
+        near = both.join(theirs, "next").groupBy("node").agg(F.min("theirs").alias("theirs"))
         better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
-        jump = better.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = checkpointed(better.join(jump, "label").select("node", F.col("top").alias("label"), (F.col("top") < F.col("old")).alias("moved")))
-        if labels.where("moved").isEmpty():
+        tops = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        moved = checkpointed(better.join(tops, "label").select("node", F.col("top").alias("label"), (F.col("top") < F.col("old")).alias("moved")))
+        labels = moved.drop("moved")
+        if moved.where("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("moved")
