@@ -9,37 +9,47 @@ so no value is its own pseudonym, different values never meet, whoever has the k
 (``reveal``), and equal values stay linked across documents.
 
 Card numbers keep their separators and permute the other digits, the check digit follows; IBANs
-keep country and grouping; phone numbers keep the country code; IPv4 addresses permute among
-all addresses; social security numbers among the valid ones; dates among those days of 1900-2099 that read as
-the same notation;
-e-mail names, passwords, tokens and access key ids keep the class of each character.
+keep country and grouping; phone numbers keep the country code, North American ones stay possible
+(area and exchange) if they were, others keep a leading zero or the lack of one; IPv4 addresses permute among
+all addresses; social security numbers among the valid ones; dates among those days of 1900-2099 whose day
+and month have as many digits and whose day can as well be no month, so one date has one pseudonym in
+whatever notation it is written; e-mail names, passwords, tokens and access key ids keep the class of each character (its script and case).
+
+The key is the caller's. Queries take it from the session (``session_key``): its setting
+``spark.barloom.pii.secret``, which Spark redacts in its logs, or a random one made for the session, so that
+nobody can go back and values are linked within it only.
 
 Defined cases: a null text stays null and has nothing found; a text without candidates is
-unchanged; candidates that fail validation are left alone, and what begins inside them is looked at; equal texts give equal results;
+unchanged; candidates that fail validation are left alone, and what begins inside them is looked at;
+digits are 0 to 9 alone, numbers in other scripts' digits are no candidates; equal texts give equal results;
 whole texts of any length are read once; an empty table gives an empty result; other columns
-are kept by ``pseudonymised``, and a column named like its results is replaced.
+are kept by ``pseudonymised``, and one named like its column of finds (a parameter) is replaced.
 """
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import hashlib
 import math
 import re
-from collections import Counter
+import secrets
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.util import fields
 
-#: Only for tests and trials; production passes its own secret key.
-TRIAL_KEY = b"barloom trial key"
+#: The session's setting with the secret key.
+SECRET = "spark.barloom.pii.secret"
 ROUNDS = 10
-FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+YEARS = 1900, 2099
 SSN_AREAS = [area for area in range(1, 900) if area != 666]
 #: Characters that stand for one another in e-mail names, IBANs and secrets.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
@@ -50,6 +60,24 @@ PART = 128
 TURNS = 1000
 CLASS_OF = {char: chars for chars in CLASSES for char in chars}
 
+
+@lru_cache(maxsize=1 << 16)
+def class_of(char: str) -> str:
+    """The characters that may stand for one: for letters of other scripts those of its case among its 64 neighbours in Unicode."""
+    if char in CLASS_OF or not char.isalpha():
+        return CLASS_OF.get(char, char)
+    kind, first = unicodedata.category(char), ord(char) & ~63
+    return "".join(chr(point) for point in range(first, first + 64) if unicodedata.category(chr(point)) == kind and chr(point) not in CLASS_OF)
+
+
+
+#: Country codes of telephone numbers by their length (ITU-T E.164); all others have three digits.
+DIAL_CODES = {
+    1: "1 7",
+    2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98",
+}
+DIAL_LENGTHS = {code: length for length, codes in DIAL_CODES.items() for code in codes.split()}
+
 #: Countries by the length of their IBANs (the SWIFT registry).
 IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -62,10 +90,10 @@ def _iban_pattern() -> str:
     """IBANs as long as their country's are, in one run or in groups of four; those of other countries up to the last group."""
     part, known = "[ ]?[A-Z0-9]", "|".join(" ".join(IBAN_COUNTRIES.values()).split())
     kinds = [
-        f"(?:{'|'.join(names.split())})\\d\\d(?:{part}{{4}}){{{length // 4 - 1}}}" + (f"{part}{{{length % 4}}}" if length % 4 else "")
+        f"(?:{'|'.join(names.split())})[0-9][0-9](?:{part}{{4}}){{{length // 4 - 1}}}" + (f"{part}{{{length % 4}}}" if length % 4 else "")
         for length, names in IBAN_COUNTRIES.items()
     ]
-    return "|".join([*kinds, f"(?!{known})[A-Z]{{2}}\\d\\d(?:{part}{{4}}){{2,7}}(?:{part}{{1,3}})?"])
+    return "|".join([*kinds, f"(?!{known})[A-Z]{{2}}[0-9][0-9](?:{part}{{4}}){{2,7}}(?:{part}{{1,3}})?"])
 
 
 PATTERN = re.compile(
@@ -74,14 +102,14 @@ PATTERN = re.compile(
   | (?P<secret>(?<![^\W_])(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-](?:access[_-]?)?key)?)["']?\s{0,3}[=:]\s{0,3}
       (?:"(?:(?!")[!-~À-ÿ]){7,}(?![".,;:!?])[!-~À-ÿ]|'(?:(?!')[!-~À-ÿ]){7,}(?!['.,;:!?])[!-~À-ÿ]|["']?[A-Za-z0-9À-ÿ!\#$%*+./:=?@^_~-]{7,}[A-Za-z0-9À-ÿ\#$%*+/=@^_~-]))
   | (?P<access_key>(?<!\w)A(?:KIA|SIA)[0-9A-Z]{16}(?!\w))
-  | (?P<iban>(?<!\w)(?=[A-Z]{2}\d\d)(?:"""
+  | (?P<iban>(?<!\w)(?=[A-Z]{2}[0-9][0-9])(?:"""
     + _iban_pattern()
     + r""")(?!\w))
-  | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-  | (?P<date>(?<![\w/.-])(?:\d{4}(?P<mark>[-/.])\d{2}(?P=mark)\d{2}|\d{1,2}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{4})(?!(?!T\d\d)\w|[/-]|\.\d))
-  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-  | (?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\(?\d{2,4}\)?){2,4}|\+\d{8,15})(?!\w|-\d))
-  | (?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}(?P<slot>[ -])\d{6}(?P=slot)\d{5})(?!\w))
+  | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+  | (?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<mark>[-/.])[0-9]{2}(?P=mark)[0-9]{2}|[0-9]{1,2}(?P<sign>[-/.])[0-9]{1,2}(?P=sign)[0-9]{4})(?!(?!T[0-9][0-9])\w|[/-]|\.[0-9]))
+  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+  | (?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{2,4}\)?){2,4}|\+[0-9]{8,15})(?!\w|-[0-9]))
+  | (?P<card>(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}|[0-9]{4}(?P<slot>[ -])[0-9]{6}(?P=slot)[0-9]{5})(?!\w))
     """,
     re.VERBOSE,
 )
@@ -126,7 +154,7 @@ class Permuter:
 
     def characters(self, text: str, kind: str, alphabet: str | None = None) -> str:
         """A text whose characters move within their class (or within ``alphabet``); others stay."""
-        classes = [(alphabet if alphabet and char in alphabet else CLASS_OF.get(char, char)) for char in text]
+        classes = [(alphabet if alphabet and char in alphabet else class_of(char)) for char in text]
         value, size = 0, math.prod(map(len, classes))
         for char, chars in zip(text, classes, strict=True):
             value = value * len(chars) + chars.index(char)
@@ -150,7 +178,7 @@ def luhn_digit(digits: str) -> str:
 
 
 def _card(text: str, permute: Permuter) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     body = digits[:-1]
     if digits[0] == "0" or luhn_digit(body) != digits[-1]:
         return None
@@ -179,32 +207,51 @@ def _ip(text: str, permute: Permuter) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def _read_date(text: str) -> tuple[str, str, bool, int] | None:
-    """(mark, order, padded, day): a date's notation and its day, if it is one; with slashes the month comes first where it can."""
-    mark = re.search(r"\D", text)[0]
+def _read_date(text: str) -> tuple[str, str, dt.date] | None:
+    """(mark, order, day): how a date is written and its day, if it is one; with slashes the month comes first where it can."""
+    mark = re.search(r"[^0-9]", text)[0]
     parts = text.split(mark)
     orders = ["ymd"] if len(parts[0]) == 4 else (["mdy", "dmy"] if mark == "/" else ["dmy"])
     for order in orders:
         value = dict(zip(order, map(int, parts), strict=True))
         try:
-            day = dt.date(value["y"], value["m"], value["d"]).toordinal()
+            day = dt.date(value["y"], value["m"], value["d"])
         except ValueError:
             continue
-        return (mark, order, min(map(len, parts)) > 1, day) if FIRST_DAY <= day <= LAST_DAY else None
+        return (mark, order, day) if YEARS[0] <= day.year <= YEARS[1] else None
     return None
 
 
+def _day_kind(day: int, month: int) -> str:
+    """What a date's notation may depend on: digits of day and month, and whether the day could be a month."""
+    return f"{(day > 9) + (day > 12)}{month > 9:d}"
+
+
+@lru_cache(maxsize=1)
+def _days() -> dict[str, list[tuple[int, int]]]:
+    """The days of a year of each kind, as (month, day); those of a leap year by themselves."""
+    year = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(366)]
+    kinds: dict[str, list[tuple[int, int]]] = {}
+    for date in year:
+        kinds.setdefault(_day_kind(date.day, date.month), []).append((date.month, date.day))
+    return kinds
+
+
 def _date(text: str, permute: Permuter) -> str | None:
     found = _read_date(text)
     if found is None:
         return None
-    mark, order, padded, day = found
-    while True:  # on to the next day that reads as the same notation
-        day = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date") + FIRST_DAY
-        date = dt.date.fromordinal(day)
-        new = mark.join(str({"y": date.year, "m": date.month, "d": date.day}[name]).zfill(2 if padded else 1) for name in order)
-        if _read_date(new) == (mark, order, padded, day):
-            return new
+    mark, order, date = found
+    kind = _day_kind(date.day, date.month)
+    days = _days()[kind]
+    value = (date.year - YEARS[0]) * len(days) + days.index((date.month, date.day))
+    while True:  # on from a 29th of February that isn't
+        value = permute(value, (YEARS[1] - YEARS[0] + 1) * len(days), f"date {kind}")
+        year, (month, day) = YEARS[0] + value // len(days), days[value % len(days)]
+        if (month, day) != (2, 29) or calendar.isleap(year):
+            break
+    new = {"y": year, "m": month, "d": day}
+    return mark.join(str(new[name]).zfill(len(part)) for name, part in zip(order, text.split(mark), strict=True))
 
 
 def _ssn(text: str, permute: Permuter) -> str | None:
@@ -217,12 +264,39 @@ def _ssn(text: str, permute: Permuter) -> str | None:
     return f"{SSN_AREAS[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Area codes and exchanges that North American numbers can have, and the others.
+POSSIBLE = [n for n in range(200, 1000) if n % 100 != 11]
+POSSIBLE_SET = {*POSSIBLE}
+IMPOSSIBLE = sorted({*range(1000)} - POSSIBLE_SET)
+
+
+def _north_american(digits: str, permute: Permuter) -> str:
+    """Ten digits: area and exchange move among those that are possible, or among those that aren't."""
+    parts = [int(digits[:3]), int(digits[3:6])]
+    choices = [POSSIBLE if part in POSSIBLE_SET else IMPOSSIBLE for part in parts]
+    value, size = 0, 10_000 * math.prod(map(len, choices))
+    for part, choice in zip(parts, choices, strict=True):
+        value = value * len(choice) + bisect_left(choice, part)
+    value = permute(value * 10_000 + int(digits[6:]), size, f"phone {len(choices[0])} {len(choices[1])}")
+    rest, line = divmod(value, 10_000)
+    area, exchange = divmod(rest, len(choices[1]))
+    return f"{choices[0][area]:03d}{choices[1][exchange]:03d}{line:04d}"
+
+
 def _phone(text: str, permute: Permuter) -> str | None:
-    digits, code = re.sub(r"\D", "", text), re.match(r"\+(1|\d{1,3}(?!\d)|\d\d)", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 8 <= len(digits) <= 15:
         return None
-    kept = code[1] if code else ""
-    return _refilled(text, kept + permute.number(digits[len(kept) :], "phone"))
+    code = digits[: next((n for n in (1, 2) if DIAL_LENGTHS.get(digits[:n]) == n), 3)] if text[0] == "+" else ""
+    own = digits[len(code) :]
+    if len(own) == 10 and code in ("", "1"):
+        new = _north_american(own, permute)
+    elif own[0] == "0":
+        new = permute.number(own[1:], f"phone {code} 0").rjust(len(own), "0")
+    else:
+        least = 10 ** (len(own) - 1)
+        new = str(permute(int(own) - least, 9 * least, f"phone {code}") + least)
+    return _refilled(text, code + new)
 
 
 def _email(text: str, permute: Permuter) -> str | None:
@@ -289,7 +363,16 @@ def replace(text: str | None, permute: Permuter) -> tuple[str | None, list[tuple
     return "".join([*out, text[done:]]), found
 
 
-def pseudonyms(text: str | Column, key: bytes = TRIAL_KEY, step: int = 1) -> Column:
+def session_key(spark: SparkSession) -> bytes:
+    """The secret that the session is set to; where there is none, a random one is made and kept in it."""
+    secret = spark.conf.get(SECRET, None)
+    if not secret:
+        secret = secrets.token_hex(32)
+        spark.conf.set(SECRET, secret)
+    return secret.encode()
+
+
+def pseudonyms(text: str | Column, key: bytes, step: int = 1) -> Column:
     """A struct column (text, found) of each text."""
 
     @F.pandas_udf(FOUND)
@@ -303,17 +386,16 @@ def pseudonyms(text: str | Column, key: bytes = TRIAL_KEY, step: int = 1) -> Col
     return replaced(F.col(text) if isinstance(text, str) else text)
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = TRIAL_KEY, step: int = 1) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and their kinds and places in ``pii_found``."""
-    kept = [name for name in docs.columns if name not in (text, "pii_found")]
-    made = docs.select(*[F.col(f"`{name}`") for name in kept], pseudonyms(text, key, step).alias("pii_found"))
-    order = [F.col("pii_found.text").alias(text) if name == text else F.col(f"`{name}`") for name in docs.columns if name != "pii_found"]
-    return made.select(*order, F.col("pii_found.found").alias("pii_found"))
+def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", found: str = "pii_found", step: int = 1) -> DataFrame:
+    """``docs`` with pseudonyms in ``text`` and their kinds and places in the column ``found``."""
+    made = docs.select(*[F.col(f"`{name}`") for name in docs.columns if name not in (text, found)], pseudonyms(text, key, step).alias(found))
+    order = [F.col(f"`{found}`.text").alias(text) if name == text else F.col(f"`{name}`") for name in docs.columns if name != found]
+    return made.select(*order, F.col(f"`{found}`.found").alias(found))
 
 
-def reveal(docs: DataFrame, text: str = "text", key: bytes = TRIAL_KEY) -> DataFrame:
+def reveal(docs: DataFrame, key: bytes, text: str = "text", found: str = "pii_found") -> DataFrame:
     """The way back from ``pseudonymised``, for whoever has the key."""
-    return pseudonymised(docs, text, key, -1)
+    return pseudonymised(docs, key, text, found, -1)
 
 
 def counted(found: Column) -> Column:
@@ -323,7 +405,3 @@ def counted(found: Column) -> Column:
     shown = F.transform(F.filter(kinds, lambda x: x["n"] > 0), lambda x: F.concat_ws("=", x["kind"], x["n"].cast("string")))
     return F.array_join(shown, ",")
 
-
-def summary(text: str | None) -> Counter:
-    """Kinds that a text holds (for reports and tests)."""
-    return Counter(kind for kind, _, _ in replace(text, Permuter(TRIAL_KEY))[1])

@@ -43,7 +43,7 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymised(dealt_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymised(dealt_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return made.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), pii.counted(F.col("pii_found")).alias("kinds"))
 
 
