@@ -8,14 +8,15 @@ like. A logistic curve turns the normalised difference, beside the normalised si
 rows that trained no dictionary.
 
 The labelled rows that are learned from are a bounded sample: up to ``ROWS`` documents of each
-label, the first in the order of a hash of their ids, with up to ``TEXT_BYTES`` of each. All
-texts are scored whole.
+label, the first in the order of a hash of their ids. They are learned from whole; only of one
+longer than ``TEXT_CHARS`` characters so many are taken, in parts spread evenly over it. All texts
+are scored whole.
 
 Defined cases: rows with a null id or label teach nothing, and a document labelled both ways
-counts as label 0; a null text is scored like an empty one, whose features are 0; equal texts
+counts as label 0; of rows that share an id one text is learned from (the smallest); a null text is scored like an empty one, whose features are 0; equal texts
 give equal scores; if either label is missing, every score is the labels' mean (0.5 if there are
-none); an empty table gives an empty result; other columns are kept, and those named
-``quality_score`` or ``quality_kept`` are replaced.
+none); an empty table gives an empty result; other columns are kept, and those named like the
+results (parameters) are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.util import fields, hash_number, id_remainder
+from barloom.llm.util import fields, hash_number, id_remainder, whole_or_pieces
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-ROWS, TEXT_BYTES = 1500, 16_384
+ROWS, TEXT_CHARS = 1500, 16_384
 DICTIONARY, LEVEL, BLOCK, TRAINING_BLOCK = 32_768, 3, 1024, 512
 #: Every so many-th of a label's rows fits the curve instead of a dictionary.
 CURVE_SHARE = 3
@@ -115,11 +116,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     one = judged.groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).alias("label")).withColumn("order", hash_number(F.col("id").cast("string"), 15))
     first = [one.where(F.col("label") == label).orderBy("order", "id").limit(ROWS) for label in (1, 0)]
     chosen = first[0].unionByName(first[1])
-    rows = docs.select(F.col(doc_id).alias("id"), F.substring(text, 1, TEXT_BYTES).alias("text")).join(F.broadcast(chosen), "id").collect()
+    taught = docs.select(F.col(doc_id).alias("id"), F.coalesce(whole_or_pieces(text, TEXT_CHARS), F.lit("")).alias("text"))
+    rows = taught.join(F.broadcast(chosen), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).collect()
     training: dict[int, list[bytes]] = {0: [], 1: []}
     fitting: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sorted(rows, key=lambda r: (r["order"], r["id"], r["text"] or "")):
-        data = (row["text"] or "").encode("utf-8", "surrogatepass")
+    for row in sorted(rows, key=lambda r: (r["order"], r["id"])):
+        data = row["text"].encode("utf-8", "surrogatepass")
         (fitting if row["order"] % CURVE_SHARE == 0 else training)[row["label"]].append(data)
     return training, fitting
 
@@ -135,11 +137,13 @@ def fitted(training: dict, fitting: dict) -> tuple[Compressors, Curve] | float:
     return made, Curve(features, np.repeat([0.0, 1.0], [len(fitting[0]), len(fitting[1])]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
-    """``docs`` with ``quality_score`` and ``quality_kept`` (0 or 1), learned from ``labels``."""
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", score: str = "quality_score", kept: str = "quality_kept"
+) -> DataFrame:
+    """``docs`` with ``score`` and ``kept`` (0 or 1), learned from ``labels``."""
     model = fitted(*labelled_sample(docs, labels, doc_id, text, quality))
     if isinstance(model, float):
-        return docs.withColumns({"quality_score": F.lit(model), "quality_kept": F.lit(int(model >= THRESHOLD))})
+        return docs.withColumns({score: F.lit(model), kept: F.lit(int(model >= THRESHOLD))})
     shared, curve = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
 
     @F.pandas_udf(SCORES)
@@ -148,9 +152,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             rows = [shared.value.features((text or "").encode("utf-8", "surrogatepass")) for text in batch]
             yield pd.DataFrame(rows, columns=SCORES.names, dtype="float64")
 
-    found = docs.withColumn("quality_score", features(F.col(text)))
-    scored = found.withColumn("quality_score", curve(F.col("quality_score.difference"), F.col("quality_score.ratio")))
-    return scored.withColumn("quality_kept", (F.col("quality_score") >= THRESHOLD).cast("int"))
+    found = docs.withColumn(score, features(F.col(text)))
+    scored = found.withColumn(score, curve(F.col(f"`{score}`.difference"), F.col(f"`{score}`.ratio")))
+    return scored.withColumn(kept, (F.col(score) >= THRESHOLD).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -40,3 +40,18 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
 def hash_number(text: Column, digits: int) -> Column:
     """The first ``digits`` hexadecimal digits of the md5 of a string, as a number."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it the name of no column of ``df``."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_or_pieces(text: str, most: int, pieces: int = 8) -> Column:
+    """A text of at most ``most`` characters as it is; of a longer one so many characters in ``pieces`` parts spread evenly over it, a line each."""
+    length, part = F.length(text), most // pieces
+    spread = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(F.col(text), (k * (length - part) / (pieces - 1)).cast("int") + 1, F.lit(part)))
+    return F.when(length <= most, F.col(text)).otherwise(F.array_join(spread, "\n"))
