@@ -8,10 +8,14 @@ packets if they are long), follows the continuity counter of every packet identi
 reassembles the elementary packets and returns the payload with an index of timestamps and
 random-access points. Units of several streams follow one another as they begin.
 
+A packet is taken for one if others go on behind it at packet distance, of streams known by then or
+``STEPS`` of any: the sync byte alone also occurs in payloads.
+
 Defined cases: a null payload column stays null and a null or empty text is one unit of
-blanks; bytes that are not a whole packet, or packets that do not start with the sync byte, are
-skipped and counted; a gap in a continuity counter is counted and the unit that it breaks is
-kept as far as it arrived (announced discontinuities are no gaps); a packet sent twice is
+blanks; bytes that are not a whole packet in step with others are skipped and counted, up to the
+next place from which packets go on; a gap in a continuity counter is counted and the unit that it breaks is
+kept up to the gap and no further (announced discontinuities are no gaps); a packet with the transport
+error flag is counted and dropped; a packet sent twice is
 counted and read once; streams without program tables give an empty payload. Packets are
 read one after another, so memory is a small multiple of one value.
 """
@@ -32,6 +36,8 @@ from pyspark.sql import types as T
 from barloom.llm.util import fields
 
 PACKET, SYNC = 188, 0x47
+#: Packets in a row that reading begins with, and begins anew with after damage.
+STEPS = 4
 UNIT = 192
 #: Payload bytes of an access unit, 90 kHz ticks from one unit to the next, units between random-access points.
 ACCESS_UNIT, TICKS, RANDOM_ACCESS = 16 * UNIT, 3600, 8
@@ -145,23 +151,54 @@ def _unit(pes: bytes) -> tuple[int | None, bytes] | None:
     return pts, pes[9 + pes[8] : 6 + size if size else len(pes)]  # size 0: up to the next unit
 
 
+def _sound(media: bytes, at: int) -> bool:
+    """Whether a whole packet may begin here: the sync byte, and a header that has a payload or an adaptation field."""
+    return at + PACKET <= len(media) and media[at] == SYNC and bool(media[at + 3] & 0x30)
+
+
+def _in_step(media: bytes, at: int) -> bool:
+    """Whether packets begin here and at the next places, as far as the stream goes."""
+    return _sound(media, at) and all(place + PACKET > len(media) or _sound(media, place) for place in range(at + PACKET, at + STEPS * PACKET, PACKET))
+
+
+def _resynced(media: bytes, at: int) -> int:
+    """The next place behind ``at`` from which packets go on, or the end."""
+    at = media.find(SYNC, at + 1)
+    while at >= 0 and not _in_step(media, at):
+        at = media.find(SYNC, at + 1)
+    return at if at >= 0 else len(media)
+
+
 def demux(media: bytes) -> dict:
     """What ``read_transport_stream`` returns of one stream."""
     programs: dict[int, int] = {}
     streams: dict[int, int] = {}
     last: dict[int, tuple[int, int]] = {}
     begun: dict[int, bytes] = {}
-    units: dict[int, list[tuple[bool, list[bytes]]]] = {}
+    open_units: dict[int, list[bytes]] = {}
     order: list[tuple[bool, list[bytes]]] = []
-    packets = skipped = gaps = repeated = bad_tables = at = 0
+    packets = skipped = gaps = repeated = errors = bad_tables = at = 0
+
+    def follows(place: int) -> bool:
+        """Whether a packet of a known stream, or a row of packets, begins here (or the stream has ended)."""
+        if place + PACKET > len(media):
+            return True
+        pid = (media[place + 1] & 0x1F) << 8 | media[place + 2]
+        return _sound(media, place) and (pid in last or pid in streams or pid in programs or _in_step(media, place))
+
+    in_step = False
     while at < len(media):
-        if media[at] != SYNC or at + PACKET > len(media):
-            follow = media.find(SYNC, at + 1)
-            step = (follow if follow > 0 else len(media)) - at
-            skipped, at = skipped + step, at + step
+        # a packet that bytes are missing from or were put into isn't followed by another; one before a single damaged packet is whole
+        in_step = _sound(media, at) and (follows(at + PACKET) or _in_step(media, at + 2 * PACKET)) if in_step else _in_step(media, at)
+        if not in_step:
+            follow = _resynced(media, at)
+            skipped, at = skipped + follow - at, follow
             continue
         flags, counter = media[at + 3], media[at + 3] & 15
         pid, start = (media[at + 1] & 0x1F) << 8 | media[at + 2], bool(media[at + 1] & 0x40)
+        if media[at + 1] & 0x80:
+            errors, at = errors + 1, at + PACKET
+            continue
         body, field = at + 4, 0
         if flags & 0x20:
             field = media[at + 5] if media[at + 4] else 0
@@ -174,7 +211,10 @@ def demux(media: bytes) -> dict:
             if before == counter and media[place : place + PACKET] == media[here:at]:
                 repeated += 1  # a packet may be sent twice
                 continue
-            gaps += before + 1 & 15 != counter and not field & 0x80
+            if before + 1 & 15 != counter and not field & 0x80:
+                gaps += 1
+                begun.pop(pid, None)
+                open_units.pop(pid, None)
         last[pid] = counter, here
         data = media[body:at]
         if pid == PAT_PID or pid in programs:
@@ -187,12 +227,11 @@ def demux(media: bytes) -> dict:
                 else:
                     streams |= _listed_streams(table)
         elif pid in streams:
-            own = units.setdefault(pid, [])
             if start:
-                own.append((bool(field & 0x40), [data]))
-                order.append(own[-1])
-            elif own:
-                own[-1][1].append(data)
+                open_units[pid] = [data]
+                order.append((bool(field & 0x40), open_units[pid]))
+            elif pid in open_units:
+                open_units[pid].append(data)
     payload, index, offset = [], [], 0
     for random_access, parts in order:
         unit = _unit(b"".join(parts))
@@ -202,13 +241,13 @@ def demux(media: bytes) -> dict:
             offset += len(unit[1])
     return {
         "payload": b"".join(payload), "packets": packets, "programs": len(programs), "streams": len(streams),
-        "skipped_bytes": skipped, "continuity_errors": gaps, "repeated_packets": repeated, "bad_tables": bad_tables, "units": index,
+        "skipped_bytes": skipped, "continuity_errors": gaps, "repeated_packets": repeated, "transport_errors": errors, "bad_tables": bad_tables, "units": index,
     }
 
 
 STREAM = fields(
     payload="binary", packets="long", programs="int", streams="int", skipped_bytes="long", continuity_errors="long",
-    repeated_packets="long", bad_tables="long", units=T.ArrayType(fields(offset="long", pts="long", random_access="boolean")),
+    repeated_packets="long", transport_errors="long", bad_tables="long", units=T.ArrayType(fields(offset="long", pts="long", random_access="boolean")),
 )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -36,6 +37,59 @@ def test_broken_streams_are_counted():
     assert media.demux(b"")["payload"] == b""
 
 
+PAYLOADS = {
+    "G": b"G" * 40_000, "text": b"Good Grief, a GIANT GnU Goes Grazing. " * 1000,
+    "mixed": bytes(random.Random(3).choice(b"G\x00\x10\x37ab\xff") for _ in range(40_000)), "plain": b"no such letter here " * 2000,
+}
+
+
+def unit_of(place: int, stream: bytes) -> int:
+    """The number of the unit that a byte of a stream belongs to."""
+    heads = range(0, place // media.PACKET * media.PACKET + 1, media.PACKET)
+    return sum(stream[at + 1] & 0x40 != 0 and (stream[at + 1] & 0x1F) << 8 | stream[at + 2] == media.ES_PID for at in heads if stream[at + 1] & 0x40) - 1
+
+
+@pytest.mark.parametrize("name", PAYLOADS)
+def test_lost_and_added_bytes_hurt_their_units_only(name):
+    """Bytes that get lost or come in between cost at most the units that they lie in, whatever the payload holds."""
+    payload, pick = PAYLOADS[name], random.Random(1)
+    stream = media.mux(payload)
+    pieces = [payload[at : at + media.ACCESS_UNIT] for at in range(0, len(payload), media.ACCESS_UNIT)]
+    for _ in range(60):
+        place, n = pick.randrange(5 * media.PACKET, len(stream) - 300), pick.choice([1, 3, 10, 100, 188, 189, 200])
+        for broken in (stream[:place] + stream[place + n :], stream[:place] + bytes(pick.choice(b"G\x40\x10x") for _ in range(n)) + stream[place:]):
+            found = media.demux(broken)
+            hurt = {k for k in range(len(pieces)) if any(unit_of(p, stream) == k for p in (place, min(place + n, len(stream) - 1), max(0, place - media.PACKET)))}
+            back = [found["payload"][a:b] for a, b in zip([u[0] for u in found["units"]], [u[0] for u in found["units"][1:]] + [len(found["payload"])], strict=True)]
+            by_time = {pts // media.TICKS: piece for (_, pts, _), piece in zip(found["units"], back, strict=True) if pts is not None}
+            lost = [k for k, piece in enumerate(pieces) if by_time.get(k) != piece]
+            assert len(lost) <= 2 and all(min(abs(k - h) for h in hurt) <= 1 for k in lost), (place, n, lost, hurt)
+            # where whole packets' lengths go or come, the packets stay in step and what is mixed up can't be told
+            assert n == media.PACKET or all(pieces[k].startswith(by_time[k][: max(0, len(by_time[k]) - media.PACKET)]) for k in lost if k in by_time)
+
+
+def test_false_sync_bytes_in_front_and_damaged_ones():
+    stream = media.mux(b"Going " * 3000)
+    for junk in (b"G", b"GG", b"GGG", b"G\x40\x00\x10" * 3, b"x" * 500 + b"G"):
+        found = media.demux(junk + stream)
+        assert (found["payload"], found["skipped_bytes"], found["programs"]) == (b"Going " * 3000, len(junk), 1)
+    hurt = bytearray(stream)
+    hurt[10 * media.PACKET] = 0
+    found = media.demux(bytes(hurt))
+    assert found["continuity_errors"] == 1 and found["skipped_bytes"] == media.PACKET and len(found["payload"]) >= 6 * 3000 - media.ACCESS_UNIT
+
+
+def test_a_unit_ends_at_its_gap_and_flagged_packets_are_dropped():
+    payload = bytes(range(256)) * 60
+    stream = media.mux(payload)
+    hurt = bytearray(stream)
+    hurt[5 * media.PACKET + 1] |= 0x80  # in the middle of the first unit
+    found = media.demux(bytes(hurt))
+    assert (found["transport_errors"], found["continuity_errors"]) == (1, 1)
+    first = found["units"][1][0]
+    assert payload.startswith(found["payload"][:first]) and first < media.ACCESS_UNIT and found["payload"][first:] == payload[media.ACCESS_UNIT :]
+
+
 def test_repeated_packets_and_announced_gaps():
     stream = media.mux(b"z" * 5000)
     at = 3 * media.PACKET
