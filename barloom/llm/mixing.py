@@ -1,54 +1,66 @@
 """Mixing to target weights by iterative proportional fitting.
 
 Tokens are summed per (source, language, topic) cell. Raking scales the cells' weights to the
-target share of each source, then of each language, then of each topic, ``PASSES`` times over;
-every step is a window over the cells, so the table of cells may itself be distributed. A
-document's probability is its cell's raked weight over the cell's tokens; its own hash of the id
-decides.
-
-Without a ``rate`` the largest probability is 1: expected tokens have the raked shares, but one
-small cell sets the scale of all. With one, at least that share of all tokens is expected to stay:
-where the scale of the largest would keep less, weights are raked to that budget instead, no cell
-beyond its own tokens, until every category is within ``TOLERANCE`` of its target. A category whose
-target is more than it has is kept whole and the others of its kind share the rest. Targets that
-aren't met are logged (``missed`` lists them).
+target share of each source, then of each language, then of each topic, until every category is
+within ``TOLERANCE`` of its target, or ``PASSES`` times. A document's probability is its cell's
+raked weight over the cell's tokens; its own hash of the id decides.
 
-Targets come as DataFrames (category, share), or as a power to which observed shares are
-raised and renormalised (below 1: large categories are damped). Topics are the first of an
-ordered list of (name, substring) rules that a text satisfies.
+How much stays is a budget of tokens: what stays if the largest probability is 1, but at least ``rate``
+of all tokens, so that one small cell doesn't set the scale of all. Weights are raked to the budget's
+tokens with no cell beyond its own. A category whose target is more than it has is kept whole and
+the others of its kind share the rest. Targets that aren't met are logged (``missed`` lists them).
 
-Defined cases: null source, language or topic is the category ''; categories without a target
-keep their own share; a null or empty text has no tokens, and a cell without tokens is kept
-whole; repeated rows have the same fate; an empty table gives an empty result; other columns
-are carried by ``sample``, and those named like its results (``mix_...``) are replaced.
+Targets come as DataFrames (category, share), or as a power to which observed shares are
+raised and renormalised (below 1: large categories are damped). A document's topic is the caller's
+column or else learned: topic words are the most frequent among those words that at most one in
+``RARE`` documents holds, and a document's topic is the one that it holds most often.
+
+Cells are few (sources x languages x topics): up to ``GATHERED`` are raked in one task, as arrays.
+Beyond that the same steps are windows over the distributed table of cells.
+
+Defined cases: null source, language or topic is the category ''; a document without a topic word is of
+topic 'other'; categories without a target keep their own share; a null or empty text has no tokens, and
+a cell without tokens is kept whole; repeated rows have the same fate, and on equal counts the smaller
+topic word is taken; an empty table gives an empty result; other columns are carried by ``sample``, and
+those named like its results (a prefix, a parameter) are replaced.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.util import broadcast_up_to, hash_number
+from barloom.llm.util import broadcast_up_to, fields, hash_number
 from barloom.sources.shared import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
-PASSES = 8
 #: The share of all tokens that is expected to stay at least.
 RATE = 0.5
-#: Raking to a budget stops at this relative error of every category, or after so many rounds of passes.
-TOLERANCE, ROUNDS = 1e-3, 12
+#: Raking stops at this relative error of every category, or after so many passes; distributed it looks after every ``ROUND``.
+TOLERANCE, PASSES, ROUND = 1e-12, 64, 4
+#: A cell that lacks less than this share of its tokens stays whole.
+WHOLE = 1e-9
+#: From this relative error on a target counts as missed.
+MISSED = 1e-3
 SEED = "mix-1"
-#: A table of so many cells is broadcast at most.
-BROADCAST_CELLS = 20_000
-TOPICS = (("legal", "icense"), ("contact", "@"), ("listing", " | "))
-OTHER_TOPIC = "prose"
+#: Tables of so many cells are raked in one task, and broadcast, at most.
+GATHERED, BROADCAST_CELLS = 200_000, 20_000
+#: Topic words, the least letters of one, and the documents of which one may hold it.
+TOPICS, LETTERS, RARE = 12, 4, 20
+OTHER_TOPIC = "other"
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
+_WORD = rf"\p{{L}}{{{LETTERS},}}"
+
+Targets = dict[str, DataFrame | float]
 
 
 def token_count(text: str = "text") -> Column:
@@ -56,149 +68,224 @@ def token_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(_TOKEN)), F.lit(0)).cast("long")
 
 
-def topic(text: str = "text", rules: tuple[tuple[str, str], ...] = TOPICS) -> Column:
-    named = F.lit(OTHER_TOPIC)
-    for name, part in reversed(rules):
-        named = F.when(F.contains(F.col(text), F.lit(part)), F.lit(name)).otherwise(named)
-    return named
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0))
+
 
+def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
+    """The words that topics are named by, learned from all documents."""
+    counts = docs.select(F.explode(F.array_distinct(_words(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rare = counts.where(F.col("n") * F.lit(RARE) <= F.lit(docs.count()))
+    return [row["word"] for row in rare.orderBy(F.desc("n"), "word").limit(topics).collect()]
 
-def described(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns mix_source, mix_lang, mix_topic and mix_tokens."""
+
+def topic(words: list[str], text: str = "text") -> Column:
+    """The word of ``words`` that a text holds most often."""
+    if not words:
+        return F.lit(OTHER_TOPIC)
+    found = F.filter(_words(text), lambda word: word.isin(words))
+    times = lambda word: F.size(F.filter(found, lambda other: other == word))
+    most = F.array_min(F.transform(F.array_distinct(found), lambda word: F.struct((-times(word)).alias("n"), word.alias("word"))))
+    return F.coalesce(most["word"], F.lit(OTHER_TOPIC))
+
+
+def described(docs: DataFrame, text: str = "text", named: Column | None = None, prefix: str = "mix_") -> DataFrame:
+    """``docs`` with their source, lang, topic and tokens behind the prefix; ``named`` is the caller's topic."""
     blank = F.lit("")
-    return docs.withColumns({
-        "mix_source": F.coalesce("source", blank), "mix_lang": F.coalesce("lang", blank),
-        "mix_topic": topic(text), "mix_tokens": token_count(text),
-    })
+    named = topic(topic_words(docs, text), text) if named is None else F.coalesce(named, blank)
+    made = {"source": F.coalesce("source", blank), "lang": F.coalesce("lang", blank), "topic": named, "tokens": token_count(text)}
+    return docs.withColumns({prefix + name: column for name, column in made.items()})
 
 
-def _aimed(cells: DataFrame, targets: dict[str, DataFrame | float]) -> DataFrame:
-    """``cells`` with ``weight``, their share of all tokens, and the target share of each dimension's category."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    weighted = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+def _aimed(cells: DataFrame, targets: Targets) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens > 0) with the target share of each dimension's category."""
+    total, aimed = cells.agg(F.sum("tokens")).first()[0] or 1, cells
     for name in DIMENSIONS:
-        aim, goal = targets[name], weighted.groupBy(name).agg(F.sum("weight").alias("own"))
+        aim, goal = targets[name], cells.groupBy(name).agg((F.sum("tokens") / F.lit(total)).alias("own"))
         if isinstance(aim, DataFrame):
             goal = goal.join(aim.select(name, "share"), name, "left").select(name, F.coalesce("share", "own").alias("goal"))
         else:
             goal = goal.select(name, F.pow("own", F.lit(float(aim))).alias("goal"))
+        goal = checkpointed(goal)
         whole = goal.agg(F.sum("goal")).first()[0] or 1.0
-        weighted = weighted.join(goal.select(name, (F.col("goal") / F.lit(whole)).alias(f"goal_{name}")), name)
-    return checkpointed(weighted)
-
-
-def _raked(weighted: DataFrame, passes: int, budget: float | None = None) -> DataFrame:
-    """``weight`` after so many passes: shares, or with a ``budget`` tokens of which no cell gives more than it has."""
-    for _ in range(passes):
-        for name in DIMENSIONS:
-            here = F.sum("weight").over(Window.partitionBy(name))
-            if budget is None:
-                weight = F.col("weight") * F.col(f"goal_{name}") / here
-            else:
-                weight = F.when(here > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"goal_{name}") * F.lit(budget) / here)).otherwise(F.lit(0.0))
-            weighted = weighted.withColumn("weight", weight)
-    return weighted
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame | float], passes: int = PASSES) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens > 0) with ``weight``, the raked share of all tokens."""
-    return _raked(_aimed(cells, targets), passes).select(*DIMENSIONS, "tokens", "weight")
-
-
-def missed(weighted: DataFrame, budget: float, tolerance: float = TOLERANCE) -> DataFrame:
-    """(dimension, category, goal, reached): categories whose expected tokens aren't their share of the budget."""
-    sums = [
-        weighted.groupBy(F.lit(name).alias("dimension"), F.col(name).alias("category")).agg(
-            (F.first(f"goal_{name}") * F.lit(budget)).alias("goal"), F.sum(F.col("weight").cast("double")).alias("reached")
-        )
-        for name in DIMENSIONS
-    ]
-    return reduce(DataFrame.unionAll, sums).where(F.abs(F.col("reached") - F.col("goal")) > F.col("goal") * F.lit(tolerance))
+        aimed = aimed.join(broadcast_up_to(goal.select(name, (F.col("goal") / F.lit(whole)).alias(f"goal_{name}")), BROADCAST_CELLS), name)
+    return checkpointed(aimed)
 
 
-def _gathered(cells: DataFrame) -> DataFrame:
-    """A table of few cells as one partition, whose windows need no shuffle."""
-    return cells.coalesce(1) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
+class _Cells:
+    """Cells as arrays: ``tokens``, and of each dimension the cells' categories and the categories' shares."""
 
-
-def _affordable(weighted: DataFrame, budget: float) -> DataFrame:
-    """``weighted`` with each dimension's shares of the budget such that no category's is more than it has; the others share the rest."""
+    def __init__(self, frame: pd.DataFrame):
+        self.tokens, self.kinds, self.goals = frame["tokens"].to_numpy(float), [], []
+        for name in DIMENSIONS:
+            kinds, first = np.unique(frame[name].to_numpy(str), return_index=True)
+            self.kinds.append(np.searchsorted(kinds, frame[name].to_numpy(str)))
+            self.goals.append(frame[f"goal_{name}"].to_numpy(float)[first])
+
+    def sums(self, weight: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(kind, weight, len(goal)) for kind, goal in zip(self.kinds, self.goals, strict=True)]
+
+    def raked(self, weight: np.ndarray, goals: list[np.ndarray], most: np.ndarray | float = np.inf) -> np.ndarray:
+        for _ in range(PASSES):
+            for kind, goal in zip(self.kinds, goals, strict=True):
+                here = np.bincount(kind, weight, len(goal))
+                weight = np.minimum(most, weight * np.divide(goal, here, out=np.zeros_like(goal), where=here > 0)[kind])
+            if all((np.abs(here - goal) <= TOLERANCE * goal).all() for here, goal in zip(self.sums(weight), goals, strict=True)):
+                break
+        return weight
+
+    def affordable(self, budget: float) -> list[np.ndarray]:
+        """Each category's tokens of the budget: its share of it, or all it has and the others share the rest."""
+        out = []
+        for own, goal in zip(self.sums(self.tokens), self.goals, strict=True):
+            poor, scale = np.zeros(len(own), bool), budget
+            while not poor.all() and (more := own <= goal * scale).sum() > poor.sum():
+                poor = more
+                scale = (budget - own[poor].sum()) / goal[~poor].sum() if not poor.all() else scale
+            out.append(np.minimum(own, goal * scale))
+        return out
+
+    def weights(self, rate: float) -> tuple[np.ndarray, float]:
+        """Each cell's expected tokens, and the budget."""
+        total = self.tokens.sum()
+        free = self.raked(self.tokens / total, self.goals)
+        budget = max(rate * total, 1 / (free / self.tokens).max())
+        return self.raked(self.tokens * (budget / total), self.affordable(budget), self.tokens), budget
+
+
+def _gathered(rate: float):
+    def rake(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches), ignore_index=True)
+        if len(frame):
+            frame["weight"], frame["budget"] = _Cells(frame).weights(rate)
+            yield frame
+
+    return rake
+
+
+def _passes(cells: DataFrame, goals: dict[str, Column], most: Column | None = None) -> DataFrame:
+    """``_Cells.raked`` over a distributed table with ``weight``."""
+    for _ in range(0, PASSES, ROUND):
+        for name in DIMENSIONS * ROUND:
+            weight = F.when(F.col("weight") > 0, F.col("weight") * goals[name] / F.sum("weight").over(Window.partitionBy(name))).otherwise(F.lit(0.0))
+            cells = cells.withColumn("weight", weight if most is None else F.least(most, weight))
+        cells = checkpointed(cells)
+        off = [cells.groupBy(name).agg(F.sum("weight").alias("here"), F.max(goals[name]).alias("goal")).where(F.abs(F.col("here") - F.col("goal")) > F.col("goal") * TOLERANCE) for name in DIMENSIONS]
+        if reduce(DataFrame.unionAll, [df.select("here") for df in off]).isEmpty():
+            break
+    return cells
+
+
+def _affordable(cells: DataFrame, budget: float) -> DataFrame:
+    """``cells`` with ``_Cells.affordable`` in columns ``due_...``."""
     for name in DIMENSIONS:
-        kinds = checkpointed(weighted.groupBy(name).agg(F.first(f"goal_{name}").alias("goal"), F.sum("tokens").cast("double").alias("own")))
-        scale, whole = budget, -1
+        kinds = checkpointed(cells.groupBy(name).agg(F.max(f"goal_{name}").alias("goal"), F.sum("tokens").cast("double").alias("own")))
+        scale, before = budget, 0
         while True:
             poor = F.col("own") <= F.col("goal") * F.lit(scale)
             count, spent, rest = kinds.agg(F.count(F.when(poor, 1)), F.sum(F.when(poor, F.col("own"))), F.sum(F.when(~poor, F.col("goal")))).first()
-            if count == whole or not rest:
+            if count == before or not rest:
                 break
-            whole, scale = count, (budget - (spent or 0.0)) / rest
-        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
-        weighted = weighted.withColumn(f"goal_{name}", F.least(own, F.col(f"goal_{name}") * F.lit(scale)) / F.lit(budget))
-    return weighted
-
-
-def _within(weighted: DataFrame, budget: float, passes: int) -> DataFrame:
-    """Shares ``weight`` raked to tokens of ``budget`` until all targets are met that can be."""
-    _logged(missed(weighted.withColumn("weight", F.col("tokens")), budget).where("reached < goal"), "can't reach its target")
-    within = _affordable(weighted, budget).withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(budget)))
-    for _ in range(ROUNDS):
-        within = checkpointed(_raked(_gathered(within), passes, budget))
-        if missed(within, budget).isEmpty():
-            return within
-    _logged(missed(within, budget), "is not at its target")
-    return within
+            before, scale = count, (budget - (spent or 0.0)) / rest
+        due = kinds.select(name, F.least("own", F.col("goal") * F.lit(scale)).alias(f"due_{name}"))
+        cells = cells.join(broadcast_up_to(due, BROADCAST_CELLS), name)
+    return cells
+
+
+def _distributed(aimed: DataFrame, rate: float) -> DataFrame:
+    """``_Cells.weights`` over a table of any number of cells."""
+    total = aimed.agg(F.sum("tokens")).first()[0]
+    free = _passes(aimed.withColumn("weight", F.col("tokens") / F.lit(total)), {name: F.col(f"goal_{name}") for name in DIMENSIONS})
+    budget = max(rate * total, 1 / free.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0])
+    start = _affordable(aimed.withColumn("weight", F.col("tokens") * F.lit(budget / total)), budget)
+    made = _passes(start, {name: F.col(f"due_{name}") for name in DIMENSIONS}, F.col("tokens").cast("double"))
+    return made.withColumn("budget", F.lit(budget)).select(*aimed.columns, "weight", "budget")
+
+
+def rake(cells: DataFrame, targets: Targets, rate: float = RATE) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens > 0) with ``weight``, the tokens of each that are expected to stay, the ``budget`` and the shares aimed at (``goal_...``)."""
+    aimed = _aimed(checkpointed(cells), targets)
+    size = aimed.limit(GATHERED + 1).count()
+    if 0 < size <= GATHERED:
+        schema = fields(**{name: kind.dataType for name, kind in zip(aimed.columns, aimed.schema, strict=True)}, weight="double", budget="double")
+        made = checkpointed(aimed.coalesce(1).mapInPandas(_gathered(rate), schema))
+    else:
+        made = _distributed(aimed, rate) if size else aimed.withColumns({"weight": F.lit(0.0), "budget": F.lit(0.0)})
+    _logged(missed(made))
+    return made
+
+
+def missed(raked: DataFrame, tolerance: float = MISSED) -> DataFrame:
+    """(dimension, category, goal, reached): categories whose expected tokens aren't their share of the budget."""
+    sums = [
+        raked.groupBy(F.lit(name).alias("dimension"), F.col(name).alias("category")).agg(F.max(F.col(f"goal_{name}") * F.col("budget")).alias("goal"), F.sum("weight").alias("reached"))
+        for name in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionAll, sums).where(F.abs(F.col("reached") - F.col("goal")) > F.col("goal") * F.lit(tolerance))
 
 
-def _logged(rows: DataFrame, what: str) -> None:
+def _logged(rows: DataFrame) -> None:
     for row in rows.orderBy(F.desc(F.abs(F.col("reached") - F.col("goal")))).limit(20).collect():
-        logging.getLogger(__name__).warning("mixing: %s %r %s: %.0f of %.0f tokens", row["dimension"], row["category"], what, row["reached"], row["goal"])
+        logging.getLogger(__name__).warning("mixing: %s %r: %.0f of %.0f tokens", row["dimension"], row["category"], row["reached"], row["goal"])
 
 
 def calibrated(
-    docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, text: str = "text", rate: float | None = RATE
+    docs: DataFrame, targets: Targets = POWERS, text: str = "text", rate: float = RATE, named: Column | None = None, prefix: str = "mix_"
 ) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens and ``mix_probability``."""
-    marked = described(docs, text)
-    names = {f"mix_{name}": name for name in DIMENSIONS}
-    cells = marked.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).withColumnsRenamed(names)
-    raked = checkpointed(_raked(_gathered(_aimed(checkpointed(cells.where("tokens > 0")), targets)), passes))
-    most, total = raked.agg(F.max(F.col("weight") / F.col("tokens")), F.sum("tokens")).first()
-    chance = F.col("weight") / F.col("tokens") / F.lit(most or 1.0)
-    if rate is not None and total and 1 / most < rate * total:
-        raked, chance = _within(raked, rate * total, passes), F.col("weight") / F.col("tokens")
-    chances = raked.select(*[F.col(name).alias(column) for column, name in names.items()], chance.alias("mix_probability"))
-    found = marked.drop("mix_probability").join(broadcast_up_to(chances, BROADCAST_CELLS), [*names], "left")
-    return found.withColumn("mix_probability", F.coalesce("mix_probability", F.lit(1.0)))
+    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens and mix_probability (``mix_`` is the ``prefix``)."""
+    marked = described(docs, text, named, prefix)
+    names = {f"{prefix}{name}": name for name in DIMENSIONS}
+    cells = marked.groupBy(*names).agg(F.sum(f"{prefix}tokens").alias("tokens")).withColumnsRenamed(names)
+    raked = rake(cells.where("tokens > 0"), targets, rate)
+    chance = f"{prefix}probability"
+    ratio = F.col("weight") / F.col("tokens")
+    chances = raked.select(*[F.col(name).alias(column) for column, name in names.items()], F.when(ratio > 1 - WHOLE, 1.0).otherwise(ratio).alias(chance))
+    found = marked.drop(chance).join(broadcast_up_to(chances, BROADCAST_CELLS), [*names], "left")
+    return found.withColumn(chance, F.coalesce(chance, F.lit(1.0)))
 
 
 def sample(
-    docs: DataFrame, targets: dict[str, DataFrame | float] = POWERS, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text", rate: float | None = RATE
+    docs: DataFrame, targets: Targets = POWERS, doc_id: str = "doc_id", text: str = "text", rate: float = RATE, named: Column | None = None, prefix: str = "mix_"
 ) -> DataFrame:
     """The rows of ``calibrated`` whose hash falls below their probability."""
     salted = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return calibrated(docs, targets, passes, text, rate).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col("mix_probability"))
+    return calibrated(docs, targets, text, rate, named, prefix).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col(f"{prefix}probability"))
 
 
 def oracle() -> str:
-    """DuckDB SQL of ``sample`` over documents with the default targets and no rate."""
-    cases = " ".join(f"WHEN contains(text, '{part}') THEN '{name}'" for name, part in TOPICS)
-    goals = "".join(
-        f", g_{n} AS (SELECT {n}, pow(own, {POWERS[n]}) / sum(pow(own, {POWERS[n]})) OVER () AS goal FROM "
-        f"(SELECT {n}, sum(tokens) / (SELECT sum(tokens) FROM c) AS own FROM c GROUP BY 1))\n"
-        for n in DIMENSIONS
-    )
-    steps, last = "", "w"
-    for k in range(PASSES):
+    """DuckDB SQL of ``sample`` over documents with the default targets."""
+    goals, cells, dues = "", "", ""
+    for n in DIMENSIONS:
+        goals += f", g_{n} AS (SELECT {n}, own, pow(own / t, {POWERS[n]}) / sum(pow(own / t, {POWERS[n]})) OVER () AS goal FROM (SELECT {n}, sum(tokens) AS own FROM c GROUP BY 1), total)\n"
+        cells += f" JOIN g_{n} USING ({n})"
+        # in the order of what they have for their goal, categories are poor up to the first that isn't
+        dues += f""", p_{n} AS (SELECT *, own / goal <= (b - coalesce(sum(own) OVER before, 0)) / (1 - coalesce(sum(goal) OVER before, 0)) AS poor FROM g_{n}, budget
+            WINDOW before AS (ORDER BY own / goal, {n} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+     , d_{n} AS (SELECT {n}, least(own, goal * coalesce((b - coalesce(sum(own) FILTER (poor) OVER (), 0)) / nullif(sum(goal) FILTER (NOT poor) OVER (), 0), b)) AS due_{n} FROM p_{n})\n"""
+
+    def passes(table: str, columns: dict[str, str], capped: bool) -> str:
+        inner = f"SELECT step, source, lang, topic, tokens, {', '.join(columns.values())}, weight FROM {table} WHERE step < {PASSES}"
         for n in DIMENSIONS:
-            steps += f", w{k}{n} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * goal / sum(weight) OVER (PARTITION BY {n}) AS weight FROM {last} JOIN g_{n} USING ({n}))\n"
-            last = f"w{k}{n}"
+            weight = f"CASE WHEN weight > 0 THEN weight * {columns[n]} / sum(weight) OVER (PARTITION BY {n}) ELSE 0 END"
+            inner = f"SELECT * REPLACE ({f'least(tokens, {weight})' if capped else weight} AS weight) FROM ({inner})"
+        return f"SELECT * REPLACE (step + 1 AS step) FROM ({inner})"
+
+    shares, due = {n: f"goal_{n}" for n in DIMENSIONS}, {n: f"due_{n}" for n in DIMENSIONS}
+    named = ", ".join(f"g_{n}.goal AS goal_{n}" for n in DIMENSIONS)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-                  CASE {cases} ELSE '{OTHER_TOPIC}' END AS topic,
-                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
-     c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0)
-{goals}, w AS (SELECT *, tokens / (SELECT sum(tokens) FROM c) AS weight FROM c)
-{steps}, r AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM {last}) AS chance FROM {last}),
-     s AS (SELECT d.*, coalesce(chance, 1) AS p FROM d LEFT JOIN r USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, tokens AS n_tokens, round(p, 6) AS probability FROM s
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+                  regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words,
+                  len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'))::BIGINT AS n_tokens FROM documents),
+     v AS (SELECT word FROM (SELECT unnest(list_distinct(words)) AS word FROM x) GROUP BY 1 HAVING count(*) * {RARE} <= (SELECT count(*) FROM x) ORDER BY count(*) DESC, word LIMIT {TOPICS}),
+     o AS (SELECT row, arg_min(word, row(-n, word)) AS topic FROM (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM x) JOIN v USING (word) GROUP BY ALL) GROUP BY 1),
+     d AS (SELECT doc_id, source, lang, coalesce(topic, '{OTHER_TOPIC}') AS topic, n_tokens FROM x LEFT JOIN o USING (row)),
+     c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+     total AS (SELECT sum(tokens) AS t FROM c)
+{goals}, free AS (SELECT 0 AS step, source, lang, topic, tokens, {named}, tokens / t AS weight FROM c{cells}, total
+               UNION ALL {passes('free', shares, False)}),
+     budget AS (SELECT greatest({RATE} * t, (SELECT 1 / max(weight / tokens) FROM free WHERE step = {PASSES})) AS b, t FROM total)
+{dues}, raked AS (SELECT 0 AS step, source, lang, topic, tokens, {', '.join(due.values())}, tokens * (b / t) AS weight
+               FROM c{''.join(f' JOIN d_{n} USING ({n})' for n in DIMENSIONS)}, budget UNION ALL {passes('raked', due, True)}),
+     s AS (SELECT d.*, coalesce(weight / tokens, 1) AS p FROM d LEFT JOIN (FROM raked WHERE step = {PASSES}) USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability FROM s
 WHERE ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / pow(2, 52) < p"""

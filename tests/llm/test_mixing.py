@@ -1,16 +1,69 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing
+from tests.conftest import TESTDATA
+
+
+def share(spark, name: str, **kinds: float):
+    return spark.createDataFrame([*kinds.items()], f"{name} string, share double")
 
 
-def test_raked_shares_are_the_targets(spark):
+@pytest.mark.parametrize("gathered", [mixing.GATHERED, 0])
+def test_raked_shares_are_the_targets(spark, monkeypatch, gathered):
+    monkeypatch.setattr(mixing, "GATHERED", gathered)
     cells = spark.createDataFrame([(s, l, t, float(1 + k)) for k, (s, l, t) in enumerate((s, l, t) for s in "ab" for l in "xyz" for t in "pq")], "source string, lang string, topic string, tokens double")
-    share = lambda name, **kinds: spark.createDataFrame([*kinds.items()], f"{name} string, share double")
-    targets = {"source": share("source", a=0.3, b=0.7), "lang": share("lang", x=0.5, y=0.25, z=0.25), "topic": 1.0}
-    raked = mixing.rake(cells, targets, passes=30)
-    assert {r[0]: pytest.approx(r[1], abs=1e-6) for r in raked.groupBy("source").agg(F.sum("weight")).collect()} == {"a": 0.3, "b": 0.7}
-    assert {r[0]: pytest.approx(r[1], abs=1e-6) for r in raked.groupBy("lang").agg(F.sum("weight")).collect()} == {"x": 0.5, "y": 0.25, "z": 0.25}
+    targets = {"source": share(spark, "source", a=0.3, b=0.7), "lang": share(spark, "lang", x=0.5, y=0.25, z=0.25), "topic": 1.0}
+    raked = mixing.rake(cells, targets, 0.1)
+    budget = raked.first()["budget"]
+    assert {r[0]: pytest.approx(r[1] / budget, abs=1e-6) for r in raked.groupBy("source").agg(F.sum("weight")).collect()} == {"a": 0.3, "b": 0.7}
+    assert {r[0]: pytest.approx(r[1] / budget, abs=1e-6) for r in raked.groupBy("lang").agg(F.sum("weight")).collect()} == {"x": 0.5, "y": 0.25, "z": 0.25}
+    assert raked.where("weight > tokens * 1.000001").isEmpty() and raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] == pytest.approx(1, abs=1e-6)
+
+
+def test_distributed_and_gathered_alike(spark, monkeypatch):
+    """Sparse cells, a category that can't reach its target and one without a target, in one task and by windows."""
+    rng = random.Random(2)
+    kinds = [(f"s{a}", f"l{b}", f"t{c}") for a in range(6) for b in range(4) for c in range(5)]
+    cells = spark.createDataFrame([(*kind, rng.randrange(1, 10 ** rng.randrange(1, 6))) for kind in rng.sample(kinds, 110)], "source string, lang string, topic string, tokens long")
+    targets = {"source": 0.5, "lang": share(spark, "lang", l0=0.9, l1=0.05), "topic": 0.9}
+    made = []
+    for gathered in (mixing.GATHERED, 0):
+        monkeypatch.setattr(mixing, "GATHERED", gathered)
+        made.append({tuple(row[name] for name in mixing.DIMENSIONS): row["weight"] for row in mixing.rake(cells, targets).collect()})
+    assert made[0].keys() == made[1].keys() and all(made[1][k] == pytest.approx(x, rel=1e-6, abs=1e-6) for k, x in made[0].items())
+
+
+def test_all_three_marginals_of_documents_are_met(spark):
+    """At the scale of the largest probability no cell is at its end, so every target can be met."""
+    made = mixing.calibrated(spark.read.parquet(str(TESTDATA / "sf0.01/documents.parquet")), rate=0.0).where("mix_tokens > 0")
+    kept = F.sum(F.col("mix_tokens") * F.col("mix_probability"))
+    total = made.agg(kept).first()[0]
+    for name, power in mixing.POWERS.items():
+        rows = made.groupBy(f"mix_{name}").agg(F.sum("mix_tokens").alias("own"), kept.alias("kept")).collect()
+        whole = sum(row["own"] ** power for row in rows)
+        assert len(rows) > 1 and all(row["kept"] / total == pytest.approx(row["own"] ** power / whole, abs=1e-6) for row in rows)
+
+
+def test_topics(spark):
+    rows = [(k, f"common {'alpha ' * (k % 40 == 0)}{'alpha gamma gamma ' * (k % 40 == 1)}{'beta gamma ' * (k % 40 == 2)} a b", "en", "s", k) for k in range(400)] + [(400, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag long")
+    assert mixing.topic_words(docs) == ["alpha", "gamma", "beta"]
+    found = {row["doc_id"]: row["mix_topic"] for row in mixing.described(docs).collect()}
+    assert [found[k] for k in (0, 1, 2, 3, 400)] == ["alpha", "gamma", "beta", "other", "other"]
+    named = mixing.described(docs, named=F.when(F.col("tag") % 2 == 0, "even"), prefix="own_")
+    assert {row["own_topic"] for row in named.collect()} == {"even", ""} and "mix_topic" not in named.columns
+
+
+def test_repeated_rows_and_categories_without_a_target(spark):
+    rows = [(k // 2, "some words here", "en" if k % 3 else "de", f"s{k % 5}") for k in range(200)] + [(10_000, "some words here", None, None)]
+    docs = spark.createDataFrame([(i, t, "xx", s) if i == 7 else (i, t, l, s) for i, t, l, s in rows], "doc_id long, text string, lang string, source string")
+    made = mixing.calibrated(docs, {"source": share(spark, "source", s0=0.5), "lang": share(spark, "lang", en=0.5), "topic": 1.0})
+    assert made.count() == len(rows) and made.where("mix_probability is null or mix_probability <= 0").isEmpty()
+    kept = mixing.sample(docs.unionByName(docs)).groupBy("doc_id", "text", "lang", "source").count().collect()
+    assert kept and all(row["count"] % 2 == 0 for row in kept)
 
 
 def test_probabilities_and_sample(spark, sf_dir):
@@ -38,13 +91,13 @@ def test_a_tiny_cell_does_not_set_the_scale(spark):
     rows = [(k, "some words of a text " * (1 + k % 3), ("en", "de", "fr")[k % 3], f"src{k % 2}") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     whole = docs.agg(F.sum(mixing.token_count())).first()[0]
-    share = lambda made: made.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()[0] / whole
+    kept = lambda made: made.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()[0] / whole
     before = {row["doc_id"]: row["mix_probability"] for row in mixing.calibrated(docs).collect()}
     rare = docs.unionByName(spark.createDataFrame([(10_000, "ten words", "xx", "rare")], docs.schema))
     made = mixing.calibrated(rare).cache()
     after = {row["doc_id"]: row["mix_probability"] for row in made.collect()}
     assert after.pop(10_000) == 1 and max(after.values()) <= 1
-    assert share(made) >= mixing.RATE * 0.99 > share(mixing.calibrated(rare, rate=None))
+    assert kept(made) >= mixing.RATE * 0.99 > kept(mixing.calibrated(rare, rate=0.0))
     langs = lambda made: {r[0]: r[1] for r in made.where("mix_lang != 'xx'").groupBy("mix_lang").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).collect()}
     old, new = langs(mixing.calibrated(docs)), langs(made)
     assert set(before) == set(after)
