@@ -12,8 +12,8 @@ the others of its kind share the rest. Targets that aren't met are logged (``mis
 
 Targets come as DataFrames (category, share), or as a power to which observed shares are
 raised and renormalised (below 1: large categories are damped). A document's topic is the caller's
-column or else learned: topic words are the most frequent among those words that at most one in
-``RARE`` documents holds, and a document's topic is the one that it holds most often.
+column or else learned: topic words are the most frequent among those words (of ``LETTERS`` characters or
+more) that at most one in ``RARE`` documents holds, and a document's topic is the one that it holds most often.
 
 Cells are few (sources x languages x topics): up to ``GATHERED`` are raked in one task, as arrays.
 Beyond that the same steps are windows over the distributed table of cells.
@@ -53,29 +53,30 @@ MISSED = 1e-3
 SEED = "mix-1"
 #: Tables of so many cells are raked in one task, and broadcast, at most.
 GATHERED, BROADCAST_CELLS = 200_000, 20_000
-#: Topic words, the least letters of one, and the documents of which one may hold it.
+#: Topic words, the least characters of one, and the documents of which one may hold it.
 TOPICS, LETTERS, RARE = 12, 4, 20
 OTHER_TOPIC = "other"
 
-_TOKEN = r"[^\x20\x09-\x0D]+"
-_WORD = rf"\p{{L}}{{{LETTERS},}}"
+_BLANK = r"[\x20\x09-\x0D]"
 
 Targets = dict[str, DataFrame | float]
+#: What raking adds to cells.
+RAKED = (*[f"goal_{name}" for name in DIMENSIONS], "weight", "budget")
 
 
-def token_count(text: str = "text") -> Column:
-    """Whitespace-separated words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(_TOKEN)), F.lit(0)).cast("long")
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.col(text), _BLANK), "")
 
 
-def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0))
+def token_count(text: str = "text") -> Column:
+    """Whitespace-separated words of a text; 0 for null."""
+    return F.coalesce(F.size(_words(text)), F.lit(0)).cast("long")
 
 
 def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
     """The words that topics are named by, learned from all documents."""
-    counts = docs.select(F.explode(F.array_distinct(_words(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = counts.where(F.col("n") * F.lit(RARE) <= F.lit(docs.count()))
+    words = docs.select(F.explode(F.array_distinct(_words(text))).alias("word")).where(F.length("word") >= LETTERS)
+    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * F.lit(RARE) <= F.lit(docs.count()))
     return [row["word"] for row in rare.orderBy(F.desc("n"), "word").limit(topics).collect()]
 
 
@@ -115,12 +116,18 @@ def _aimed(cells: DataFrame, targets: Targets) -> DataFrame:
 class _Cells:
     """Cells as arrays: ``tokens``, and of each dimension the cells' categories and the categories' shares."""
 
-    def __init__(self, frame: pd.DataFrame):
+    def __init__(self, frame: pd.DataFrame, powers: dict[str, float]):
         self.tokens, self.kinds, self.goals = frame["tokens"].to_numpy(float), [], []
         for name in DIMENSIONS:
-            kinds, first = np.unique(frame[name].to_numpy(str), return_index=True)
-            self.kinds.append(np.searchsorted(kinds, frame[name].to_numpy(str)))
-            self.goals.append(frame[f"goal_{name}"].to_numpy(float)[first])
+            _, first, kinds = np.unique(frame[name].to_numpy(object), return_index=True, return_inverse=True)
+            goal = np.bincount(kinds, self.tokens) / self.tokens.sum()
+            if name in powers:
+                goal = goal ** powers[name]
+            else:
+                shares = frame[f"share_{name}"].to_numpy(float)[first]
+                goal = np.where(np.isnan(shares), goal, shares)
+            self.kinds.append(kinds)
+            self.goals.append(goal / (goal.sum() or 1.0))
 
     def sums(self, weight: np.ndarray) -> list[np.ndarray]:
         return [np.bincount(kind, weight, len(goal)) for kind, goal in zip(self.kinds, self.goals, strict=True)]
@@ -153,12 +160,13 @@ class _Cells:
         return self.raked(self.tokens * (budget / total), self.affordable(budget), self.tokens), budget
 
 
-def _gathered(rate: float):
+def _gathered(rate: float, powers: dict[str, float]):
     def rake(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(batches), ignore_index=True)
         if len(frame):
-            frame["weight"], frame["budget"] = _Cells(frame).weights(rate)
-            yield frame
+            made = _Cells(frame, powers)
+            frame["weight"], frame["budget"] = made.weights(rate)
+            yield frame[[*DIMENSIONS, "tokens"]].assign(**{f"goal_{name}": goal[kinds] for name, goal, kinds in zip(DIMENSIONS, made.goals, made.kinds, strict=True)}, weight=frame["weight"], budget=frame["budget"])
 
     return rake
 
@@ -204,13 +212,15 @@ def _distributed(aimed: DataFrame, rate: float) -> DataFrame:
 
 def rake(cells: DataFrame, targets: Targets, rate: float = RATE) -> DataFrame:
     """``cells`` (source, lang, topic, tokens > 0) with ``weight``, the tokens of each that are expected to stay, the ``budget`` and the shares aimed at (``goal_...``)."""
-    aimed = _aimed(checkpointed(cells), targets)
-    size = aimed.limit(GATHERED + 1).count()
+    cells = checkpointed(cells.select(*DIMENSIONS, "tokens"))
+    size = cells.limit(GATHERED + 1).count()
     if 0 < size <= GATHERED:
-        schema = fields(**{name: kind.dataType for name, kind in zip(aimed.columns, aimed.schema, strict=True)}, weight="double", budget="double")
-        made = checkpointed(aimed.coalesce(1).mapInPandas(_gathered(rate), schema))
+        asked, powers = cells, {name: float(aim) for name, aim in targets.items() if not isinstance(aim, DataFrame)}
+        for name in {*DIMENSIONS} - {*powers}:
+            asked = asked.join(broadcast_up_to(targets[name].select(name, F.col("share").cast("double").alias(f"share_{name}")), BROADCAST_CELLS), name, "left")
+        made = checkpointed(asked.coalesce(1).mapInPandas(_gathered(rate, powers), fields(**{kind.name: kind.dataType for kind in cells.schema}, **dict.fromkeys(RAKED, "double"))))
     else:
-        made = _distributed(aimed, rate) if size else aimed.withColumns({"weight": F.lit(0.0), "budget": F.lit(0.0)})
+        made = _distributed(_aimed(cells, targets), rate) if size else cells.withColumns({name: F.lit(0.0) for name in RAKED})
     _logged(missed(made))
     return made
 
@@ -274,9 +284,8 @@ def oracle() -> str:
     named = ", ".join(f"g_{n}.goal AS goal_{n}" for n in DIMENSIONS)
     return f"""
 WITH RECURSIVE x AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-                  regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words,
-                  len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'))::BIGINT AS n_tokens FROM documents),
-     v AS (SELECT word FROM (SELECT unnest(list_distinct(words)) AS word FROM x) GROUP BY 1 HAVING count(*) * {RARE} <= (SELECT count(*) FROM x) ORDER BY count(*) DESC, word LIMIT {TOPICS}),
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda w: w <> '') AS words, len(words)::BIGINT AS n_tokens FROM documents),
+     v AS (SELECT word FROM (SELECT unnest(list_distinct(words)) AS word FROM x) WHERE length(word) >= {LETTERS} GROUP BY 1 HAVING count(*) * {RARE} <= (SELECT count(*) FROM x) ORDER BY count(*) DESC, word LIMIT {TOPICS}),
      o AS (SELECT row, arg_min(word, row(-n, word)) AS topic FROM (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM x) JOIN v USING (word) GROUP BY ALL) GROUP BY 1),
      d AS (SELECT doc_id, source, lang, coalesce(topic, '{OTHER_TOPIC}') AS topic, n_tokens FROM x LEFT JOIN o USING (row)),
      c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
