@@ -11,15 +11,18 @@ Texts are seen as lower-case letters with one blank for each run of other charac
 segment of ``SEGMENT`` characters is parsed on its own, all segments of a text add up, and
 many segments are parsed side by side as one array, a character at a time.
 
-The sample takes whole documents in the order of a hash of their ids until a language has
-``SAMPLE_CHARS`` characters (less if the languages' samples together would pass
-``TOTAL_CHARS``) or ``SAMPLE_DOCS`` documents, which bounds what the driver and the workers hold. Everything else works on
-all rows.
+The sample takes documents in the order of a hash of their ids until a language has
+``SAMPLE_CHARS`` characters (less if the languages' samples together would pass ``TOTAL_CHARS``) or
+``SAMPLE_DOCS`` documents. Documents are taken whole, only of one longer than ``DOC_CHARS`` characters so many are, in
+parts spread evenly over it. Which hashes a language needs follows from counts over all rows, so
+that a bounded number of rows is ever gathered, on however many machines: about three times the
+sample. Everything else works on all rows.
 
 Every letter of a sample has a class of its own, however many scripts there are. While all letters
 fit ``CLASSES`` the automata are dense tables; else each is a sorted list of its transitions.
 
-Defined cases: null ids, texts and languages teach nothing; a text that is null or has no
+Defined cases: null ids, texts and languages teach nothing; of rows that share an id and language one
+text is learned from (the smallest); a text that is null or has no
 letter is ``und`` with score 0, and so is every text if no language was learned; equal texts
 give equal results and equal code lengths go to the language that sorts first; letters unknown
 to a language are phrases of their own; an empty table gives an empty result; other columns
@@ -36,16 +39,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.llm.util import broadcast_up_to, fields, hash_number, id_remainder
+from barloom.llm.util import broadcast_up_to, fields, hash_number, id_remainder, whole_or_pieces
 from barloom.sources.shared import checkpointed
 
 SAMPLE_CHARS, TOTAL_CHARS = 24_000, 1_600_000
-#: Documents of a language's sample at most.
-SAMPLE_DOCS = 400
-#: So many sampled rows are broadcast at most.
+#: Documents of a language's sample at most, and characters of one.
+SAMPLE_DOCS, DOC_CHARS = 400, 6_000
+#: So many languages are broadcast at most.
 BROADCAST_ROWS = 50_000
+#: Bits of the hash that orders documents.
+ORDER_BITS = 60
 SEGMENT = 256
 #: Segments that are parsed side by side.
 ABREAST = 4096
@@ -116,10 +120,9 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]):
         self.alphabet = "".join(sorted({char for texts in samples.values() for text in texts for char in text.lower() if char.isalpha()}))
         self.languages = sorted(samples)
-        share = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, len(samples)))
         self.bits, self.edges = [], []
         for language in self.languages:
-            sample = [code for text in samples[language] for code in [*classified(text, self.alphabet).tolist(), OTHER]][:share]
+            sample = [code for text in samples[language] for code in [*classified(text, self.alphabet).tolist(), OTHER]]
             automaton = suffix_automaton(sample)
             arcs = np.array([(state, code, to) for state, follow in enumerate(automaton) for code, to in follow.items() if code != OTHER], np.int32)
             self.bits.append(math.log2(max(2, len(sample))))
@@ -225,21 +228,23 @@ class CrossParser:
 
 def labelled_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """Texts by language from the rows of the learning folds, in the order of a hash of their ids, up to the documented bounds."""
-    learning = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_remainder(doc_id, FOLDS) != HELD_OUT))
-    order = hash_number(F.col(doc_id).cast("string"), 15)
-    short = learning.select(F.col(lang).alias("lang"), order.alias("order"), F.length(text).alias("chars"), F.col(doc_id).alias("id"))
-    chosen = Window.partitionBy("lang").orderBy("order", "id")
-    first = short.where("chars > 0").withColumn("row", F.row_number().over(chosen)).where(F.col("row") <= SAMPLE_DOCS)
-    before = F.coalesce(F.sum("chars").over(chosen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = checkpointed(first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "id", "order"))
-    rows = (
-        learning.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-        .join(broadcast_up_to(wanted, BROADCAST_ROWS), ["id", "lang"])
-        .collect()
+    order = hash_number(F.col(doc_id).cast("string"), ORDER_BITS // 4)
+    learning = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & (id_remainder(doc_id, FOLDS) != HELD_OUT)).select(
+        F.col(lang).alias("lang"), order.alias("order"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.least(F.length(text), F.lit(DOC_CHARS)).alias("chars")
     )
+    counts = checkpointed(learning.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"), F.avg("chars").alias("chars")))
+    share = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, counts.count()))
+    # three times the documents that the share takes, and some, as lengths vary
+    needed = F.least(F.lit(SAMPLE_DOCS), F.lit(3 * share) / F.col("chars") + 30)
+    least = counts.select("lang", (F.least(F.lit(1.0), needed * 1.2 / F.col("ids")) * float(1 << ORDER_BITS)).alias("below"))
+    near = learning.join(broadcast_up_to(least, BROADCAST_ROWS), "lang").where(F.col("order") < F.col("below"))
+    rows = near.groupBy("lang", "id", "order").agg(F.min(whole_or_pieces("text", DOC_CHARS)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["order"], r["id"], r["text"])):
-        samples.setdefault(row["lang"], []).append(row["text"])
+    taken: dict[str, int] = {}
+    for row in sorted(rows, key=lambda r: (r["lang"], r["order"], r["id"])):
+        if taken.get(row["lang"], 0) < share and len(samples.get(row["lang"], [])) < SAMPLE_DOCS:
+            samples.setdefault(row["lang"], []).append(row["text"])
+            taken[row["lang"]] = taken.get(row["lang"], 0) + len(row["text"])
     return samples
 
 

@@ -57,6 +57,57 @@ def test_languages_of_many_scripts():
     assert list(made["lang_pred"]) == asked
 
 
+def brute_sparse(text: str, sample: str, known: set[str]) -> int:
+    """Phrases by substring search, with letters as they are."""
+    count, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at] in known and text[at : end + 1] in sample:
+            end += 1
+        count, at = count + 1, end
+    return count
+
+
+def test_thousands_of_letters_against_substring_search():
+    """Seven languages at once, two of them of 3,000 letters; unseen texts are told apart, and phrases are those of substring search."""
+    pick = random.Random(11)
+    han, kana = [chr(0x4E00 + k) for k in range(3000)], [chr(0x3041 + k) for k in range(80)]
+    alphabets = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": [chr(0x430 + k) for k in range(32)], "el": [chr(0x3B1 + k) for k in range(25)], "ar": [chr(0x627 + k) for k in range(20)], "hi": [chr(0x915 + k) for k in range(36)]}
+    words = {lang: ["".join(pick.choices([*chars], k=5)) for _ in range(300)] for lang, chars in alphabets.items()}
+    weights = [1 / (k + 3) for k in range(3000)]
+    mixed = lambda chars, n: "".join(pick.choices(chars, k=n))
+    made = {lang: (lambda own: lambda n: " ".join(pick.choices(own, k=n)))(own) for lang, own in words.items()}
+    made["zh"] = lambda n: "".join(pick.choices(han, weights, k=n * 3))
+    made["ja"] = lambda n: "".join(mixed(kana, 3) + pick.choices(han[::-1], weights, k=1)[0] for _ in range(n))
+    samples = {lang: [text(40) for _ in range(100)] for lang, text in made.items()}
+    parser = langid.CrossParser(samples)
+    asked = [lang for lang in made for _ in range(50)]
+    texts = [made[lang](30) for lang in asked]
+    found = list(parser.predict(pd.Series(texts))["lang_pred"])
+    assert sum(a == b for a, b in zip(found, asked, strict=True)) >= 0.95 * len(asked)
+    assert all(sum(a == b for a, b in zip(found, asked, strict=True) if b == lang) >= 45 for lang in made)
+    assert {*"".join(samples["zh"] + samples["ja"])} <= {*parser.alphabet} and len(parser.alphabet) > 2000
+    for text in texts[::37]:
+        counted = parser.phrases(langid.classified(text, parser.alphabet).reshape(1, -1))[:, 0]
+        for language, n in zip(parser.languages, counted, strict=True):
+            sample = "\0".join(samples[language])
+            assert n == brute_sparse(text, sample, {*sample})
+
+
+def test_sample_is_whole_and_bounded(spark):
+    """Long documents give pieces from all over, others all they have; rows that share an id count once; more rows don't gather more."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"begin {'w' * (i % 400)} end{i}", "aa") for i in ids] + [(ids[0], "zz", "aa")] * 100
+    rows += [(i, "".join(f"<{k}>" for k in range(60_000)), "bb") for i in ids[:12]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    sample = langid.labelled_sample(docs)
+    chars = {lang: sum(map(len, texts)) for lang, texts in sample.items()}
+    assert langid.SAMPLE_CHARS <= chars["aa"] < langid.SAMPLE_CHARS + 500 and langid.SAMPLE_CHARS <= chars["bb"] < langid.SAMPLE_CHARS + langid.DOC_CHARS
+    assert all(text.startswith("begin") and "end" in text for text in sample["aa"]) and len({*sample["aa"]}) == len(sample["aa"])
+    assert all("<59999>" in text and "<30" in text and len(text) <= langid.DOC_CHARS + 8 for text in sample["bb"])
+    assert langid.labelled_sample(docs.repartition(3)) == sample
+
+
 def test_sparse_and_dense_count_alike():
     wide = langid.CrossParser(SAMPLES | {"cc": ["".join(chr(0x4E00 + k) for k in range(300))]})
     texts = pd.Series(["the cat and der hund", "ein Rat, that ran", "zzz the", "und " * 200])
