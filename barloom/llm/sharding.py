@@ -4,10 +4,11 @@ Each key has ``HASH_BITS`` hash bits. The directory starts with one bucket; a bu
 rows exceed the byte limit, and only such a bucket, splits on its next hash bit until every
 bucket fits. A shard is named ``b`` plus the prefix bits of its bucket.
 
-Byte sums are taken once per fine prefix cell (partial sums before the shuffle), and every
-split decision is made on those cells: the first depth on a cell's path at which its bucket
-fits. The cells' number follows the number of shards, not the rows. Only rows below cells that
-are still too large go on to the next ``STEP`` bits.
+Byte sums are taken once per fine prefix cell (partial sums before the shuffle). The sums of shorter
+prefixes are made from those of longer ones, ``STEP`` bits at a time, so that no prefix gathers more
+than 2 ** STEP rows. The directory is the prefixes that fit below prefixes that don't; cells look it up
+at its depths alone. The cells' number follows the number of shards, not the rows. Only rows below cells
+that are still too large go on to the next bits.
 
 Defined cases: a null text has 0 bytes; a null key hashes as the empty string; all rows of one
 key stay together, so a bucket that holds a single key is final even if it is larger than the
@@ -18,6 +19,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,9 @@ from barloom.sources.shared import checkpointed
 
 HASH_BITS = 60
 LIMIT = 4 << 20
-#: Bits below the expected depth that the first cells have, and bits of each further round.
+#: Bits below the expected depth that the first cells have, and bits that are gone down, or summed up, at a time.
 SPARE, STEP = 4, 8
-#: A directory of so many cells (24 bytes each) is broadcast at most.
+#: A table of so many cells (24 bytes each) is broadcast at most.
 BROADCAST_CELLS = 1 << 16
 
 
@@ -37,13 +39,43 @@ def key_hash(key: Column) -> Column:
     return hash_number(F.coalesce(key.cast("string"), F.lit("")), HASH_BITS // 4)
 
 
+def _prefix(bits: str, depth: str) -> Column:
+    return F.expr(f"shiftright(prefix, {bits} - {depth})")
+
+
+def _sums(cells: DataFrame, low: int, bits: int) -> DataFrame:
+    """(depth, prefix, bytes, lo, hi) of all prefixes of ``low`` to ``bits`` bits, from cells (cell, bytes, lo, hi) of ``bits`` bits."""
+    level = cells.select(F.lit(bits).alias("depth"), F.col("cell").alias("prefix"), "bytes", "lo", "hi")
+    found = [level]
+    for deepest in range(bits, low, -STEP):
+        shorter = F.explode(F.sequence(F.lit(max(low, deepest - STEP)), F.lit(deepest - 1)))
+        above = level.withColumnRenamed("depth", "own").withColumn("depth", shorter).withColumn("prefix", _prefix("own", "depth"))
+        above = checkpointed(above.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        found.append(above)
+        level = above.where(F.col("depth") == max(low, deepest - STEP))
+    return reduce(DataFrame.unionByName, found)
+
+
+def directory(cells: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
+    """(depth, prefix, shard_bytes): the buckets that splitting from prefixes of ``low`` bits on ends with, down to ``bits``; too large ones of ``bits`` are left out.
+
+    A bucket is final if it fits or holds a single hash, and in the directory if its parent isn't. All prefixes of ``low`` bits are taken to have split off.
+    """
+    sums = _sums(cells, low, bits).withColumn("final", (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi")))
+    split = sums.where("not final").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    below = sums.where(F.col("final") & (F.col("depth") > low)).withColumn("parent", F.shiftright("prefix", 1)).join(split, ["depth", "parent"], "left_semi")
+    return sums.where(F.col("final") & (F.col("depth") == low)).unionByName(below.select(sums.columns)).select("depth", "prefix", F.col("bytes").alias("shard_bytes"))
+
+
 def _leaves(cells: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
     """(cell, depth, shard_bytes): each cell's bucket, with a null depth where none down to ``bits`` fits."""
-    paths = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(bits)))).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-    buckets = paths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    final = (F.col("shard_bytes") <= limit) | (F.col("first") == F.col("last"))
-    chosen = F.min(F.when(final, F.struct("depth", "shard_bytes"))).alias("leaf")
-    return paths.join(buckets, ["depth", "prefix"]).groupBy("cell").agg(chosen).select("cell", "leaf.depth", "leaf.shard_bytes")
+    buckets = checkpointed(directory(cells, low, bits, limit))
+    depths = buckets.agg(F.min("depth"), F.max("depth")).first()
+    if depths[0] is None:
+        return cells.select("cell", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("shard_bytes"))
+    paths = cells.select("cell", F.explode(F.sequence(F.lit(depths[0]), F.lit(depths[1]))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
+    found = paths.join(broadcast_up_to(buckets, BROADCAST_CELLS), ["depth", "prefix"]).select("cell", "depth", "shard_bytes")
+    return cells.select("cell").join(found, "cell", "left")
 
 
 def extendible_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import sharding
 
@@ -30,6 +31,23 @@ def test_against_splitting_one_by_one(spark, limit):
     assert all(row["shard_bytes"] <= limit or row["doc_id"] == 7 or row["n_bytes"] > limit for row in found)
 
 
+def test_directory_tiles_the_hashes(spark):
+    """Every hash has one bucket, each fits or is a single hash, and no two buddies would fit together."""
+    rows = [(i, "x" * (i * i % 997)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", sharding.key_hash(F.col("doc_id")))
+    bits, limit = 20, 9000
+    cells = docs.groupBy(F.shiftright("hash", sharding.HASH_BITS - bits).alias("cell")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    found = {(row["depth"], row["prefix"]): row["shard_bytes"] for row in sharding.directory(cells, 0, bits, limit).collect()}
+    sizes: dict[tuple[int, int], int] = dict.fromkeys(found, 0)
+    for row in docs.select("hash", F.length("text").alias("n")).collect():
+        (own,) = [(d, p) for d, p in found if row["hash"] >> (sharding.HASH_BITS - d) == p]
+        sizes[own] += row["n"]
+    assert sizes == found and max(found.values()) <= limit
+    for (depth, prefix), size in found.items():
+        buddy = found.get((depth, prefix ^ 1))
+        assert buddy is None or size + buddy > limit
+
+
 def test_odd_documents(odd_documents, no_documents):
     rows = sharding.extendible_shards(odd_documents, 1000).collect()
     assert len(rows) == odd_documents.count()
