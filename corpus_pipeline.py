@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing, pii, quality, sentencepieces, simhash
-from barloom.llm.util import table
-from barloom.sources.shared import shared_dir
+from barloom.llm.util import free_name, table
+from barloom.sources.shared import removed, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,7 +20,8 @@ TOKENIZER = "piece_bpe_32k.model"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from ``labels``, doesn't reject."""
-    return quality.quality_scores(docs, table(spark, sf_dir, "labels")).where("quality_kept = 1").select(docs.columns)
+    score, kept = free_name(docs, "quality_score"), free_name(docs, "quality_kept")
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels"), score=score, kept=kept).where(F.col(kept) == 1).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +30,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms for personal data; ``n_chars`` follows the text."""
+    """Pseudonyms for personal data, under the session's secret; ``n_chars`` follows the text."""
     before = docs.withColumn("n_chars", F.col("n_chars") - F.length("text"))
-    made = pii.pseudonymised(before)
+    made = pii.pseudonymised(before, pii.session_key(spark), found=free_name(docs, "pii_found"))
     return made.withColumn("n_chars", F.col("n_chars") + F.length("text")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their calibrated probabilities."""
-    return mixing.sample(docs).select(docs.columns)
+    prefix = "mix_"
+    while any(name.lower().startswith(prefix) for name in docs.columns):
+        prefix = f"_{prefix}"
+    return mixing.sample(docs, prefix=prefix).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again, and all but the last are deleted then."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            removed(spark, f"{folder}/{before}")
+        before = name
     return docs
