@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import mixing, pii, quality, simhash
+from tests.llm.conftest import CLASHES
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +32,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     prints = {row["doc_id"]: brute_fingerprint(row["text"]) for row in inputs["near_dedup"].collect()}
     assert ids(inputs["pseudonyms"]) == sorted(set(brute_components(prints).values()))
 
-    permute = pii.Permuter(pii.TRIAL_KEY)
+    permute = pii.Permuter(pii.session_key(spark))
     before = {row["doc_id"]: row for row in inputs["pseudonyms"].collect()}
     after = {row["doc_id"]: row for row in inputs["mixture"].collect()}
     assert set(before) == set(after)
@@ -59,6 +60,20 @@ def test_stages_on_odd_documents(spark, sf_dir, odd_documents, no_documents):
             assert len(rows) <= docs.count()
             if name != "tokens":
                 assert made.columns == docs.columns
+            if name != "tokens" and "made" in docs.columns:  # columns that are named like an operator's keep their values
+                assert all(row[column] == "clash" for row in rows for column in CLASHES)
+
+
+def test_no_key_stands_in_the_source(spark, sf_dir):
+    """The session's secret decides; without one each session makes its own."""
+    docs = spark.createDataFrame([(1, "mail ann@example.com", "en", "s", 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    made = []
+    for secret in ("one", "two", "one"):
+        spark.conf.set(pii.SECRET, secret)
+        made.append(corpus_pipeline.pseudonyms(spark, docs, sf_dir).first()["text"])
+    spark.conf.unset(pii.SECRET)
+    own = pii.session_key(spark)
+    assert made[0] == made[2] != made[1] and len(own) == 64 and pii.session_key(spark) == own and spark.newSession().conf.get(pii.SECRET, None) is None
 
 
 def test_copies_go_and_clean_documents_stay(spark, sf_dir):
