@@ -1,14 +1,17 @@
 """Indicators: columns over a symbol's bars, from the current bar and those before it.
 
 All but the recursive ones are windows over (sym, bar_ts), which Spark evaluates in one shuffle
-and one sort however many there are. Values are null until their look-back is full.
+and one sort however many there are. Values are null until their look-back is full; recursive ones
+have a value from their seed on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import column, full, last_rows, ratio, series
+from barloom.sources.shared import checkpointed
+
+#: Rows of a block in which values are smoothed from 0.
+BLOCK = 512
 
 
 def previous(value: str | Column = "close", k: int = 1) -> Column:
@@ -107,59 +114,108 @@ def in_last(interval: str, aggregate: str) -> Column:
     return F.expr(f"{aggregate} OVER (PARTITION BY sym ORDER BY bar_ts RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)")
 
 
-#: A step of ``recursive``: the new column, what it smooths (of a batch with the columns before it), and its weight.
-Step = tuple[str, Callable[[pd.DataFrame], pd.Series], float]
+class Smooth(NamedTuple):
+    """A smoothed column: y = weight * x + (1 - weight) * y before, from the mean of the first ``seed`` values of x on."""
 
+    name: str
+    source: Column
+    weight: float
+    seed: int = 1
 
-def recursive(df: DataFrame, steps: list[Step], order: tuple[str, ...] = ("bar_ts",)) -> DataFrame:
-    """``df`` with exponentially smoothed columns: y = weight * x + (1 - weight) * y before, from the first x on.
 
-    A window function can't see its own earlier output, so each symbol's bars are dealt to one
-    task in time order and pass through in Arrow batches; only the last value of each column is
-    carried from batch to batch. A null x keeps the value before it.
-    """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, _, _ in steps]])
+def _carried(steps: list[tuple[float, int]]):
+    """What each block of a series starts from, out of the blocks' ends in time order; only a few numbers a series go on from row to row."""
 
-    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: dict[tuple, float] = {}
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, state = object(), []
         for batch in batches:
-            for name, source, weight in steps:
-                values, out = pd.to_numeric(source(batch)), np.full(len(batch), np.nan)
-                for sym, at in batch.groupby("sym", sort=False, dropna=False).indices.items():
-                    x = values.to_numpy(float)[at]
-                    before = carried.get((name, sym))
-                    whole = pd.Series(x if before is None else np.concatenate([[before], x]))
-                    y = whole.ewm(alpha=weight, adjust=False, ignore_na=True).mean().to_numpy()
-                    out[at] = y if before is None else y[1:]
-                    if len(y) and not np.isnan(y[-1]):
-                        carried[name, sym] = y[-1]
-                batch[name] = out
-            yield batch
-
-    return df.repartition("sym").sortWithinPartitions("sym", *order).mapInPandas(smooth, schema)
-
-
-def ema_step(n: int, source: str = "close", name: str | None = None) -> Step:
+            out = {f"__{what}{i}": [] for i in range(len(steps)) for what in ("carry", "before")}
+            for row in batch.itertuples(index=False):
+                sym = None if pd.isna(row[0]) else row[0]
+                if sym != series:
+                    series, state = sym, [(0.0, 0, [], None) for _ in steps]
+                for i, (weight, seed) in enumerate(steps):
+                    local, count, head = row[3 + 3 * i : 6 + 3 * i]
+                    z, before, first, start = state[i]
+                    decay = 1 - weight
+                    if start is None:
+                        first = [*first, *head][:seed]
+                        if len(first) == seed:
+                            scanned = sum(weight * x * decay ** (seed - 1 - k) for k, x in enumerate(first))
+                            start = (sum(first) / seed - scanned, seed)
+                    value = z if start is None else z + start[0] * (decay ** (before - start[1]) if decay or before >= start[1] else 0.0)
+                    out[f"__carry{i}"].append(value)
+                    out[f"__before{i}"].append(before)
+                    state[i] = (local + decay**count * z, before + count, first, start)
+            yield batch.iloc[:, :3].assign(**out)
+
+    return carry
+
+
+def smoothed(df: DataFrame, steps: list[Smooth], order: tuple[str, ...] = ("bar_ts",), ts: str = "bar_ts", hours: int = 720) -> DataFrame:
+    """``df`` with exponentially smoothed columns, which a window function alone can't have, as it doesn't see its own earlier output.
+
+    A symbol's rows are cut into blocks of ``BLOCK`` rows at most, within buckets of ``hours``. Inside a block
+    smoothing from 0 is a running sum of decayed values; one row a block then tells what the block
+    starts from, which is added with its decay. So a symbol of any length is smoothed by many tasks, and only
+    its blocks' ends pass through one. A null or NaN x keeps the value before it; y is null until ``seed`` values have been seen.
+    """
+    rates = [-math.log(1 - step.weight) for step in steps if step.weight < 1]
+    rows = min([BLOCK, *(max(1, int(600 / rate)) for rate in rates)])
+    inside, block = Window.partitionBy("sym", "__bucket").orderBy(*order), Window.partitionBy("sym", "__bucket", "__sub").orderBy(*order)
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    marked = df.withColumn("__bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(hours * 3_600_000_000))).withColumn("__sub", F.floor((F.row_number().over(inside) - 1) / rows).cast("int"))
+    sources = {f"__x{i}": F.when(~F.isnan(step.source), step.source.cast("double")) for i, step in enumerate(steps)}
+    marked = marked.withColumns(sources).withColumns({f"__k{i}": F.count(f"__x{i}").over(so_far) for i in range(len(steps))} | {"__row": F.row_number().over(block)})
+    local = {}
+    for i, step in enumerate(steps):
+        x, k, decay = F.col(f"__x{i}"), F.col(f"__k{i}"), F.lit(1 - step.weight)
+        if step.weight == 1:
+            local[f"__local{i}"] = F.coalesce(F.last(x, ignorenulls=True).over(so_far), F.lit(0.0))
+        else:
+            local[f"__local{i}"] = F.pow(decay, k) * F.coalesce(F.sum(x * F.lit(step.weight) * F.pow(decay, -k)).over(so_far), F.lit(0.0))
+    marked = checkpointed(marked.withColumns(local))  # what follows reads it twice
+    keys, ends = ["sym", "__bucket", "__sub"], []
+    for i, step in enumerate(steps):
+        first = F.sort_array(F.collect_list(F.when(F.col(f"__x{i}").isNotNull() & (F.col(f"__k{i}") <= step.seed), F.struct(f"__k{i}", f"__x{i}"))))
+        ends += [F.max_by(f"__local{i}", "__row").alias(f"__local{i}"), F.max(f"__k{i}").alias(f"__k{i}"), first[f"__x{i}"].alias(f"__head{i}")]
+    blocks = marked.groupBy(*keys).agg(*ends).repartition("sym").sortWithinPartitions(*keys)
+    schema = T.StructType([*[marked.schema[name] for name in keys]])
+    for i in range(len(steps)):
+        schema = schema.add(f"__carry{i}", T.DoubleType()).add(f"__before{i}", T.LongType())
+    starts = blocks.mapInPandas(_carried([(step.weight, step.seed) for step in steps]), schema)
+    starts = starts.withColumnsRenamed({name: f"{name}_of" for name in keys})
+    met = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in keys])
+    made = []
+    for i, step in enumerate(steps):
+        value = F.col(f"__local{i}") + F.pow(F.lit(1 - step.weight), F.col(f"__k{i}")) * F.col(f"__carry{i}")
+        made.append(F.when(F.col(f"__before{i}") + F.col(f"__k{i}") >= step.seed, value).alias(step.name))
+    return marked.join(starts, met).select(*df.columns, *made)
+
+
+def ema_step(n: int, source: str = "close", name: str | None = None) -> Smooth:
     """The usual exponential average of n bars: weight 2 / (n + 1)."""
-    return name or f"ema{n}", lambda batch: batch[source], 2 / (n + 1)
+    return Smooth(name or f"ema{n}", F.col(source), 2 / (n + 1))
 
 
 def with_ema(df: DataFrame, *lengths: int) -> DataFrame:
-    return recursive(df, [ema_step(n) for n in lengths])
+    return smoothed(df, [ema_step(n) for n in lengths])
 
 
 def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Fast minus slow average (``macd``), its own average (``macd_signal``) and what is between them (``macd_hist``)."""
-    line = lambda batch: batch["__fast"] - batch["__slow"]
-    made = recursive(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow"), ("macd_signal", line, 2 / (signal + 1))])
-    line_column = F.col("__fast") - F.col("__slow")
-    return made.withColumns({"macd": line_column, "macd_hist": line_column - F.col("macd_signal")}).drop("__fast", "__slow")
+    averages = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow")])
+    line = averages.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
+    made = smoothed(line, [ema_step(signal, "macd", "macd_signal")])
+    return made.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def with_rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
-    """RSI over changes smoothed with weight 1 / n, from the first change on."""
+def with_rsi_wilder(df: DataFrame, n: int = 14, seed: int = 1) -> DataFrame:
+    """RSI over changes smoothed with weight 1 / n, from the mean of the first ``seed`` changes on: n in Wilder's own form, 1 for a value from the first change on."""
     changes = df.withColumn("__change", F.col("close") - previous())
-    steps: list[Step] = [("__up", lambda batch: batch["__change"].clip(lower=0), 1 / n), ("__down", lambda batch: (-batch["__change"]).clip(lower=0), 1 / n)]
+    rise, fall = F.greatest(F.col("__change"), F.lit(0.0)), F.greatest(-F.col("__change"), F.lit(0.0))
+    known = F.col("__change").isNotNull()
+    steps = [Smooth("__up", F.when(known, rise), 1 / n, seed), Smooth("__down", F.when(known, fall), 1 / n, seed)]
     up, down = F.col("__up"), F.col("__down")
     value = F.when(up + down == 0, 50.0).otherwise(100 * ratio(up, up + down))
-    return recursive(changes, steps).withColumn("rsi_wilder", F.when(~F.isnan(up), value)).drop("__change", "__up", "__down")
+    return smoothed(changes, steps).withColumn("rsi_wilder", F.when(up.isNotNull(), value)).drop("__change", "__up", "__down")

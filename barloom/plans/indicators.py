@@ -73,6 +73,16 @@ def ind_rsi_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only(ind.with_rsi_wilder(hours(spark, sf_dir)), "rsi_wilder")
 
 
+@query(f"""{RECURSIVE}, c AS (SELECT *, {CHANGE} AS d, row_number() OVER ({SERIES}) - 1 AS k FROM b),
+m AS (SELECT sym, avg(greatest(d, 0)) AS up, avg(greatest(-d, 0)) AS down FROM c WHERE k BETWEEN 1 AND 14 GROUP BY sym HAVING count(*) = 14),
+w AS (SELECT c.sym, k, m.up, m.down FROM c JOIN m USING (sym) WHERE k = 14 UNION ALL
+SELECT c.sym, c.k, (13 * w.up + greatest(d, 0)) / 14, (13 * w.down + greatest(-d, 0)) / 14 FROM w JOIN c ON c.sym = w.sym AND c.k = w.k + 1)
+SELECT c.sym, bar_ts, {shown(rsi_wilder="CASE WHEN up + down = 0 THEN 50 ELSE 100 * up / (up + down) END")} FROM c LEFT JOIN w USING (sym, k)""")
+def ind_rsi_wilder_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilder's own form: the mean of the first 14 changes is the seed."""
+    return only(ind.with_rsi_wilder(hours(spark, sf_dir), seed=14), "rsi_wilder")
+
+
 @query(f"""{HOURS}, r AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({SERIES})), abs(low - lag(close) OVER ({SERIES}))) AS tr FROM b)
 SELECT sym, bar_ts, {shown(atr=when_full("avg(tr)", 14))} FROM r""")
 def ind_atr(spark: SparkSession, sf_dir: str) -> DataFrame:

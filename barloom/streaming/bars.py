@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import COLUMNS, _aggregates
-from barloom.operators.indicators import ema_step, recursive
+from barloom.operators.indicators import ema_step, smoothed
 from barloom.sources.shared import shared_dir
 from barloom.sources.tables import load
 
@@ -52,8 +52,7 @@ class Smoothed(NamedTuple):
 def stream_ema(ticks: DataFrame, n: int) -> Smoothed:
     """(sym, ts, seq, price, ema): each tick with the exponential average so far; the state is one number a symbol.
 
-    Spark sorts a batch, and each symbol's ticks pass through in Arrow batches with one carried
-    number, so no batch need fit in memory; batches must arrive in order. A null price keeps the
+    A batch's ticks are smoothed in blocks by many tasks, however many a symbol has; batches must arrive in order. A null price keeps the
     average before it.
     """
     return Smoothed(ticks, n)
@@ -69,7 +68,7 @@ def _smoothed(stream: Smoothed, folder: str) -> DataFrame:
         if number:  # the averages so far come first, as ticks
             state = batch.sparkSession.read.parquet(f"{folder}/state/{number - 1}")
             rows = rows.unionByName(state.select("sym", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq"), F.col("ema").alias("price"), F.lit(0).alias("own")))
-        recursive(rows, [ema_step(stream.n, "price", "ema")], ("own", "ts", "seq")).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        smoothed(rows, [ema_step(stream.n, "price", "ema")], ("own", "ts", "seq"), "ts").write.mode("overwrite").parquet(f"{folder}/out/{number}")
         made = batch.sparkSession.read.parquet(f"{folder}/out/{number}")
         ends = made.groupBy("sym").agg(F.max_by("ema", F.struct("own", "ts", "seq")).alias("ema"))
         ends.where(F.col("ema").isNotNull() & ~F.isnan("ema")).write.mode("overwrite").parquet(f"{folder}/state/{number}")

@@ -48,6 +48,27 @@ def test_recursive_averages_by_hand(spark):
     assert values(ind.with_ema(with_null, 3), "ema3") == [1.0, 1.0, 2.5]
 
 
+def test_wilder_seed_by_hand(spark):
+    df = bars_of(spark, [1, 2, 4, 3, 3, 6])  # changes 1, 2, -1, 0, 3; the first three average 1 up and 1/3 down
+    assert values(ind.with_rsi_wilder(df, 3, 3), "rsi_wilder") == [None, None, None, 75.0, 75.0, pytest.approx(100 * (13 / 9) / (13 / 9 + 4 / 27))]
+
+
+@pytest.mark.parametrize(("block", "hours"), [(512, 720), (4, 7), (1, 1), (1000, 10_000)])
+def test_smoothing_does_not_depend_on_blocks(spark, monkeypatch, block, hours):
+    """Long series, several weights, missing values and a seed of several values, against pandas."""
+    monkeypatch.setattr(ind, "BLOCK", block)
+    closes = [math.sin(k) * 1000 + k % 7 for k in range(700)]
+    df = bars_of(spark, closes).unionByName(bars_of(spark, closes[5:90], None)).withColumn("x", F.when((F.minute("bar_ts") == 0) & (F.hour("bar_ts") % 5 != 2), F.col("close")))
+    steps = [ind.Smooth(f"y{k}", F.col("x"), w, n) for k, (w, n) in enumerate([(0.9, 1), (1.0, 1), (0.002, 1), (1 / 14, 14), (0.5, 3)])]
+    rows = ind.smoothed(df, steps, hours=hours).orderBy("sym", "bar_ts").toPandas()
+    for _, part in rows.groupby("sym", dropna=False):
+        known = part["x"].dropna()
+        for k, (_, _, w, n) in enumerate(steps):
+            seeded = pd.concat([pd.Series([known[:n].mean()], index=known.index[n - 1 : n]), known[n:]])
+            want = seeded.ewm(alpha=w, adjust=False).mean().reindex(part.index).ffill()
+            assert part[f"y{k}"].tolist() == pytest.approx(want.tolist(), rel=1e-9, abs=1e-9, nan_ok=True)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_recursion_goes_on_across_batches(spark, batch):
     closes = [math.sin(k) + 2 for k in range(50)]
