@@ -1,13 +1,14 @@
 """Rules: sets of conditions scored by what the bars after them did, and association rules.
 
 Inputs are bars in wide form with condition columns (``names``) and, where outcomes matter, a
-forward return ``fwd``. Itemsets are counted on long rows (bar, conditions held), level by
-level, and only itemsets that reach ``least`` bars go on to the next level.
+forward return ``fwd``. Itemsets are counted level by level out of the bars' arrays of conditions, and
+only itemsets that reach ``least`` bars go on to the next level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,13 @@ from pyspark.sql.window import Window
 
 from barloom.functions.columns import column, ratio, series, upper_tail
 from barloom.operators.conditions import held, long_form
+from barloom.operators.joins import broadcast_up_to
 from barloom.operators.numbering import row_numbers
 from barloom.sources.shared import checkpointed
 
 BAR = ["sym", "bar_ts"]
+#: So many frequent sets of one size are broadcast at most, and ranges of p in which rules are ranked.
+BROADCAST_SETS, RANGES = 100_000, 64
 
 
 def forward_return(h: int = 1, value: str = "close") -> Column:
@@ -47,21 +51,26 @@ def pair_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return known.select("fwd", F.explode(pairs).alias("pair")).select("pair.*", "fwd").groupBy("c1", "c2").agg(*outcome())
 
 
-def combinations(conds: Column, longest: int) -> Column:
-    """All sets of 1 to ``longest`` elements of a sorted array, each as a sorted array."""
-    level = F.transform(conds, lambda c: F.array(c))
-    out = level
-    for _ in range(longest - 1):
-        grown = lambda items: F.transform(F.filter(conds, lambda c: c > F.element_at(items, -1)), lambda c: F.concat(items, F.array(c)))
-        level = F.flatten(F.transform(level, grown))
-        out = F.concat(out, level)
-    return out
+def _levels(bars: DataFrame, longest: int, frequent: Column, *figures: Column) -> list[DataFrame]:
+    """(items, figures) of the sets of 1, 2, ... ``longest`` conditions of ``bars`` (conds, a sorted array, and what figures are of) whose smaller sets are all ``frequent``.
+
+    A bar's sets grow out of its own array: nothing is joined but the few sets that are frequent.
+    """
+    level, found = bars.withColumn("items", F.explode(F.transform("conds", lambda c: F.array(c)))), []
+    for k in range(longest):
+        counts = checkpointed(level.groupBy("items").agg(*figures))
+        found.append(counts.where(frequent))
+        if k + 1 < longest:
+            kept = level.join(broadcast_up_to(found[-1].select("items"), BROADCAST_SETS), "items", "left_semi")
+            grown = F.transform(F.filter("conds", lambda c: c > F.element_at("items", -1)), lambda c: F.concat("items", F.array(c)))
+            level = kept.withColumn("items", F.explode(grown))
+    return found
 
 
-def combination_scores(df: DataFrame, names: Sequence[str], longest: int, *by: str) -> DataFrame:
-    """(items, by columns, n, wins, mean_fwd) of every set of up to ``longest`` conditions that hold on one bar."""
-    known = df.where("fwd is not null").select("fwd", *by, F.sort_array(held(names)).alias("conds"))
-    return known.select("fwd", *by, F.explode(combinations(F.col("conds"), longest)).alias("items")).groupBy("items", *by).agg(*outcome())
+def combination_scores(df: DataFrame, names: Sequence[str], longest: int, least: int = 1) -> DataFrame:
+    """(items, n, wins, mean_fwd) of every set of up to ``longest`` conditions that hold together on ``least`` bars with a known outcome."""
+    bars = df.where("fwd is not null").select("fwd", F.sort_array(held(names)).alias("conds"))
+    return reduce(DataFrame.unionByName, _levels(bars, longest, F.col("n") >= least, *outcome()))
 
 
 def mined(df: DataFrame, names: Sequence[str], longest: int, least: int, q: float, base: float = 0.5) -> DataFrame:
@@ -71,34 +80,22 @@ def mined(df: DataFrame, names: Sequence[str], longest: int, least: int, q: floa
     conditions that held on ``least`` bars or more of each symbol's earlier half (``fold`` 1), with
     what the Benjamini-Hochberg procedure at rate q says of them there and what came of them later.
     """
-    scores = checkpointed(combination_scores(df, names, longest, "fold"))
-    train = scores.where("fold = 1").where(F.col("n") >= least)
-    train = train.select("items", F.col("n").alias("train_n"), F.col("wins").alias("train_wins"), F.col("mean_fwd").alias("train_mean"))
+    bars = df.where("fwd is not null").select("fwd", "fold", F.sort_array(held(names)).alias("conds"))
+    early, late = F.col("fold") == 1, F.col("fold") == 2
+    figures = [
+        F.count_if(early).alias("train_n"), F.count_if(early & (F.col("fwd") > 0)).alias("train_wins"), F.avg(F.when(early, F.col("fwd"))).alias("train_mean"),
+        F.count_if(late).alias("test_n"), F.avg(F.when(late, F.col("fwd"))).alias("test_mean"),
+    ]
+    scores = checkpointed(reduce(DataFrame.unionByName, _levels(bars, longest, F.col("train_n") >= least, *figures)))
+    train = scores.drop("test_n", "test_mean")
     judged = false_discovery(train.withColumn("z", binomial_z("train_wins", "train_n", base)), q)
-    test = scores.where("fold = 2").select("items", F.col("n").alias("test_n"), F.col("mean_fwd").alias("test_mean"))
-    return judged.withColumn("tried", F.lit(train.count())).join(test, "items", "left").withColumn("test_n", F.coalesce("test_n", F.lit(0)))
+    return judged.withColumn("tried", F.lit(train.count())).join(scores.select("items", "test_n", "test_mean"), "items")
 
 
-def itemsets(df: DataFrame, names: Sequence[str], longest: int, least: int, key: Sequence[str] = BAR) -> DataFrame:
-    """(items, n): the sets of up to ``longest`` conditions that hold together on at least ``least`` bars.
-
-    Level k joins the frequent sets of level k - 1 that a bar holds with the bar's later
-    conditions; the join is on the bar, never across bars.
-    """
-    singles = df.select(*key, F.explode(held(names)).alias("cond"))
-    level = singles.select(*key, F.array("cond").alias("items"))
-    found: list[DataFrame] = []
-    for k in range(1, longest + 1):
-        counts = level.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        found.append(counts)
-        if k < longest:
-            frequent = level.join(counts.select("items"), "items", "left_semi")
-            grown = frequent.join(singles, list(key)).where(F.col("cond") > F.element_at("items", -1))
-            level = grown.select(*key, F.concat("items", F.array("cond")).alias("items"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+def itemsets(df: DataFrame, names: Sequence[str], longest: int, least: int) -> DataFrame:
+    """(items, n): the sets of up to ``longest`` conditions that hold together on at least ``least`` bars."""
+    bars = df.select(F.sort_array(held(names)).alias("conds"))
+    return reduce(DataFrame.unionByName, _levels(bars, longest, F.col("n") >= least, F.count(F.lit(1)).alias("n")))
 
 
 def association_rules(sets: DataFrame, bars: int) -> DataFrame:
@@ -157,12 +154,14 @@ def binomial_z(wins: str | Column = "wins", n: str | Column = "n", base: float |
 def false_discovery(rules: DataFrame, q: float, z: str = "z") -> DataFrame:
     """``rules`` with ``p`` (one-sided), ``rank`` and ``kept``: the Benjamini-Hochberg procedure at rate q.
 
-    Ranks are taken within buckets of p, so no task sees all rules.
+    Ranks are taken within ranges of p that hold about as many rules each, so no task sees all rules.
     """
     rules = checkpointed(rules)
     scored = rules.withColumn("p", upper_tail(z)).withColumn("__all", F.lit(1))
     keys = [name for name, kind in rules.dtypes if not kind.startswith("map")]
-    ranked = row_numbers(scored, ["__all"], ["p", *keys], F.floor(F.col("p") * 1000), "rank")
+    cuts = scored.agg(F.approx_percentile("p", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    place = F.size(F.filter(F.array(*[F.lit(cut) for cut in sorted({*cuts})]), lambda cut: cut < F.col("p"))) if cuts else F.lit(0)
+    ranked = row_numbers(scored, ["__all"], ["p", *keys], place, "rank")
     total = F.lit(rules.count())
     last = ranked.where(F.col("p") <= F.col("rank") * q / total).agg(F.max("rank")).first()[0] or 0
     return ranked.withColumn("kept", F.col("rank") <= F.lit(last)).drop("__all")
