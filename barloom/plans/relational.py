@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.aggregates import mean_absolute_change
+from barloom.functions.aggregates import Ladder, mean_absolute_change
 from barloom.operators import bars
+from barloom.operators.joins import lookup_join
 from barloom.operators.numbering import as_of_join, range_join
+from barloom.operators.statistics import percentiles
 from barloom.plans.bars import hours
 from barloom.plans.registry import HOURS, bars_sql, query, rounded, shown
-from barloom.sources.tables import event_ticks, load
+from barloom.sources.shared import checkpointed, removed, shared_dir
+from barloom.sources.tables import event_ticks, load, save
 
 
 @query("""SELECT n_name, r_name, count(c_custkey) AS customers, round(coalesce(sum(c_acctbal), 0), 2) + 0.0 AS balance FROM nation
@@ -65,10 +70,14 @@ def rel_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, median(value) AS med, round(quantile_cont(value, 0.9), 6) + 0.0 AS p90, count(DISTINCT user_id) AS users,
 round(corr(value, user_id), 6) + 0.0 AS corr_user, round(regr_slope(value, user_id), 6) + 0.0 AS slope, round(stddev_samp(value), 6) + 0.0 AS dev FROM events GROUP BY event_type""")
 def rel_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(load(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.median("value").alias("med"), F.percentile("value", 0.9).alias("p90"), F.countDistinct("user_id").alias("users"),
-        F.corr("value", "user_id").alias("corr_user"), F.regr_slope("value", F.col("user_id").cast("double")).alias("slope"), F.stddev_samp("value").alias("dev"),
-    ), "p90", "corr_user", "slope", "dev")
+    """Exact percentiles take steps of their own, as an event type may hold any share of the rows."""
+    events = load(spark, sf_dir, "events")
+    moments = events.groupBy("event_type").agg(
+        F.countDistinct("user_id").alias("users"), F.corr("value", "user_id").alias("corr_user"),
+        F.regr_slope("value", F.col("user_id").cast("double")).alias("slope"), F.stddev_samp("value").alias("dev"),
+    )
+    both = percentiles(events, "event_type", "value", {"med": 0.5, "p90": 0.9}).join(moments, "event_type")
+    return rounded(both.select("event_type", "med", "p90", "users", "corr_user", "slope", "dev"), "p90", "corr_user", "slope", "dev")
 
 
 @query("""SELECT event_type, round(skewness(value) * (count(value) - 2) / sqrt(count(value) * (count(value) - 1)), 6) + 0.0 AS skew,
@@ -78,12 +87,20 @@ def rel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(load(spark, sf_dir, "events").groupBy("event_type").agg(F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt")))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, true AS users_near, true AS med_near FROM events GROUP BY event_type")
 def rel_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches, whose results only approximate any SQL's."""
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("users"), F.approx_percentile("value", 0.5, 1000).alias("med"), F.count(F.lit(1)).alias("n")
-    )
+    """Sketches held against exact figures: distinct users within three standard errors, the median's rank within the sketch's accuracy."""
+    events, error, accuracy = load(spark, sf_dir, "events"), 0.02, 1000
+    made = events.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", error).alias("users"), F.approx_percentile("value", 0.5, accuracy).alias("med"), F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("exact"),
+    )
+    below, until = F.count_if(F.col("value") < F.col("med")), F.count_if(F.col("value") <= F.col("med"))
+    ranks = lookup_join(events, made.select("event_type", "med"), ["event_type"]).groupBy("event_type").agg(below.alias("below"), until.alias("until"))
+    off = F.col("n") / accuracy + 1
+    return made.join(ranks, "event_type").select(
+        "event_type", "n", (F.abs(F.col("users") - F.col("exact")) <= 3 * error * F.col("exact")).alias("users_near"),
+        ((F.col("below") <= F.col("n") / 2 + off) & (F.col("until") >= F.col("n") / 2 - off)).alias("med_near"),
+    )
 
 
 @query("""WITH a AS (SELECT user_id FROM events WHERE event_type = 'click'), b AS (SELECT user_id FROM events WHERE event_type = 'purchase')
@@ -155,20 +172,82 @@ def rel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def rel_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins that broadcast only what was counted first."""
+    orders, customer, nation = (load(spark, sf_dir, name) for name in ("orders", "customer", "nation"))
+    known = lookup_join(orders.withColumnRenamed("o_custkey", "c_custkey"), customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), ["c_custkey"], "inner")
+    named = lookup_join(known, nation.select("n_nationkey", "n_name"), ["n_nationkey"])
+    return named.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), (F.round(F.sum("o_totalprice"), 2) + F.lit(0.0)).alias("total"))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part)
+SELECT p_partkey, len(words) AS n, list_contains(words, words[1]) AS has_first, array_to_string(list_sort(words), '-') AS sorted, array_to_string(list_reverse(words), ' ') AS reversed,
+list_sum(list_transform(words, lambda x: length(x)))::BIGINT AS letters, len(list_filter(words, lambda x: length(x) > 4)) AS long_words, array_to_string(words[1:2], '+') AS first_two,
+coalesce(list_position(words, words[2]), 0)::BIGINT AS at FROM w""")
+def rel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", F.size(words).cast("long").alias("n"), F.array_contains(words, words[0]).alias("has_first"), F.array_join(F.array_sort(words), "-").alias("sorted"), F.array_join(F.reverse(words), " ").alias("reversed"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda total, x: total + F.length(x)).alias("letters"), F.size(F.filter(words, lambda x: F.length(x) > 4)).cast("long").alias("long_words"),
+        F.array_join(F.slice(words, 1, 2), "+").alias("first_two"), F.coalesce(F.array_position(words, F.get(words, F.lit(1))), F.lit(0)).alias("at"),
+    )
+
+
+@query("""SELECT p_brand, sum(n)::BIGINT AS parts, count(*) AS sizes, max(n)::BIGINT AS most, sum(CASE WHEN p_size > 25 THEN n ELSE 0 END)::BIGINT AS large FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand""")
+def rel_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by size as a map of each brand, taken apart again."""
+    counts = load(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_size", "n"))).alias("by_size"))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
+    return maps.select(
+        "p_brand", total(F.map_values("by_size")).alias("parts"), F.size("by_size").cast("long").alias("sizes"), F.array_max(F.map_values("by_size")).alias("most"),
+        total(F.map_values(F.map_filter("by_size", lambda size, _: size > 25))).alias("large"),
+    )
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)', 2) AS host, regexp_replace(url, '[0-9]+', '#', 'g') AS shape,
+len(regexp_extract_all(html, '<a '))::BIGINT AS links, regexp_matches(html, '<title>') AS titled FROM pages""")
+def rel_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, parts = load(spark, sf_dir, "pages"), r"^(https?)://([^/]+)"
+    return pages.select(
+        "page_id", F.regexp_extract("url", parts, 1).alias("scheme"), F.regexp_extract("url", parts, 2).alias("host"), F.regexp_replace("url", "[0-9]+", "#").alias("shape"),
+        F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp("html", F.lit("<title>")).alias("titled"),
+    )
+
+
+@query("""SELECT event_id, ts + INTERVAL 2 HOUR AS paris_summer, epoch_ms(ts)::BIGINT AS millis, hour(ts - INTERVAL 8 HOUR) AS pacific_hour,
+struct_extract(from_json(props, '{"k": "INTEGER"}'), 'k')::INT AS k FROM events""")
+def rel_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in other zones, and a JSON text as a struct."""
+    ts = F.col("ts")
+    return load(spark, sf_dir, "events").select(
+        "event_id", F.convert_timezone(F.lit("UTC"), F.lit("+02:00"), ts).alias("paris_summer"), F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")).alias("millis"),
+        F.hour(F.convert_timezone(F.lit("UTC"), F.lit("-08:00"), ts)).cast("long").alias("pacific_hour"), F.from_json("props", "k int")["k"].alias("k"),
+    )
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total, min(o_orderkey) AS first FROM orders GROUP BY o_orderstatus")
+def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as Parquet by their status and read back."""
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    save(load(spark, sf_dir, "orders"), path, ["o_orderstatus"])
+    back = spark.read.schema(load(spark, sf_dir, "orders").schema).parquet(path)
+    summed = back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("o_totalprice"), 2) + F.lit(0.0)).alias("total"), F.min("o_orderkey").alias("first"))
+    made = checkpointed(summed)
+    removed(spark, path)
+    return made
+
+
 @query(f"""{HOURS}, d AS (SELECT sym, bar_ts::DATE AS day, abs(close - lag(close) OVER (PARTITION BY sym, bar_ts::DATE ORDER BY bar_ts)) AS step FROM b)
 SELECT sym, day, {shown(change='avg(step)')} FROM d GROUP BY ALL""")
 def udf_mean_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grouped user aggregate over each day's closes in order."""
     closes = hours(spark, sf_dir).select("sym", F.to_date("bar_ts").alias("day"), "bar_ts", "close")
-    order = Window.partitionBy("sym", "day").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rounded(closes.select("sym", "day", mean_absolute_change("close").over(order).alias("change")).distinct())
+    return rounded(closes.groupBy("sym", "day").agg(mean_absolute_change("close", F.unix_micros(F.col("bar_ts").cast("timestamp"))).alias("change")))
 
 
-@query("SELECT p_partkey, step::INT AS step, round(p_retailprice + step * 0.5, 6) + 0.0 AS level FROM part, range(-2, 3) r(step)")
+@query("SELECT p_partkey AS key, step::INT AS step, round(p_retailprice + step * 0.5, 6) + 0.0 AS level FROM part, range(-2, 3) r(step)")
 def udf_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user table function, joined laterally."""
-    from barloom.functions.aggregates import Ladder
-
-    spark.udtf.register("price_ladder", Ladder)
-    load(spark, sf_dir, "part").createOrReplaceTempView("barloom_part")
-    return rounded(spark.sql("SELECT p_partkey, step, level FROM barloom_part, LATERAL price_ladder(p_retailprice, 0.5D, 2)"))
+    """A user table function over a whole table, in Arrow batches."""
+    return rounded(Ladder(load(spark, sf_dir, "part").select("p_partkey", "p_retailprice").asTable()))
