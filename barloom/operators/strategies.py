@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,6 +128,26 @@ def bracket_exits(df: DataFrame, entry: Column, stop: float, target: float, long
     )
 
 
+def trailing_exits(df: DataFrame, stop: float, by: Column) -> DataFrame:
+    """(sym, part, t_in, t_out, stopped, ret): in at the first close of each part of a series, out at the first close that lies ``stop`` below the highest since, or at the last.
+
+    The exit depends on the path, so each part goes through Python as a group; ``by`` must keep parts small (a day's bars).
+    """
+
+    def exits(bars: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("bar_ts")
+        close = bars["close"].to_numpy()
+        fallen = np.flatnonzero(close <= np.maximum.accumulate(close) * (1 - stop))
+        at = int(fallen[0]) if len(fallen) else len(close) - 1
+        made = {"sym": bars["sym"].iloc[0], "part": bars["part"].iloc[0], "t_in": bars["bar_ts"].iloc[0], "t_out": bars["bar_ts"].iloc[at], "stopped": len(fallen) > 0}
+        return pd.DataFrame({name: [value] for name, value in made.items()} | {"ret": [close[at] / close[0] - 1 if close[0] else None]})
+
+    kinds = {name: df.schema[name].dataType.simpleString() for name in ("sym", "bar_ts")}
+    parts = df.select("sym", "bar_ts", "close", by.alias("part"))
+    schema = f"sym {kinds['sym']}, part {parts.schema['part'].dataType.simpleString()}, t_in {kinds['bar_ts']}, t_out {kinds['bar_ts']}, stopped boolean, ret double"
+    return parts.groupBy("sym", "part").applyInPandas(exits, schema)
+
+
 def with_folds(df: DataFrame, folds: int, *extra: str) -> DataFrame:
     """``df`` with ``fold``: each series in time order, cut into equal parts from 1."""
     return df.withColumn("fold", F.ntile(folds).over(series(*extra)))

@@ -252,3 +252,11 @@ def strat_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{HOURS}, {STRATEGY}, h AS (SELECT *, coalesce(close / nullif(lag(close) OVER ({SERIES}), 0) - 1, 0) AS hold FROM e) SELECT sym, bar_ts, {shown('pnl', 'hold', excess='pnl - hold')} FROM h")
 def strat_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(strategies.excess(strategy(spark, sf_dir)).select("sym", "bar_ts", "pnl", "hold", "excess"))
+
+
+@query(f"""{HOURS}, h AS (SELECT *, bar_ts::DATE AS part, max(close) OVER (PARTITION BY sym, bar_ts::DATE ORDER BY bar_ts) AS top, min(bar_ts) OVER (PARTITION BY sym, bar_ts::DATE) AS t_in FROM b),
+o AS (SELECT sym, part, t_in, coalesce(min(bar_ts) FILTER (close <= top * (1 - 0.3::DOUBLE)), max(bar_ts)) AS t_out, count(*) FILTER (close <= top * (1 - 0.3::DOUBLE)) > 0 AS stopped FROM h GROUP BY ALL)
+SELECT o.sym, part, t_in, t_out, stopped, {shown(ret='b2.close / nullif(b1.close, 0) - 1')} FROM o JOIN b b1 ON b1.sym = o.sym AND b1.bar_ts = t_in JOIN b b2 ON b2.sym = o.sym AND b2.bar_ts = t_out""")
+def strat_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's first bar is bought and sold when its close lies 30 % below the day's highest so far."""
+    return rounded(strategies.trailing_exits(hours(spark, sf_dir), 0.3, F.to_date("bar_ts")), "ret")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.plans.registry import AGGREGATES, DAYS, TICKS, query, rounded
+from barloom.sources.shared import checkpointed, removed, shared_dir
+from barloom.sources.tables import load
 from barloom.streaming import bars as streams
 
 
@@ -28,8 +33,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.completed(streams.stream_session_bars(streams.tick_stream(spark, sf_dir), "1 hour", "10 minutes"))
 
 
-@query()
+NUMBERED_TICKS = f"WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY ts, seq) AS rn FROM t)"
+
+
+@query(f"""{NUMBERED_TICKS} SELECT a.sym, a.ts, a.seq, round(a.price, 6) + 0.0 AS price,
+round(sum(CASE WHEN b.rn = 1 THEN 1 ELSE 2 / 21 END * b.price * pow(19 / 21, a.rn - b.rn)), 6) + 0.0 AS ema FROM n a JOIN n b ON a.sym = b.sym AND b.rn BETWEEN a.rn - 499 AND a.rn GROUP BY ALL""")
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tick with its symbol's average so far, out of state."""
+    """Each tick with its symbol's average so far, out of state. In the SQL what is 500 ticks ago has no weight left."""
     made = streams.completed(streams.stream_ema(streams.tick_stream(spark, sf_dir), 20))
     return rounded(made.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three batches, the last of which brings the first day's once more: too late, so they change nothing."""
+    events, path = load(spark, sf_dir, "events"), f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.col("ts") < F.lit(first + (last - first) / 2)
+    for part in (events.where(middle), events.where(~middle), events.where(F.col("ts") < F.lit(first + dt.timedelta(days=1)))):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    made = checkpointed(streams.completed(streams.stream_bars(streams.tick_stream(spark, path, files_per_batch=1), "1 day", "10 minutes")))
+    removed(spark, path)
+    return made
