@@ -80,22 +80,18 @@ def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> li
     return [row["word"] for row in rare.orderBy(F.desc("n"), "word").limit(topics).collect()]
 
 
-def topic(words: list[str], text: str = "text") -> Column:
-    """The word of ``words`` that a text holds most often."""
-    if not words:
-        return F.lit(OTHER_TOPIC)
-    found = F.filter(_words(text), lambda word: word.isin(words))
-    times = lambda word: F.size(F.filter(found, lambda other: other == word))
-    most = F.array_min(F.transform(F.array_distinct(found), lambda word: F.struct((-times(word)).alias("n"), word.alias("word"))))
-    return F.coalesce(most["word"], F.lit(OTHER_TOPIC))
-
-
 def described(docs: DataFrame, text: str = "text", named: Column | None = None, prefix: str = "mix_") -> DataFrame:
-    """``docs`` with their source, lang, topic and tokens behind the prefix; ``named`` is the caller's topic."""
-    blank = F.lit("")
-    named = topic(topic_words(docs, text), text) if named is None else F.coalesce(named, blank)
-    made = {"source": F.coalesce("source", blank), "lang": F.coalesce("lang", blank), "topic": named, "tokens": token_count(text)}
-    return docs.withColumns({prefix + name: column for name, column in made.items()})
+    """``docs`` with their source, lang, topic and tokens behind the prefix; ``named`` is the caller's topic, else a document's is the topic word that it holds most often."""
+    blank, words, found = F.lit(""), f"{prefix}words", f"{prefix}found"
+    topics = topic_words(docs, text) if named is None else []
+    # each step is a column of its own: inside a function of array elements it would be worked out for every element
+    marked = docs.withColumn(words, _words(text)).withColumns({f"{prefix}tokens": F.coalesce(F.size(words), F.lit(0)).cast("long"), found: F.filter(words, lambda word: word.isin(topics))})
+    if named is None:
+        times = lambda word: F.size(F.col(found)) - F.size(F.array_remove(F.col(found), word))
+        most = F.array_min(F.transform(F.array_distinct(found), lambda word: F.struct((-times(word)).alias("n"), word.alias("word"))))
+        named = F.coalesce(most["word"], F.lit(OTHER_TOPIC))
+    made = {"source": F.coalesce("source", blank), "lang": F.coalesce("lang", blank), "topic": F.coalesce(named, blank)}
+    return marked.withColumns({prefix + name: column for name, column in made.items()}).drop(words, found)
 
 
 def _aimed(cells: DataFrame, targets: Targets) -> DataFrame:
