@@ -204,10 +204,17 @@ def with_ema(df: DataFrame, *lengths: int) -> DataFrame:
 
 def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Fast minus slow average (``macd``), its own average (``macd_signal``) and what is between them (``macd_hist``)."""
-    averages = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow")])
-    line = averages.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    made = smoothed(line, [ema_step(signal, "macd", "macd_signal")])
-    return made.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    line = F.col("__fast") - F.col("__slow")
+    if signal in (fast, slow):
+        made = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow")]).withColumn("macd", line)
+        made = smoothed(made, [ema_step(signal, "macd", "macd_signal")])
+    else:
+        # an average of an average is a difference of the two averages of the series itself, so one pass does
+        made = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow"), ema_step(signal, name="__signal")])
+        weight, kept = 2 / (signal + 1), 1 - 2 / (signal + 1)
+        again = lambda n, name: (F.lit(2 / (n + 1) * kept) * F.col("__signal") - F.lit(weight * (1 - 2 / (n + 1))) * F.col(name)) / F.lit(kept - 1 + 2 / (n + 1))
+        made = made.withColumns({"macd": line, "macd_signal": again(fast, "__fast") - again(slow, "__slow")})
+    return made.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow", "__signal")
 
 
 def with_rsi_wilder(df: DataFrame, n: int = 14, seed: int = 1) -> DataFrame:

@@ -69,6 +69,17 @@ def test_smoothing_does_not_depend_on_blocks(spark, monkeypatch, block, hours):
             assert part[f"y{k}"].tolist() == pytest.approx(want.tolist(), rel=1e-9, abs=1e-9, nan_ok=True)
 
 
+@pytest.mark.parametrize("lengths", [(12, 26, 9), (9, 26, 9), (3, 10, 11)])
+def test_macd_of_any_lengths(spark, lengths):
+    """In one pass, or in two where the signal is as long as an average."""
+    fast, slow, signal = lengths
+    s = pd.Series([math.sin(k) * 50 + k for k in range(120)])
+    macd = s.ewm(span=fast, adjust=False).mean() - s.ewm(span=slow, adjust=False).mean()
+    found = values(ind.with_macd(bars_of(spark, s), *lengths), "macd", "macd_signal", "macd_hist")
+    line = macd.ewm(span=signal, adjust=False).mean()
+    assert [x for row in found for x in row] == pytest.approx([x for row in zip(macd, line, macd - line, strict=True) for x in row], rel=1e-9, abs=1e-9)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_recursion_goes_on_across_batches(spark, batch):
     closes = [math.sin(k) + 2 for k in range(50)]
