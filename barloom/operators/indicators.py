@@ -203,11 +203,12 @@ def with_ema(df: DataFrame, *lengths: int) -> DataFrame:
 
 
 def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Fast minus slow average (``macd``), its own average (``macd_signal``) and what is between them (``macd_hist``)."""
+    """Fast minus slow average (``macd``), its own average (``macd_signal``) and what is between them (``macd_hist``); without a close all three stay as they were."""
     line = F.col("__fast") - F.col("__slow")
     if signal in (fast, slow):
         made = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow")]).withColumn("macd", line)
-        made = smoothed(made, [ema_step(signal, "macd", "macd_signal")])
+        known = F.col("close").isNotNull() & ~F.isnan("close")
+        made = smoothed(made, [ema_step(signal, name="macd_signal")._replace(source=F.when(known, F.col("macd")))])
     else:
         # an average of an average is a difference of the two averages of the series itself, so one pass does
         made = smoothed(df, [ema_step(fast, name="__fast"), ema_step(slow, name="__slow"), ema_step(signal, name="__signal")])

@@ -68,7 +68,7 @@ def _smoothed(stream: Smoothed, folder: str) -> DataFrame:
         if number:  # the averages so far come first, as ticks
             state = batch.sparkSession.read.parquet(f"{folder}/state/{number - 1}")
             rows = rows.unionByName(state.select("sym", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq"), F.col("ema").alias("price"), F.lit(0).alias("own")))
-        smoothed(rows, [ema_step(stream.n, "price", "ema")], ("own", "ts", "seq"), "ts").write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        smoothed(rows, [ema_step(stream.n, "price", "ema")], ("own", "ts", "seq"), "ts", hours=1).write.mode("overwrite").parquet(f"{folder}/out/{number}")
         made = batch.sparkSession.read.parquet(f"{folder}/out/{number}")
         ends = made.groupBy("sym").agg(F.max_by("ema", F.struct("own", "ts", "seq")).alias("ema"))
         ends.where(F.col("ema").isNotNull() & ~F.isnan("ema")).write.mode("overwrite").parquet(f"{folder}/state/{number}")

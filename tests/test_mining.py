@@ -80,6 +80,15 @@ def test_macd_of_any_lengths(spark, lengths):
     assert [x for row in found for x in row] == pytest.approx([x for row in zip(macd, line, macd - line, strict=True) for x in row], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("lengths", [(12, 26, 9), (9, 26, 9)])
+def test_macd_stays_where_a_close_is_missing(spark, lengths):
+    closes = [math.sin(k) * 50 + k for k in range(40)]
+    whole = values(ind.with_macd(bars_of(spark, closes), *lengths), "macd", "macd_signal", "macd_hist")
+    missing = bars_of(spark, [*closes[:20], 0, 0, *closes[20:]]).withColumn("close", F.when(~F.col("bar_ts").isin(*[START + dt.timedelta(hours=k) for k in (20, 21)]), F.col("close")))
+    gaps = values(ind.with_macd(missing, *lengths), "macd", "macd_signal", "macd_hist")
+    assert [x for row in gaps for x in row] == pytest.approx([x for row in [*whole[:20], whole[19], whole[19], *whole[20:]] for x in row], rel=1e-9, abs=1e-9)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_recursion_goes_on_across_batches(spark, batch):
     closes = [math.sin(k) + 2 for k in range(50)]
