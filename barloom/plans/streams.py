@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.plans.registry import AGGREGATES, DAYS, TICKS, query, rounded
+from barloom.plans.registry import AGGREGATES, DAYS, TICKS, query, rounded, shown
 from barloom.sources.shared import checkpointed, removed, shared_dir
 from barloom.sources.tables import load
 from barloom.streaming import bars as streams
+from barloom.streaming import figures
 
 
 @query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
@@ -44,6 +45,14 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
+@query(f"""WITH {TICKS} SELECT sym, count(*) AS ticks, {shown(vwap='sum(price * qty) / sum(qty)')}, max(price) AS high, min(price) AS low, max(ts) AS last_ts,
+arg_max(price, row(ts, seq)) AS last FROM t GROUP BY sym""")
+def stream_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's ticks, average and last price so far, out of state that expires after a month."""
+    made = figures.running_figures(streams.tick_stream(spark, sf_dir))
+    return rounded(made.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz")), "vwap")
+
+
 @query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in three batches, the last of which brings the first day's once more: too late, so they change nothing."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import bars
 from barloom.sources.tables import event_ticks
 from barloom.streaming import bars as streams
+from barloom.streaming import figures
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,35 @@ def test_late_ticks_are_dropped(spark, batches, tmp_path):
     found = streams.completed(streams.stream_bars(streams.tick_stream(spark, str(tmp_path), files_per_batch=1), "1 day", "1 hour"))
     want = streams.completed(streams.stream_bars(streams.tick_stream(spark, batches, files_per_batch=1), "1 day", "1 hour"))
     same(found, want)
+
+
+def test_figures_stand_until_their_time_is_over(spark, tmp_path):
+    """Two batches in Arrow batches of three rows, with a symbol that is null, one in one batch only, and ticks that don't count; a state that lives a millisecond holds the last batch alone."""
+    rows = pd.DataFrame({"event_id": range(40), "ts": pd.date_range("2024-01-01", periods=40, freq="s").astype("datetime64[us]"), "event_type": ["a", None] * 10 + ["b"] * 5 + ["a"] * 15, "value": [float(k * 5 % 7) for k in range(40)]})
+    rows.loc[[39], "value"], rows.loc[[38], "ts"] = float("nan"), pd.NaT
+    rows["event_id"] = rows["event_id"].astype("Int64").where(rows["event_id"] != 37)
+    (tmp_path / "events.parquet").mkdir()
+    for k in (0, 20):
+        rows.iloc[k : k + 20].sample(frac=1, random_state=1).to_parquet(tmp_path / "events.parquet" / f"part-{k:02d}.parquet", index=False)
+    ticks = streams.tick_stream(spark, str(tmp_path), files_per_batch=1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        made = {(live, parts): figures.running_figures(ticks, live, parts).collect() for live, parts in ((figures.MONTH, 1), (figures.MONTH, 4), (1, 1))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+    def wanted(part):
+        sound = part[part["value"].notna() & part["ts"].notna() & part["event_id"].notna()]
+        return {None if pd.isna(sym) else sym: (len(of), pytest.approx(of["value"].mean()), of["value"].max(), of["value"].min(), of["value"].iloc[-1]) for sym, of in sound.groupby("event_type", dropna=False)}
+
+    def found(made):
+        return {row["sym"]: (row["ticks"], row["vwap"], row["high"], row["low"], row["last"]) for row in made}
+
+    assert found(made[figures.MONTH, 1]) == found(made[figures.MONTH, 4]) == wanted(rows)
+    assert found(made[1, 1]) == {None: wanted(rows)[None]} | wanted(rows.iloc[20:])
+
+
+def test_figures_of_no_ticks(spark, sf_dir, tmp_path):
+    pd.read_parquet(f"{sf_dir}/events.parquet").head(0).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet", index=False)
+    assert figures.running_figures(streams.tick_stream(spark, str(tmp_path))).collect() == []
