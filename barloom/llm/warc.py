@@ -29,10 +29,12 @@ import datetime as dt
 import gzip
 import hashlib
 import io
+import itertools
 import string
 import urllib.parse
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,8 @@ from barloom.sources.shared import checkpointed, removed, shared_dir
 ARCHIVE_BYTES = 32 << 20
 #: So many decided headers (about 150 bytes each) are broadcast at most.
 BROADCAST_REVISITS = 100_000
+#: Files that are renamed at a time.
+RENAMED = 32
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -159,13 +163,27 @@ def write_archives(records: DataFrame, path: str, date: str | None = None, archi
     date = date or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     made = records.mapInPandas(_archives(date, archive_bytes), fields(archive="binary")).select(F.col("archive").cast("string").alias("value"))
     made.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
-    spark = records.sparkSession
+    _named(records.sparkSession, path)
+
+
+def _named(spark: SparkSession, path: str) -> None:
+    """Gives the files under ``path`` their ending, many at a time, as a store may take long for each."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    for file in store.listStatus(at):
-        name = file.getPath().getName()
-        if name.endswith(".txt"):
-            store.rename(file.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + ".warc.gz"))
+
+    def name(file: str) -> None:
+        if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(at, file), spark._jvm.org.apache.hadoop.fs.Path(at, file.removesuffix(".txt") + ".warc.gz")):
+            raise OSError(f"{path}/{file} can't be renamed")
+
+    def files() -> Iterator[str]:
+        listed = store.listFiles(at, False)
+        while listed.hasNext():
+            if (file := listed.next().getPath().getName()).endswith(".txt"):
+                yield file
+
+    with ThreadPoolExecutor(RENAMED) as pool:
+        for some in itertools.batched(files(), 64 * RENAMED):
+            list(pool.map(name, some))
 
 
 def parse(archive: io.BufferedIOBase) -> Iterator[tuple]:
