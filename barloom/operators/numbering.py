@@ -2,18 +2,22 @@
 
 A symbol may hold a third of all ticks, so nothing here puts a whole symbol into one task: work
 is done within (key, bucket of time), and what must cross buckets is carried over one row per
-bucket.
+bucket, or, of windows with a bounded look-back, copied with the rows at the edge.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a part of a series.
+PART = 100_000
+
+
 def bucket_of(ts: str | Column, every: str) -> Column:
     """The start of the epoch-aligned bucket that a time falls into."""
     return F.window(ts, every)["start"]
@@ -29,6 +33,23 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return marked.join(offsets, [*keys, "__bucket"]).withColumn(name, F.row_number().over(inside) + F.col("__before")).drop("__bucket", "__before")
 
 
+def in_parts(bars: DataFrame, apply: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, part: int = PART, hours: int = 720) -> DataFrame:
+    """``apply(bars)`` by many tasks a symbol, for columns that look at most ``back`` rows of their symbol back and ``ahead`` on.
+
+    Windows by symbol put a whole series into one task. Here it is cut into parts of ``part`` rows, which also get the
+    rows around them that theirs look at, and ``apply`` sees each part as a symbol of its own. It may add columns, but must
+    keep rows and columns; what sums up a series from its start, or ranks all of it, is not for parts.
+    """
+    keyed = bars.withColumn("sym", F.struct("sym"))  # a null symbol is one like any other
+    bucket = F.floor(F.unix_micros(F.col("bar_ts").cast("timestamp")) / F.lit(hours * 3_600_000_000))
+    numbered = row_numbers(keyed, ["sym"], ["bar_ts"], F.coalesce(bucket, F.lit(-(1 << 62))), "__row").withColumn("__row", F.col("__row") - 1)
+    place = lambda row: F.floor(row / F.lit(part))
+    near = F.sequence(place(F.greatest(F.col("__row") - ahead, F.lit(0))), place(F.col("__row") + back))
+    dealt = numbered.withColumn("__part", F.explode(near)).withColumn("sym", F.struct(F.col("sym.sym").alias("sym"), F.col("__part").alias("part"))).drop("__part")
+    made = apply(dealt).where(F.col("sym.part") == place(F.col("__row")))
+    return made.withColumn("sym", F.col("sym.sym")).drop("__row")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, every: str, on: str = "sym", strict: bool = False) -> DataFrame:
     """``left`` with the latest row of ``right`` at or before (``strict``: before) its time, as the struct ``as_of``.
 

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from barloom.functions.columns import series
 from barloom.operators import indicators as ind
+from barloom.operators.numbering import in_parts
 from barloom.plans.bars import hours
-from barloom.plans.registry import HOURS, SERIES, query, rounded, rows, shown, when_full
+from barloom.plans.registry import HOURS, ORACLES, SERIES, query, rounded, rows, shown, when_full
 
 CHANGE = f"close - lag(close) OVER ({SERIES})"
 
@@ -34,6 +35,13 @@ def ind_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only(hours(spark, sf_dir).withColumns(made), *made)
 
 
+@query(ORACLES["ind_averages"])
+def ind_averages_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each symbol's series cut into parts of 100 bars."""
+    made = {"sma5": ind.sma(5), "dev20": ind.rolling_std(20), **ind.bands(20, 2.0), **ind.channel(10)}
+    return only(in_parts(hours(spark, sf_dir), lambda df: df.withColumns(made), back=19, part=100), *made)
+
+
 def ema_sql(source: str, value: str, weight: float, out: str) -> str:
     """A recursive table ``e_<out>`` (sym, rn, y) over a table with sym, rn and the value."""
     return (

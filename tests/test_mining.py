@@ -12,6 +12,7 @@ from barloom.functions.columns import upper_tail
 from barloom.operators import conditions as cond
 from barloom.operators import indicators as ind
 from barloom.operators import rules, strategies
+from barloom.operators.numbering import in_parts
 from barloom.plans.mining import NAMES, conditioned, strategy
 
 BAR = "sym string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double, ticks long"
@@ -36,6 +37,20 @@ def test_averages_by_hand(spark):
     assert values(df, "channel_high", "channel_low") == [(None, None), (3.0, 0.0), (4.0, 1.0), (6.0, 2.0)]
 
 
+@pytest.mark.parametrize(("part", "hours"), [(1, 1), (7, 5), (40, 720), (1000, 720)])
+def test_windows_do_not_depend_on_parts(spark, part, hours):
+    """Looks back over one part and many, a look ahead, a null symbol and missing closes."""
+    closes = [math.sin(k) * 50 + k % 11 + 60 for k in range(90)]
+    df = bars_of(spark, closes).unionByName(bars_of(spark, closes[5:30], None)).withColumn("close", F.when(F.hour("bar_ts") != 7, F.col("close"))).withColumn("two", F.lit(60.0))
+
+    def apply(df):
+        df = ind.with_stochastic(ind.with_atr(ind.with_rsi(df, 5), 5), 5, 3)
+        return df.withColumns({"s": ind.sma(9), "z": ind.zscore(9), "r": ind.simple_return(4), "x": cond.cross_above("close", "two"), "f": rules.forward_return(3), **ind.channel(4)})
+
+    found, want = in_parts(df, apply, back=8, ahead=3, part=part, hours=hours), apply(df)
+    assert found.columns == want.columns and sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_zero_prices_give_null_returns(spark):
     df = bars_of(spark, [1, 0, 2]).withColumns({"r": ind.simple_return(), "l": ind.log_return()})
     assert values(df, "r") == [None, -1.0, None] and values(df, "l") == [None, None, None]
