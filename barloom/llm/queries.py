@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import langid, media, mixing, pii, quality, sentencepieces, sharding, simhash, topk, warc
+from barloom.llm import bytepairs, centroids, conversations, langid, media, mixing, pii, quality, sentencepieces, sharding, simhash, topk, warc
 from barloom.llm.util import dealt_table, table
 
 
@@ -62,9 +62,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.sort_means(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.token_digests(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digested(conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")), kept="kept"))
+
+
 REGISTERED = (
     op1_transport_stream, op2_cross_parsing, op3_piece_prefixes, op4_compression_quality, op5_extendible_shards,
-    op6_raked_mixture, op7_feistel_pseudonyms, op8_block_pruned_top_k, op9_warc_revisits, op10_simhash,
+    op6_raked_mixture, op7_feistel_pseudonyms, op8_block_pruned_top_k, op9_warc_revisits, op10_simhash, op11_sort_means, op12_byte_pairs, op13_conversation_repair,
 )
 
 
@@ -78,4 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_raked_mixture": mixing.oracle(),
         "op8_block_pruned_top_k": topk.oracle(),
         "op9_warc_revisits": warc.oracle(),
+        "op11_sort_means": centroids.oracle(),
+        "op13_conversation_repair": conversations.oracle(),
     }
