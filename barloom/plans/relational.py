@@ -216,7 +216,7 @@ def rel_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, ts + INTERVAL 2 HOUR AS paris_summer, epoch_ms(ts)::BIGINT AS millis, hour(ts - INTERVAL 8 HOUR) AS pacific_hour,
+@query("""SELECT event_id, ts + INTERVAL 2 HOUR AS paris_summer, epoch_us(ts) // 1000 AS millis, hour(ts - INTERVAL 8 HOUR) AS pacific_hour,
 struct_extract(from_json(props, '{"k": "INTEGER"}'), 'k')::INT AS k FROM events""")
 def rel_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times in other zones, and a JSON text as a struct."""

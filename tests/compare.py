@@ -8,12 +8,14 @@ SHOWN = 3
 
 
 def plain(value: object) -> object:
-    """A value in a form that both engines share: numbers as floats of nine digits, the rest as text."""
+    """A value in a form that both engines share: whole numbers digit by digit, others as floats of nine digits, the rest as text."""
     if value is None or isinstance(value, float) and math.isnan(value):
         return "null"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, (int, float, decimal.Decimal)):
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, (float, decimal.Decimal)):
         return f"{float(value):.9g}" if value else "0"
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()

@@ -32,11 +32,26 @@ def sf_dir() -> str:
     return str(TESTDATA / "sf0.001")
 
 
-@pytest.fixture(scope="session")
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    """The smallest tables as DuckDB views."""
+def views(folder: str) -> duckdb.DuckDBPyConnection:
+    """A folder's tables as DuckDB views."""
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for path in Path(sf_dir).glob("*.parquet"):
+    for path in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    return views(sf_dir)
+
+
+@pytest.fixture(scope="session")
+def sql_dir() -> str:
+    """The scale at which queries are held against their SQL."""
+    return str(TESTDATA / "sf0.01")
+
+
+@pytest.fixture(scope="session")
+def sql_duck(sql_dir: str) -> duckdb.DuckDBPyConnection:
+    return views(sql_dir)
