@@ -396,24 +396,26 @@ def _in_pieces(rows: DataFrame, fees: Fees) -> DataFrame:
     return made.unionByName(alone)
 
 
-def repaired(rows: DataFrame, fees: Fees = FEES, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", kept: str | None = None) -> DataFrame:
-    """(conv_id, piece, gaps, blank, duplicate, truncated, illegal, cost, audit, turns): the repaired conversations.
-
-    ``piece`` is null where a conversation is one row; a long one has a row for each of its pieces, whose counts add
-    up and whose audits and turns (role, text) follow one another by ``piece``. ``kept`` may name a boolean column.
-    """
-    own = marked(rows, conv_id, turn, role, text, kept)
+def _parts(rows: DataFrame, fees: Fees, **columns: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """PIECES of conversations that are one row each, and those of long ones, if there are any."""
+    own = marked(rows, **columns)
     sizes = own.groupBy("conv_id").agg(F.count_if("kept").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     long = checkpointed(sizes.where((F.col("rows") > LONG_ROWS) | (F.col("bytes") > LONG_BYTES) & (F.col("rows") > 1)).select(F.col("conv_id").alias("long_id")))
     schema = _with(own.schema["conv_id"].dataType, PIECES)
-    met = F.col("conv_id").eqNullSafe(F.col("long_id"))
-    any_long = not long.isEmpty()
+    met, any_long = F.col("conv_id").eqNullSafe(F.col("long_id")), not long.isEmpty()
     short = own.join(broadcast_up_to(long, BROADCAST_ROWS), met, "left_anti") if any_long else own
-    dealt = short.repartition("conv_id").sortWithinPartitions(*ORDER)
-    made = dealt.mapInArrow(_whole(fees, to_arrow_schema(schema)), schema)
-    if not any_long:
-        return made
-    return made.unionByName(_in_pieces(own.where("kept").drop("kept").join(broadcast_up_to(long, BROADCAST_ROWS), met, "left_semi"), fees))
+    whole = short.repartition("conv_id").sortWithinPartitions(*ORDER).mapInArrow(_whole(fees, to_arrow_schema(schema)), schema)
+    return whole, _in_pieces(own.where("kept").drop("kept").join(broadcast_up_to(long, BROADCAST_ROWS), met, "left_semi"), fees) if any_long else None
+
+
+def repaired(rows: DataFrame, fees: Fees = FEES, **columns: str | None) -> DataFrame:
+    """(conv_id, piece, gaps, blank, duplicate, truncated, illegal, cost, audit, turns): the repaired conversations.
+
+    ``piece`` is null where a conversation is one row; a long one has a row for each of its pieces, whose counts add
+    up and whose audits and turns (role, text) follow one another by ``piece``. ``columns`` are names as in ``marked``.
+    """
+    whole, pieces = _parts(rows, fees, **columns)
+    return whole if pieces is None else whole.unionByName(pieces)
 
 
 def _joined(schema: pa.Schema) -> Callable[[Batches], Batches]:
@@ -442,13 +444,16 @@ def _joined(schema: pa.Schema) -> Callable[[Batches], Batches]:
     return join
 
 
-def digested(pieces: DataFrame) -> DataFrame:
-    """(conv_id, counts, audit, repaired_sha256) of each conversation of ``repaired``."""
+def digested(rows: DataFrame, fees: Fees = FEES, **columns: str | None) -> DataFrame:
+    """(conv_id, counts, audit, repaired_sha256) of each conversation, repaired as by ``repaired``."""
+    whole, pieces = _parts(rows, fees, **columns)
     lines = F.transform("turns", lambda said: F.concat(said["role"], F.lit(":"), said["text"]))
-    whole = pieces.where("piece is null").select("conv_id", *COUNTS, "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+    made = whole.select("conv_id", *COUNTS, "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+    if pieces is None:
+        return made
     schema = T.StructType([pieces.schema["conv_id"], *fields(**dict.fromkeys(COUNTS, "long"), audit="string", repaired_sha256="string")])
-    parts = pieces.where("piece is not null").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    return whole.unionByName(parts.select("conv_id", *COUNTS, "audit", "turns").mapInArrow(_joined(to_arrow_schema(schema)), schema))
+    parts = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return made.unionByName(parts.select("conv_id", *COUNTS, "audit", "turns").mapInArrow(_joined(to_arrow_schema(schema)), schema))
 
 
 # ---- damage, which the registered query repairs

@@ -71,7 +71,7 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.digested(conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")), kept="kept"))
+    return conversations.digested(conversations.damaged(table(spark, sf_dir, "conversations")), kept="kept")
 
 
 REGISTERED = (

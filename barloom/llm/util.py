@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.operators.joins import broadcast_up_to  # noqa: F401  for the operators of this package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,11 +34,6 @@ def fields(**kinds: str | T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES.get(kind, kind) if isinstance(kind, str) else kind) for name, kind in kinds.items()])
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; a plain join side beyond that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def hash_number(text: Column, digits: int) -> Column:
     """The first ``digits`` hexadecimal digits of the md5 of a string, as a number."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

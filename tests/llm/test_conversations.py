@@ -79,7 +79,7 @@ def test_against_a_search(many, monkeypatch, long, piece):
     monkeypatch.setattr(conv, "LONG_ROWS", long)
     monkeypatch.setattr(conv, "PIECE_ROWS", piece)
     df, want = many
-    assert {row["conv_id"]: tuple(row)[1:] for row in conv.digested(conv.repaired(df)).collect()} == want
+    assert {row["conv_id"]: tuple(row)[1:] for row in conv.digested(df).collect()} == want
 
 
 def test_repaired_turns(spark):
@@ -91,7 +91,7 @@ def test_repaired_turns(spark):
 
 def test_rows_that_are_not_kept(spark):
     rows = spark.createDataFrame([(1, 1, "user", "a.", False), (1, 2, "assistant", "b.", False), (2, 1, "user", "a.", True), (2, 2, "assistant", "b.", True), (None, 4, "user", "c.", False)], f"{ROWS}, there boolean")
-    found = {row["conv_id"]: tuple(row)[1:] for row in conv.digested(conv.repaired(rows, kept="there")).collect()}
+    found = {row["conv_id"]: tuple(row)[1:] for row in conv.digested(rows, kept="there").collect()}
     empty = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert found[1] == found[None] == empty and found[2][:7] == (0, 0, 0, 0, 0, 0, "KK")
 
@@ -110,7 +110,7 @@ def test_damage(spark, sf_dir):
 def test_damaged_and_repaired_table_in_pieces(spark, sf_dir, duck, monkeypatch):
     monkeypatch.setattr(conv, "LONG_ROWS", 4)
     monkeypatch.setattr(conv, "PIECE_ROWS", 3)
-    assert_same(conv.digested(conv.repaired(conv.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), kept="kept")), duck.execute(conv.oracle()))
+    assert_same(conv.digested(conv.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), kept="kept"), duck.execute(conv.oracle()))
 
 
 def test_buckets_hold_everything_once():
@@ -132,5 +132,5 @@ def test_one_long_conversation_is_many_pieces(spark):
 
 
 def test_no_rows(spark):
-    assert conv.digested(conv.repaired(spark.createDataFrame([], ROWS))).collect() == []
+    assert conv.digested(spark.createDataFrame([], ROWS)).collect() == []
     assert np.array_equal(conv.FILL, [2, 2, 3, 2])
