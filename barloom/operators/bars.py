@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import ratio, series
-from barloom.operators.numbering import bucket_of, row_numbers
+from barloom.operators.numbering import bucket_of, micros, row_numbers
+from barloom.operators.scans import HOURS, Running, scanned
 
+#: Steps of a block of a calendar.
+CALENDAR_BLOCK = 4096
 COLUMNS = ("open", "high", "low", "close", "volume", "ticks")
 
 
@@ -76,18 +79,42 @@ def volume_bars(ticks: DataFrame, size: float, bucket: str = "1 day") -> DataFra
     return placed.groupBy("sym", "bar").agg(F.min("ts").alias("bar_ts"), *_aggregates())
 
 
+def calendar(found: DataFrame, every: str, block: int = CALENDAR_BLOCK) -> DataFrame:
+    """(sym, bar_ts): every step from each symbol's first bar to its last.
+
+    Steps of a fixed length come out of numbered blocks of ``block`` of them: the numbers of blocks, and before these of blocks
+    of blocks, are dealt out first, so no row holds more than ``block`` entries and a long range is many tasks' work.
+    Steps of months differ in length and are few: they come out of one array.
+    """
+    kind, bar = found.schema["bar_ts"].dataType.simpleString(), F.col("bar_ts")
+    known = found.where(bar.isNotNull())
+    length = micros(found.sparkSession, every)
+    if length is None:
+        return known.groupBy("sym").agg(F.min(bar).alias("first"), F.max(bar).alias("last")).select("sym", F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {every}"))).alias("bar_ts"))
+    first, last = F.unix_micros(F.min(bar.cast("timestamp"))), F.unix_micros(F.max(bar.cast("timestamp")))
+    counted = known.groupBy("sym").agg(first.alias("first"), F.floor((last - first) / length).alias("most")).withColumn("step", F.lit(0).cast("long"))
+    width, longest = block, known.agg(F.floor((last - first) / length)).first()[0] or 0
+    while width <= longest:
+        width *= block
+    while width > 1:  # from the coarsest blocks to single steps
+        width //= block
+        more = F.least(F.lit(block - 1), F.floor((F.col("most") - F.col("step")) / width))
+        counted = counted.withColumn("more", F.explode(F.sequence(F.lit(0).cast("long"), more))).withColumn("step", F.col("step") + F.col("more") * width)
+        if width > 1:
+            counted = counted.repartition("sym", "step")
+    return counted.select("sym", F.timestamp_micros(F.col("first") + F.col("step") * length).cast(kind).alias("bar_ts"))
+
+
 def fill_calendar(found: DataFrame, every: str) -> DataFrame:
     """Each symbol's bars on every step from its first to its last; missing bars are null with volume 0."""
-    step = F.expr(f"INTERVAL {every}")
-    steps = found.groupBy("sym").agg(F.min("bar_ts").alias("first"), F.max("bar_ts").alias("last"))
-    grid = steps.select("sym", F.explode(F.sequence("first", "last", step)).alias("bar_ts"))
-    return grid.join(found, ["sym", "bar_ts"], "left").withColumns({"volume": F.coalesce("volume", F.lit(0.0)), "ticks": F.coalesce("ticks", F.lit(0))})
+    filled = calendar(found, every).withColumnsRenamed({"sym": "__sym", "bar_ts": "__ts"}).join(found, F.col("__sym").eqNullSafe(F.col("sym")) & (F.col("__ts") == F.col("bar_ts")), "left")
+    made = filled.withColumns({"sym": F.col("__sym"), "bar_ts": F.col("__ts"), "volume": F.coalesce("volume", F.lit(0.0)), "ticks": F.coalesce("ticks", F.lit(0))})
+    return made.select(found.columns)
 
 
-def forward_fill(df: DataFrame, *columns: str) -> DataFrame:
-    """The last known value for each null."""
-    until_now = series().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({name: F.last(name, ignorenulls=True).over(until_now) for name in columns})
+def forward_fill(df: DataFrame, *columns: str, hours: int = HOURS) -> DataFrame:
+    """The last known value for each null, worked out in buckets of ``hours``."""
+    return scanned(df, {name: Running("last", F.col(name)) for name in columns}, hours=hours)
 
 
 def vwap(found: DataFrame, *by: str) -> DataFrame:

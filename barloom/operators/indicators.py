@@ -1,7 +1,8 @@
 """Indicators: columns over a symbol's bars, from the current bar and those before it.
 
-All but the recursive ones are windows over (sym, bar_ts), which Spark evaluates in one shuffle
-and one sort however many there are. Values are null until their look-back is full; recursive ones
+All with a bounded look-back are windows over (sym, bar_ts), which Spark evaluates in one shuffle
+and one sort however many there are, a task a symbol: from some ten million bars a symbol on, work them out by
+``numbering.in_parts``. Values are null until their look-back is full; recursive ones
 have a value from their seed on.
 """
 
@@ -19,10 +20,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import column, full, last_rows, ratio, series
+from barloom.operators.joins import broadcast_up_to
+from barloom.operators.ranks import ranked
+from barloom.operators.scans import HOURS, Running, scanned
 from barloom.sources.shared import checkpointed
 
-#: Rows of a block in which values are smoothed from 0.
-BLOCK = 512
+#: Rows of a block in which values are smoothed from 0, and so many blocks' starts are broadcast at most.
+BLOCK, BROADCAST_BLOCKS = 512, 200_000
 
 
 def previous(value: str | Column = "close", k: int = 1) -> Column:
@@ -93,20 +97,20 @@ def with_stochastic(df: DataFrame, n: int = 14, m: int = 3) -> DataFrame:
     return made.withColumn("stoch_d", F.when(known, F.avg("stoch_k").over(last_rows(m))))
 
 
-def with_obv(df: DataFrame) -> DataFrame:
-    """On-balance volume: volume added on rises and taken off on falls."""
-    step = F.coalesce(F.signum(F.col("close") - previous()) * F.col("volume"), F.lit(0.0))
-    until_now = series().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__step", step).withColumn("obv", F.sum("__step").over(until_now)).drop("__step")
+def with_obv(df: DataFrame, hours: int = HOURS) -> DataFrame:
+    """On-balance volume: volume added on rises and taken off on falls, worked out in buckets of ``hours``."""
+    step = F.coalesce(F.signum(F.col("close") - F.col("__previous")) * F.col("volume"), F.lit(0.0))
+    before = scanned(df, previous={"__previous": "close"}, hours=hours)
+    return scanned(before, {"obv": Running("sum", step)}, hours=hours).drop("__previous")
 
 
 def zscore(n: int, value: str = "close") -> Column:
     return ratio(F.col(value) - sma(n, value), rolling_std(n, value))
 
 
-def percentile_rank(value: str = "close") -> Column:
-    """A bar's place among all of its symbol's bars, 0 to 1 (looks at the whole series)."""
-    return F.percent_rank().over(Window.partitionBy("sym").orderBy(value))
+def with_percentile_rank(df: DataFrame, value: str = "close", name: str = "pct_rank") -> DataFrame:
+    """``df`` with each bar's place among all of its symbol's bars, 0 to 1 (looks at the whole series)."""
+    return ranked(df, value, {name: "percent_rank"})
 
 
 def in_last(interval: str, aggregate: str) -> Column:
@@ -190,7 +194,7 @@ def smoothed(df: DataFrame, steps: list[Smooth], order: tuple[str, ...] = ("bar_
     for i, step in enumerate(steps):
         value = F.col(f"__local{i}") + F.pow(F.lit(1 - step.weight), F.col(f"__k{i}")) * F.col(f"__carry{i}")
         made.append(F.when(F.col(f"__before{i}") + F.col(f"__k{i}") >= step.seed, value).alias(step.name))
-    return marked.join(starts, met).select(*df.columns, *made)
+    return marked.join(broadcast_up_to(checkpointed(starts), BROADCAST_BLOCKS), met).select(*df.columns, *made)
 
 
 def ema_step(n: int, source: str = "close", name: str | None = None) -> Smooth:

@@ -7,15 +7,18 @@ bucket, or, of windows with a bounded look-back, copied with the rows at the edg
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 #: Rows of a part of a series.
 PART = 100_000
+#: A cell of time holds two to this power of the next finer ones.
+BITS = 3
 
 
 def bucket_of(ts: str | Column, every: str) -> Column:
@@ -75,10 +78,46 @@ def as_of_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, e
     return joined.select("__left.*", F.coalesce("__near", "__carried").alias("as_of"))
 
 
+def micros(spark: SparkSession, every: str) -> int | None:
+    """The length of an interval in microseconds, or null if it has none (months)."""
+    ends = [F.lit(start) + F.expr(f"INTERVAL {every}") - F.lit(start) for start in (dt.datetime(1970, 1, 1), dt.datetime(1970, 2, 1))]
+    length, other = (int(length.total_seconds() * 1_000_000) for length in spark.range(1).select(ends[0].alias("a"), ends[1].alias("b")).first())
+    return length if length == other else None
+
+
+def _numbers(start: Column, end: Column) -> Column:
+    """The whole numbers from ``start`` up to ``end``, which isn't one of them."""
+    return F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def cells_of_range(first: Column, end: Column, level: int, top: int, bits: int = BITS) -> Column:
+    """The cells of a level that lie in a range of finest cells (``end`` not included), but in no cell of the next level that does; a cell holds 2 ** ``bits`` finer ones."""
+    inside = lambda level: (-F.shiftright(-first, bits * level), F.shiftright(end, bits * level))
+    low, high = inside(level)
+    if level == top:
+        return _numbers(low, high)
+    above, until = (F.shiftleft(x, bits) for x in inside(level + 1))
+    return F.when(above < until, F.concat(_numbers(low, F.least(high, above)), _numbers(F.greatest(low, until), high))).otherwise(_numbers(low, high))
+
+
 def range_join(points: DataFrame, ranges: DataFrame, ts: str, start: str, end: str, every: str, on: Sequence[str] = ()) -> DataFrame:
-    """Pairs of points and ranges with start <= ts < end: an equi-join on buckets of time that a range is spread over."""
-    left = points.withColumn("__bucket", bucket_of(ts, every))
-    last = F.col(end) - F.expr("INTERVAL 1 MICROSECOND")
-    spread = F.explode(F.sequence(bucket_of(start, every), bucket_of(last, every), F.expr(f"INTERVAL {every}")))
-    right = ranges.where(F.col(start) < F.col(end)).withColumn("__bucket", spread)
-    return left.join(right, [*on, "__bucket"]).where((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).drop("__bucket")
+    """Pairs of points and ranges with start <= ts < end, by equi-joins over a tree of cells of time.
+
+    Cells of length ``every`` are the leaves, and each cell of a level holds 2 ** ``BITS`` of the level below. A range is cut into
+    the largest cells that make it up, a few a level, so what a range takes grows with the logarithm of its
+    length; a point asks for the cells that hold it, one a level. A pair meets in one cell alone.
+    """
+    length = micros(points.sparkSession, every)
+    if length is None:
+        raise ValueError("cells need a fixed length")
+    cell = lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / length)
+    sound = ranges.where(F.col(start) < F.col(end)).withColumns({"__first": cell(F.col(start)), "__end": cell(F.col(end) - F.expr("INTERVAL 1 MICROSECOND")) + 1})
+    longest, top = sound.agg(F.max(F.col("__end") - F.col("__first"))).first()[0] or 1, 0
+    while 1 << (BITS * (top + 1)) <= longest:
+        top += 1
+    cells = lambda level: F.transform(cells_of_range(F.col("__first"), F.col("__end"), level, top), lambda at: F.struct(F.lit(level).alias("__level"), at.alias("__cell")))
+    right = sound.withColumn("__piece", F.explode(F.concat(*[cells(level) for level in range(top + 1)]))).select(*ranges.columns, "__piece.*")
+    up = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda level: F.struct(level.alias("__level"), level.alias("__up")))
+    left = points.withColumn("__fine", cell(F.col(ts))).withColumn("__at", F.explode(up))
+    left = left.withColumns({"__level": F.col("__at.__level"), "__cell": F.expr(f"shiftright(__fine, {BITS} * __at.__up)")}).drop("__fine", "__at")
+    return left.join(right, [*on, "__level", "__cell"]).where((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).drop("__level", "__cell")

@@ -19,6 +19,7 @@ from barloom.functions.columns import column, ratio, series, upper_tail
 from barloom.operators.conditions import held, long_form
 from barloom.operators.joins import broadcast_up_to
 from barloom.operators.numbering import row_numbers
+from barloom.operators.ranks import numbered
 from barloom.sources.shared import checkpointed
 
 BAR = ["sym", "bar_ts"]
@@ -31,6 +32,11 @@ def forward_return(h: int = 1, value: str = "close") -> Column:
     return ratio(F.lead(value, h).over(series()), value) - 1
 
 
+def purged(df: DataFrame, h: int = 1) -> DataFrame:
+    """``df`` with ``fwd`` only where the bar that it ends on, ``h`` bars on, lies in the same ``fold``: what one fold learns doesn't look into the next."""
+    return df.withColumn("fwd", F.when(F.lead("fold", h).over(series()) == F.col("fold"), F.col("fwd")))
+
+
 def outcome() -> list[Column]:
     """Bars, rises and mean forward return of a group."""
     return [F.count(F.lit(1)).alias("n"), F.count_if(F.col("fwd") > 0).alias("wins"), F.avg("fwd").alias("mean_fwd")]
@@ -51,17 +57,23 @@ def pair_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return known.select("fwd", F.explode(pairs).alias("pair")).select("pair.*", "fwd").groupBy("c1", "c2").agg(*outcome())
 
 
-def _levels(bars: DataFrame, longest: int, frequent: Column, *figures: Column) -> list[DataFrame]:
+def _levels(bars: DataFrame, longest: int, frequent: Column, *figures: Column, within: Sequence[str] = ()) -> list[DataFrame]:
     """(items, figures) of the sets of 1, 2, ... ``longest`` conditions of ``bars`` (conds, a sorted array, and what figures are of) whose smaller sets are all ``frequent``.
 
-    A bar's sets grow out of its own array: nothing is joined but the few sets that are frequent.
+    A bar's sets grow out of its own array: nothing is joined but the few sets that are frequent. With columns ``within``,
+    figures (one of them ``n``) are of each of their values, and ``frequent`` is of ``all``, the set's n in all of them.
     """
     level, found = bars.withColumn("items", F.explode(F.transform("conds", lambda c: F.array(c)))), []
     for k in range(longest):
-        counts = checkpointed(level.groupBy("items").agg(*figures))
-        found.append(counts.where(frequent))
+        counts = checkpointed(level.groupBy("items", *within).agg(*figures))
+        if within:
+            whole = checkpointed(counts.groupBy("items").agg(F.sum("n").alias("all")).where(frequent)).select("items")
+            found.append(counts.join(broadcast_up_to(whole, BROADCAST_SETS), "items", "left_semi"))
+        else:
+            found.append(counts.where(frequent))
+            whole = found[-1].select("items")
         if k + 1 < longest:
-            kept = level.join(broadcast_up_to(found[-1].select("items"), BROADCAST_SETS), "items", "left_semi")
+            kept = level.join(broadcast_up_to(whole, BROADCAST_SETS), "items", "left_semi")
             grown = F.transform(F.filter("conds", lambda c: c > F.element_at("items", -1)), lambda c: F.concat("items", F.array(c)))
             level = kept.withColumn("items", F.explode(grown))
     return found
@@ -73,14 +85,15 @@ def combination_scores(df: DataFrame, names: Sequence[str], longest: int, least:
     return reduce(DataFrame.unionByName, _levels(bars, longest, F.col("n") >= least, *outcome()))
 
 
-def mined(df: DataFrame, names: Sequence[str], longest: int, least: int, q: float, base: float = 0.5) -> DataFrame:
+def mined(df: DataFrame, names: Sequence[str], longest: int, least: int, q: float, base: float = 0.5, h: int = 1) -> DataFrame:
     """The mining loop for rules: enumerate, score on the earlier half, filter, score on the later half.
 
     (items, train_n, train_wins, train_mean, z, p, rank, kept, tried, test_n, test_mean): sets of
     conditions that held on ``least`` bars or more of each symbol's earlier half (``fold`` 1), with
     what the Benjamini-Hochberg procedure at rate q says of them there and what came of them later.
+    ``fwd`` is the return of ``h`` bars; bars whose return ends in the other half count in neither.
     """
-    bars = df.where("fwd is not null").select("fwd", "fold", F.sort_array(held(names)).alias("conds"))
+    bars = checkpointed(purged(df, h).where("fwd is not null").select("fwd", "fold", F.sort_array(held(names)).alias("conds")))
     early, late = F.col("fold") == 1, F.col("fold") == 2
     figures = [
         F.count_if(early).alias("train_n"), F.count_if(early & (F.col("fwd") > 0)).alias("train_wins"), F.avg(F.when(early, F.col("fwd"))).alias("train_mean"),
@@ -133,16 +146,79 @@ def lagged_pairs(df: DataFrame, names: Sequence[str], longest: int) -> DataFrame
     return each.select("c1", F.explode("now").alias("c2"), "lag").groupBy("c1", "c2", "lag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sequences(df: DataFrame, names: Sequence[str], longest: int, gap: int, least: int) -> DataFrame:
+    """(items, n, wins, mean_fwd) of sequences of up to ``longest`` conditions, each holding 1 to ``gap`` bars after the one before.
+
+    ``n`` counts the bars on which a sequence ends, however many ways lead there, and ``fwd`` is their outcome. Sequences grow from those
+    that end on ``least`` bars or more, one condition a level: a list has where each sequence ends, and each
+    entry meets the conditions of the next ``gap`` bars by their numbers.
+    """
+    rows = numbered(df.select(*BAR, held(names).alias("conds"), "fwd"), name="row").select(F.struct("sym").alias("key"), "row", "conds", "fwd")
+    rows, found = checkpointed(rows), []
+    ends = rows.select("key", "row", "fwd", F.explode("conds").alias("cond")).select("key", "row", F.array("cond").alias("items"), "fwd")
+    for k in range(longest):
+        ends = checkpointed(ends)
+        found.append(checkpointed(ends.groupBy("items").agg(*outcome()).where(F.col("n") >= least)))
+        if k + 1 < longest:
+            kept = ends.join(broadcast_up_to(found[-1].select("items"), BROADCAST_SETS), "items", "left_semi")
+            after = kept.select("key", F.explode(F.sequence(F.col("row") + 1, F.col("row") + gap)).alias("row"), "items").distinct()
+            ends = after.join(rows, ["key", "row"]).select("key", "row", "items", "fwd", F.explode("conds").alias("cond")).select("key", "row", F.concat("items", F.array("cond")).alias("items"), "fwd")
+    return reduce(DataFrame.unionByName, found)
+
+
 def pruned(rules: DataFrame, by: str = "confidence", margin: float = 0.0) -> DataFrame:
     """Rules (antecedent, consequent, ...) that beat each rule for the same consequent with a smaller antecedent within theirs.
 
-    A rule meets only rules for its consequent whose antecedent's first condition is one of its own.
+    The best of what lies below a set goes up a level at a time: each set asks the sets that lack one of its conditions, by
+    equality, for the best figure of themselves and all below them. Sets between two rules that are no rules themselves
+    take part without a figure. A rule of k conditions costs k rows a level, however common its conditions are.
+    """
+    own = checkpointed(rules.select("consequent", F.array_sort(F.array_distinct("antecedent")).alias("set"), F.col(by).cast("double").alias("own")).groupBy("consequent", "set").agg(F.max("own").alias("own")))
+    top = own.agg(F.max(F.size("set"))).first()[0] or 0
+    below = lambda sets: sets.select("consequent", "set", F.explode("set").alias("item")).select("consequent", F.array_remove("set", F.col("item")).alias("less"), "set")
+    levels = {top: own.where(F.size("set") == top)}
+    for k in range(top - 1, 0, -1):  # all sets that are needed, from the largest down
+        needed = below(levels[k + 1]).select("consequent", F.col("less").alias("set")).distinct().withColumn("own", F.lit(None).cast("double"))
+        levels[k] = checkpointed(needed.unionByName(own.where(F.size("set") == k)).groupBy("consequent", "set").agg(F.max("own").alias("own")))
+    best, figures = None, []
+    for k in range(1, top + 1):
+        level = levels[k].withColumn("best", F.lit(None).cast("double"))
+        if best is not None:
+            asked = below(levels[k]).join(best.select("consequent", F.col("set").alias("less"), F.greatest("own", "best").alias("figure")), ["consequent", "less"])
+            level = levels[k].join(asked.groupBy("consequent", "set").agg(F.max("figure").alias("best")), ["consequent", "set"], "left")
+        best = checkpointed(level)
+        figures.append(best)
+    if not figures:
+        return rules
+    beaten = reduce(DataFrame.unionByName, figures).where(F.col("own").isNotNull()).select(F.col("consequent").alias("__for"), F.col("set").alias("__set"), "best")
+    met = (F.array_sort(F.array_distinct("antecedent")) == F.col("__set")) & (F.col("consequent") == F.col("__for"))
+    kept = rules.join(beaten, met).where(F.col("best").isNull() | ~F.coalesce(F.col(by) <= F.col("best") + margin, F.lit(False)))
+    return kept.select(rules.columns)
+
+
+def permuted(df: DataFrame, names: Sequence[str], longest: int, least: int, replicates: int = 99, block: Column | None = None, seed: str = "1") -> DataFrame:
+    """(items, n, score, p): sets of up to ``longest`` conditions that hold on ``least`` bars, with a p-value for all of them together that bars may depend on one another within a block.
+
+    A set's score is the sum of its bars' ``fwd`` over the root of its squared sums by block (the day, if none is given). Each replicate
+    turns the signs of whole blocks around by their hash, and keeps the highest score of any set: ``p`` is the share of replicates
+    (and of the score itself) in which that is no lower. So dependence within a block, between symbols and between sets is
+    kept, and the number of sets tried is paid for. Sets are summed by block first; the replicates of a set are then sums of one aggregation.
     """
-    parts = rules.select("antecedent", "consequent", F.explode("antecedent").alias("first"), F.col(by).alias("own"))
-    smaller = rules.select(F.col("antecedent").alias("less"), "consequent", F.col("antecedent")[0].alias("first"), F.col(by).alias("theirs"))
-    inside = (F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0)
-    beaten = parts.join(smaller, ["consequent", "first"]).where(inside & (F.col("own") <= F.col("theirs") + margin)).select("antecedent", "consequent").distinct()
-    return rules.join(beaten, ["antecedent", "consequent"], "left_anti")
+    by = F.to_date("bar_ts") if block is None else block
+    bars = checkpointed(df.where("fwd is not null").select("fwd", by.cast("string").alias("block"), F.sort_array(held(names)).alias("conds")))
+    sums = checkpointed(reduce(DataFrame.unionByName, _levels(bars, longest, F.col("all") >= least, F.sum("fwd").alias("total"), F.count(F.lit(1)).alias("n"), within=("block",))))
+    sign = lambda k: F.when(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), F.col("block")).cast("binary")), 1, 1) < "8", -1.0).otherwise(1.0)
+    signs = sums.select("block").distinct().select("block", F.array(*[sign(k) for k in range(replicates)]).alias("signs"))
+    signed = sums.join(broadcast_up_to(checkpointed(signs), BROADCAST_SETS), "block")
+    root = F.sqrt(F.sum(F.col("total") * F.col("total")))
+    scores = signed.groupBy("items").agg(
+        F.sum("n").alias("n"), ratio(F.sum("total"), root).alias("score"), F.array(*[ratio(F.sum(F.col("total") * F.col("signs")[k]), root) for k in range(replicates)]).alias("others")
+    )
+    scores = checkpointed(scores)
+    highest = scores.agg(F.array(*[F.max(F.col("others")[k]) for k in range(replicates)])).first()[0]
+    reached = lambda high: F.coalesce(F.round(F.lit(high), 9) >= F.round("score", 9), F.lit(False)).cast("int")
+    beaten = sum((reached(high) for high in highest if high is not None), F.lit(0))
+    return scores.select("items", "n", "score", ((beaten + 1) / F.lit(float(replicates + 1))).alias("p"))
 
 
 def binomial_z(wins: str | Column = "wins", n: str | Column = "n", base: float | Column = 0.5) -> Column:

@@ -2,12 +2,14 @@
 
 A signal is 1 (enter), 0 (leave) or null (keep). Positions act on the bar after their signal.
 Frames take ``extra`` keys (a strategy's parameters) beside the symbol; a table dealt by symbol
-serves windows over (symbol, strategy) without another shuffle.
+serves windows over (symbol, strategy) without another shuffle. Without such keys a series may have any length: it is
+worked out in buckets of ``hours``, which should hold as many of a symbol's bars as suit a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,16 @@ from pyspark.sql.window import Window
 
 from barloom.functions.columns import full, last_rows, ratio, series
 from barloom.operators.conditions import holds
+from barloom.operators.joins import broadcast_up_to
+from barloom.operators.numbering import cells_of_range
+from barloom.operators.ranks import numbered, with_tiles
+from barloom.operators.scans import HOURS, Running, scanned
+from barloom.sources.shared import checkpointed
 
 #: What is left at least after a bar: a loss of everything counts as one down to this share.
 LEAST_LEFT = 1e-9
+#: Bars that are looked ahead at as a frame at most; a node of the tree of extremes holds two to this power of those below; symbols that are broadcast at most.
+FRAME, TREE_BITS, BROADCAST_SYMBOLS = 64, 3, 100_000
 #: From so many pairs on, a grid is dealt by symbol and pair, so that one symbol's pairs run side by side.
 DEAL_FROM = 16
 
@@ -29,32 +38,36 @@ def signal(entry: Column, leave: Column) -> Column:
     return F.when(holds(leave), 0).when(holds(entry), 1)
 
 
-def position(sig: str = "sig", *extra: str) -> Column:
-    """The last signal so far, 0 before any."""
-    return F.coalesce(F.last(sig, ignorenulls=True).over(series(*extra).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+def _running(df: DataFrame, extra: Sequence[str], hours: int, running: Mapping[str, Running] | None = None, previous: Mapping[str, str] | None = None) -> DataFrame:
+    """``scanned`` in buckets of ``hours``; strategies of a grid (``extra`` keys) stay where their bars were dealt, as windows over (symbol, strategy)."""
+    if not extra:
+        return scanned(df, running, previous, hours=hours)
+    so_far = series(*extra).rowsBetween(Window.unboundedPreceding, 0)
+    plain = {"last": lambda x: F.last(x, ignorenulls=True).over(so_far), "sum": lambda x: F.sum(x).over(so_far)}
+    for name, run in (running or {}).items():
+        df = df.withColumn(name, plain[run.kind](run.source))
+    return df.withColumns({name: F.lag(source).over(series(*extra)) for name, source in (previous or {}).items()})
 
 
-def with_position(df: DataFrame, entry: Column, leave: Column, *extra: str) -> DataFrame:
+def with_position(df: DataFrame, entry: Column, leave: Column, *extra: str, hours: int = HOURS) -> DataFrame:
     """``df`` with ``sig``, ``wanted`` (the position that the signal asks for) and ``pos`` (one bar later)."""
-    made = df.withColumn("sig", signal(entry, leave)).withColumn("wanted", position("sig", *extra))
-    return made.withColumn("pos", F.coalesce(F.lag("wanted").over(series(*extra)), F.lit(0)))
-
-
-def cost(bps: float, *extra: str) -> Column:
-    """What changing the position costs, as a share."""
-    return F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(series(*extra)), F.lit(0))) * F.lit(bps / 10_000)
+    signalled = df.withColumn("sig", signal(entry, leave))
+    made = _running(signalled, extra, hours, {"wanted": Running("last", F.col("sig"))}, {"pos": "wanted"})
+    return made.withColumns({name: F.coalesce(name, F.lit(0)) for name in ("wanted", "pos")})
 
 
-def with_profit(df: DataFrame, bps: float = 0.0, *extra: str) -> DataFrame:
-    """``df`` with ``pnl``: the position times the bar's return, less costs."""
-    change = F.coalesce(ratio("close", F.lag("close").over(series(*extra))) - 1, F.lit(0.0))
-    return df.withColumn("pnl", F.col("pos") * change - cost(bps, *extra))
+def with_profit(df: DataFrame, bps: float = 0.0, *extra: str, hours: int = HOURS) -> DataFrame:
+    """``df`` with ``pnl``: the position times the bar's return, less what changing the position costs."""
+    before = _running(df, extra, hours, previous={"__close": "close", "__pos": "pos"})
+    change = F.coalesce(ratio("close", "__close") - 1, F.lit(0.0))
+    cost = F.abs(F.col("pos") - F.coalesce("__pos", F.lit(0))) * F.lit(bps / 10_000)
+    return before.withColumn("pnl", F.col("pos") * change - cost).drop("__close", "__pos")
 
 
-def trades(df: DataFrame, *extra: str) -> DataFrame:
+def trades(df: DataFrame, *extra: str, hours: int = HOURS) -> DataFrame:
     """(sym, trade_id, t_in, t_out, n, pnl): runs of bars in a position; a trade open at the end is included."""
-    entered = ((F.col("pos") != 0) & (F.coalesce(F.lag("pos").over(series(*extra)), F.lit(0)) == 0)).cast("int")
-    numbered = df.withColumn("__in", entered).withColumn("trade_id", F.sum("__in").over(series(*extra).rowsBetween(Window.unboundedPreceding, 0)))
+    entered = ((F.col("pos") != 0) & (F.coalesce("__pos", F.lit(0)) == 0)).cast("int")
+    numbered = _running(_running(df, extra, hours, previous={"__pos": "pos"}), extra, hours, {"trade_id": Running("sum", entered)})
     return numbered.where("pos <> 0").groupBy("sym", *extra, "trade_id").agg(
         F.min("bar_ts").alias("t_in"), F.max("bar_ts").alias("t_out"), F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl")
     )
@@ -64,11 +77,14 @@ def log_growth() -> Column:
     return F.ln(F.greatest(1 + F.col("pnl"), F.lit(LEAST_LEFT)))
 
 
-def with_equity(df: DataFrame, *extra: str) -> DataFrame:
+def with_equity(df: DataFrame, *extra: str, hours: int = HOURS) -> DataFrame:
     """``df`` with ``log_equity``, ``equity`` and ``drawdown`` (share below the highest equity so far, which is 1 at least)."""
-    so_far = series(*extra).rowsBetween(Window.unboundedPreceding, 0)
-    made = df.withColumn("log_equity", F.sum(log_growth()).over(so_far)).withColumn("equity", F.exp("log_equity"))
-    return made.withColumn("drawdown", 1 - F.exp(F.col("log_equity") - F.greatest(F.lit(0.0), F.max("log_equity").over(so_far))))
+    if extra:
+        so_far = series(*extra).rowsBetween(Window.unboundedPreceding, 0)
+        made = df.withColumn("log_equity", F.sum(log_growth()).over(so_far)).withColumn("__top", F.max("log_equity").over(so_far))
+    else:
+        made = scanned(df, {"log_equity": Running("sum", log_growth()), "__top": Running("peak", log_growth())}, hours=hours)
+    return made.withColumns({"equity": F.exp("log_equity"), "drawdown": 1 - F.exp(F.col("log_equity") - F.greatest(F.lit(0.0), F.col("__top")))}).drop("__top")
 
 
 def metrics(df: DataFrame, *keys: str) -> DataFrame:
@@ -109,23 +125,73 @@ def bracket_exits(df: DataFrame, entry: Column, stop: float, target: float, long
 
     Levels are shares of the entry close. Within one bar the stop counts first, as the order of
     prices in it is unknown. After ``longest`` bars the close ends the trade (``time``); a trade
-    that the data ends before is ``open``, at the last close seen. The later bars are a frame of
-    ``longest`` rows, so nothing is joined.
+    that the data ends before is ``open``, at the last close seen. Up to ``FRAME`` bars on are looked at as a frame; what is
+    farther is found by going down a tree of extremes (``first_touch``), so work doesn't grow with ``longest``.
     """
-    later = F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(series().rowsBetween(1, longest))
-    seen = df.withColumn("__later", later).where(holds(entry))
     price, low, high = F.col("close"), F.col("close") * (1 - stop), F.col("close") * (1 + target)
-    touch = F.transform("__later", lambda bar: F.struct(
-        bar["bar_ts"].alias("t_out"), F.when(bar["low"] <= low, "stop").when(bar["high"] >= high, "target").alias("reason"),
-        F.when(bar["low"] <= low, low).when(bar["high"] >= high, high).otherwise(bar["close"]).alias("price_out"),
-    ))
-    marked = seen.withColumn("__touch", touch).withColumn("__first", F.filter("__touch", lambda x: x["reason"].isNotNull()))
-    ending = F.when(F.size("__first") > 0, F.col("__first")[0]).when(F.size("__touch") > 0, F.element_at("__touch", -1))
-    reason = F.coalesce(F.col("__end.reason"), F.when(F.size("__later") == longest, "time").otherwise("open"))
-    return marked.withColumn("__end", ending).select(
-        "sym", F.col("bar_ts").alias("t_in"), price.alias("price_in"), F.col("__end.t_out").alias("t_out"), reason.alias("reason"),
-        (ratio(F.coalesce(F.col("__end.price_out"), price), price) - 1).alias("ret"),
+    if longest <= FRAME:
+        later = F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(series().rowsBetween(1, longest))
+        seen = df.withColumn("__later", later).where(holds(entry))
+        first = F.filter("__later", lambda bar: (bar["low"] <= low) | (bar["high"] >= high))
+        found = seen.withColumn("__first", first)
+        ending = F.when(F.size("__first") > 0, F.col("__first")[0]).when(F.size("__later") > 0, F.element_at("__later", -1))
+        marked = found.select("*", ending.alias("__end"), (F.size("__first") > 0).alias("__touched"), (F.size("__later") == longest).alias("__whole"))
+    else:
+        marked = first_touch(df, entry, low, high, longest)
+    bar = F.col("__end")
+    reason = F.when(F.col("__touched"), F.when(bar["low"] <= low, "stop").otherwise("target")).when(F.col("__whole"), "time").otherwise("open")
+    out = F.when(F.col("__reason") == "stop", low).when(F.col("__reason") == "target", high).otherwise(F.coalesce(bar["close"], price))
+    return marked.withColumn("__reason", reason).select(
+        "sym", F.col("bar_ts").alias("t_in"), price.alias("price_in"), bar["bar_ts"].alias("t_out"), F.col("__reason").alias("reason"), (ratio(out, price) - 1).alias("ret")
+    )
+
+
+def first_touch(df: DataFrame, entry: Column, low: Column, high: Column, longest: int) -> DataFrame:
+    """The entry rows of ``df`` with ``__end``, the first of the next ``longest`` bars whose low is at most ``low`` or whose high is at least ``high``, else the last of them; ``__touched`` if one does, ``__whole`` if there are ``longest``.
+
+    Rows are numbered, and a tree over a symbol's numbers has the lowest low and highest high of each node. An entry's bars are a few
+    nodes a level; the first of these that touches is gone down a level at a time. So an entry meets some nodes for each level
+    of the tree, and bars never meet entries but the one they end at.
+    """
+    rows = checkpointed(numbered(df.withColumns({"__low": low, "__high": high, "__entry": holds(entry)}), name="__row"))
+    top = 0
+    while 1 << (TREE_BITS * (top + 1)) <= longest:
+        top += 1
+    nodes, extremes = [], rows.select("sym", F.col("__row").alias("__node"), F.col("low").alias("__least"), F.col("high").alias("__most"))
+    for level in range(top + 1):
+        nodes.append(extremes.withColumn("__level", F.lit(level)))
+        extremes = extremes.groupBy("sym", F.shiftright("__node", TREE_BITS).alias("__node")).agg(F.min("__least").alias("__least"), F.max("__most").alias("__most"))
+    tree = checkpointed(reduce(DataFrame.unionByName, nodes)).withColumnsRenamed({"sym": "__sym"})
+    last = rows.groupBy("sym").agg(F.max("__row").alias("__last")).withColumnsRenamed({"sym": "__sym"})
+    asked = rows.where("__entry").select("sym", "__row", "__low", "__high").join(broadcast_up_to(checkpointed(last), BROADCAST_SYMBOLS), F.col("sym").eqNullSafe(F.col("__sym"))).drop("__sym")
+    until = F.least(F.col("__row") + longest, F.col("__last"))
+    asked = checkpointed(asked.withColumn("__until", until))
+    piece = lambda level: F.transform(
+        cells_of_range(F.col("__row") + 1, F.col("__until") + 1, level, top, TREE_BITS), lambda at: F.struct(F.lit(level).alias("__level"), at.alias("__node"))
+    )
+    begun = asked.withColumn("__piece", F.explode(F.concat(*[piece(level) for level in range(top + 1)]))).select("sym", "__row", "__low", "__high", "__piece.*")
+    touches = (F.col("__least") <= F.col("__low")) | (F.col("__most") >= F.col("__high"))
+
+    def touching(open_nodes: DataFrame) -> DataFrame:
+        """Of each entry the first of its nodes that touches."""
+        met_nodes = open_nodes.join(tree.withColumnsRenamed({"__level": "__l", "__node": "__n"}), F.col("sym").eqNullSafe(F.col("__sym")) & (F.col("__level") == F.col("__l")) & (F.col("__node") == F.col("__n")))
+        start = F.expr(f"shiftleft(__node, {TREE_BITS} * __level)")
+        return met_nodes.where(touches).groupBy("sym", "__row").agg(F.min_by(F.struct("__low", "__high", "__level", "__node"), start).alias("x")).select("sym", "__row", "x.*")
+
+    found = checkpointed(touching(begun))
+    for level in range(top, 0, -1):  # those that have come to this level go on to the next finer one
+        children = F.explode(F.sequence(F.shiftleft("__node", TREE_BITS), F.shiftleft(F.col("__node") + 1, TREE_BITS) - 1))
+        here = found.where(F.col("__level") == level).select("sym", "__row", "__low", "__high", F.lit(level - 1).alias("__level"), children.alias("__node"))
+        found = checkpointed(found.where(F.col("__level") < level).unionByName(touching(here)))
+    ends = asked.join(found.select(F.col("sym").alias("__sym"), F.col("__row").alias("__of"), F.col("__node").alias("__hit")), F.col("sym").eqNullSafe(F.col("__sym")) & (F.col("__row") == F.col("__of")), "left")
+    ends = ends.select(
+        F.col("sym").alias("__sym"), F.col("__row").alias("__of"), F.coalesce("__hit", "__until").alias("__at"), F.col("__hit").isNotNull().alias("__touched"),
+        (F.col("__until") == F.col("__row") + longest).alias("__whole"),
     )
+    bars = rows.select(F.col("sym").alias("__s"), F.col("__row").alias("__r"), F.struct("bar_ts", "high", "low", "close").alias("__end"))
+    ended = ends.join(bars, F.col("__sym").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__r"))).withColumn("__end", F.when(F.col("__at") > F.col("__of"), F.col("__end")))
+    made = rows.where("__entry").join(ended, F.col("sym").eqNullSafe(F.col("__sym")) & (F.col("__row") == F.col("__of")))
+    return made.select(*df.columns, "__end", "__touched", "__whole")
 
 
 def trailing_exits(df: DataFrame, stop: float, by: Column) -> DataFrame:
@@ -149,8 +215,11 @@ def trailing_exits(df: DataFrame, stop: float, by: Column) -> DataFrame:
 
 
 def with_folds(df: DataFrame, folds: int, *extra: str) -> DataFrame:
-    """``df`` with ``fold``: each series in time order, cut into equal parts from 1."""
-    return df.withColumn("fold", F.ntile(folds).over(series(*extra)))
+    """``df`` with ``fold``: each series in time order, cut into equal parts from 1.
+
+    A grid takes its folds from the bars that it is made of: that numbers them once.
+    """
+    return with_tiles(df, folds, "fold", ("sym", *extra))
 
 
 def walk_forward(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,7 +235,7 @@ def walk_forward(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def mined(df: DataFrame, fast: Sequence[int], slow: Sequence[int], folds: int, best: int, bps: float = 0.0) -> DataFrame:
     """Walk-forward mining: before each fold the best pairs by what they earned so far, with what they earned in it, and how many were tried."""
-    tested = walk_forward(with_folds(crossover_backtest(df, fast, slow, bps), folds, "fast", "slow"), ["sym", "fast", "slow"])
+    tested = walk_forward(crossover_backtest(with_folds(df, folds), fast, slow, bps), ["sym", "fast", "slow"])
     order = Window.partitionBy("sym", "test_fold").orderBy(F.desc_nulls_last("train_mean"), "fast", "slow")
     tried = F.count(F.lit(1)).over(Window.partitionBy("sym", "test_fold"))
     return tested.withColumns({"rank": F.row_number().over(order), "tried": tried}).where(F.col("rank") <= best)
@@ -177,7 +246,7 @@ def portfolio(df: DataFrame) -> DataFrame:
     return df.groupBy("bar_ts").agg(F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("pnl"))
 
 
-def excess(df: DataFrame) -> DataFrame:
+def excess(df: DataFrame, hours: int = HOURS) -> DataFrame:
     """``df`` with ``hold`` (the bar's return, held all the time) and ``excess`` over it."""
-    hold = F.coalesce(ratio("close", F.lag("close").over(series())) - 1, F.lit(0.0))
-    return df.withColumn("hold", hold).withColumn("excess", F.col("pnl") - F.col("hold"))
+    hold = F.coalesce(ratio("close", "__close") - 1, F.lit(0.0))
+    return scanned(df, previous={"__close": "close"}, hours=hours).withColumn("hold", hold).withColumn("excess", F.col("pnl") - F.col("hold")).drop("__close")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.functions.columns import series
 from barloom.operators import indicators as ind
 from barloom.operators.numbering import in_parts
+from barloom.operators.ranks import ranked, with_first_values, with_tiles
 from barloom.plans.bars import hours
 from barloom.plans.registry import HOURS, ORACLES, SERIES, query, rounded, rows, shown, when_full
 
@@ -111,7 +110,7 @@ def ind_obv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{HOURS}, z AS (SELECT *, {when_full("avg(close)", 20)} AS m, {when_full("stddev_samp(close)", 20)} AS d FROM b)
 SELECT sym, bar_ts, {shown(zscore="(close - m) / nullif(d, 0)", pct_rank="percent_rank() OVER (PARTITION BY sym ORDER BY close)")} FROM z""")
 def ind_zscore_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return only(hours(spark, sf_dir).withColumns({"zscore": ind.zscore(20), "pct_rank": ind.percentile_rank()}), "zscore", "pct_rank")
+    return only(ind.with_percentile_rank(hours(spark, sf_dir).withColumn("zscore", ind.zscore(20))), "zscore", "pct_rank")
 
 
 RANGE = "OVER (PARTITION BY sym ORDER BY bar_ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"
@@ -126,9 +125,8 @@ def ind_last_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{HOURS} SELECT sym, bar_ts, rank() OVER v AS rnk, dense_rank() OVER v AS dense, ntile(4) OVER w AS quarter, {shown(share="cume_dist() OVER v")},
 first_value(close) OVER w AS first_close, nth_value(close, 2) OVER w AS second_close FROM b WINDOW v AS (PARTITION BY sym ORDER BY volume), w AS ({SERIES})""")
 def ind_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_volume = Window.partitionBy("sym").orderBy("volume")
-    return rounded(hours(spark, sf_dir).select(
-        "sym", "bar_ts", F.rank().over(by_volume).cast("long").alias("rnk"), F.dense_rank().over(by_volume).cast("long").alias("dense"),
-        F.ntile(4).over(series()).cast("long").alias("quarter"), F.cume_dist().over(by_volume).alias("share"),
-        F.first("close").over(series()).alias("first_close"), F.nth_value("close", 2).over(series()).alias("second_close"),
-    ), "share")
+    """No window holds a whole series: values are ranked in ranges, and rows numbered in buckets of time."""
+    by_volume = ranked(hours(spark, sf_dir), "volume", {"rnk": "rank", "dense": "dense_rank", "share": "cume_dist"})
+    made = with_first_values(with_tiles(by_volume, 4, "quarter"), "close", {"first_close": 1, "second_close": 2})
+    whole = [F.col(name).cast("long").alias(name) for name in ("rnk", "dense", "quarter")]
+    return rounded(made.select("sym", "bar_ts", *whole, "share", "first_close", "second_close"), "share")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import full, last_rows
 from barloom.operators import conditions as cond
 from barloom.operators import indicators as ind
-from barloom.operators import rules, strategies
+from barloom.operators import rule_strategies, rules, strategies
 from barloom.plans.bars import hours
 from barloom.plans.registry import HOURS, SERIES, query, rounded, rows, shown, when_full
 
@@ -139,7 +139,11 @@ def rule_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.false_discovery(scored, 0.3), "z", "p")
 
 
-@query(f"""{HOURS}, {CONDITIONS}, h AS (SELECT *, ntile(2) OVER ({SERIES}) AS fold FROM c), l AS (SELECT sym, bar_ts, fwd, fold, unnest({HELD}) AS cond FROM h WHERE fwd IS NOT NULL),
+# Halves of each series; a bar counts where its return is known and ends in its own half.
+HALVES = f"n2 AS (SELECT *, ntile(2) OVER ({SERIES}) AS fold FROM c), h AS (SELECT *, fwd IS NOT NULL AND coalesce(lead(fold) OVER ({SERIES}) = fold, false) AS counted FROM n2)"
+
+
+@query(f"""{HOURS}, {CONDITIONS}, {HALVES}, l AS (SELECT sym, bar_ts, fwd, fold, unnest({HELD}) AS cond FROM h WHERE counted),
 i1 AS (SELECT sym, bar_ts, fwd, fold, [cond] AS items FROM l),
 i2 AS (SELECT i.sym, i.bar_ts, i.fwd, i.fold, list_append(items, cond) AS items FROM i1 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
 i3 AS (SELECT i.sym, i.bar_ts, i.fwd, i.fold, list_append(items, cond) AS items FROM i2 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
@@ -221,7 +225,7 @@ FROM pa a JOIN pa b ON a.sym = b.sym AND a.fast = b.fast AND a.slow = b.slow AND
 
 @query(f"{HOURS}, {GRID}, {WALK} SELECT test_fold, sym, fast, slow, train_n, {shown('train_mean')}, test_n, {shown('test_mean')} FROM wf")
 def strat_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tested = strategies.with_folds(strategies.crossover_backtest(hours(spark, sf_dir), FAST, SLOW, 5.0), FOLDS, "fast", "slow")
+    tested = strategies.crossover_backtest(strategies.with_folds(hours(spark, sf_dir), FOLDS), FAST, SLOW, 5.0)
     made = strategies.walk_forward(tested, ["sym", "fast", "slow"])
     return rounded(made.withColumn("test_fold", F.col("test_fold").cast("long")))
 
@@ -260,3 +264,49 @@ SELECT o.sym, part, t_in, t_out, stopped, {shown(ret='b2.close / nullif(b1.close
 def strat_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's first bar is bought and sold when its close lies 30 % below the day's highest so far."""
     return rounded(strategies.trailing_exits(hours(spark, sf_dir), 0.3, F.to_date("bar_ts")), "ret")
+
+
+PART = "PARTITION BY sym, entry, leave"
+FOLDED = ", ".join(
+    f"max({expression}) FILTER (fold = {number}) AS {part}_{name}" for number, part in ((1, "train"), (2, "test"))
+    for name, expression in {"bars": "bars", "entries": "entries", "total": "total", "mean": "total / bars", "sharpe": "total / bars / nullif(dev, 0)", "exposure": "inside / bars", "hit_rate": "wins / nullif(inside, 0)", "drawdown": "drawdown"}.items()
+)
+FIGURED = ("total", "mean", "sharpe", "exposure", "hit_rate", "drawdown")
+
+
+@query(f"""{HOURS}, {CONDITIONS}, {HALVES}, l AS (SELECT sym, bar_ts, unnest({HELD}) AS cond FROM h WHERE counted AND fold = 1),
+i1 AS (SELECT sym, bar_ts, [cond] AS items FROM l), i2 AS (SELECT i.sym, i.bar_ts, list_append(items, cond) AS items FROM i1 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
+f AS (SELECT items FROM (FROM i1 UNION ALL FROM i2) GROUP BY items HAVING count(*) >= {LEAST}), pr AS (SELECT a.items AS entry, b.items AS leave FROM f a, f b WHERE NOT list_has_all(a.items, b.items)),
+g AS (SELECT sym, bar_ts, fold, counted, fwd, entry, leave, CASE WHEN list_has_all({HELD}, leave) THEN 0 WHEN list_has_all({HELD}, entry) THEN 1 END AS sig FROM h, pr),
+w AS (SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER ({PART} ORDER BY bar_ts), 0) AS wanted FROM g), v AS (SELECT *, coalesce(lag(wanted) OVER ({PART} ORDER BY bar_ts), 0) AS before FROM w),
+e AS (SELECT *, wanted * fwd - abs(wanted - before) * 0.0005 AS pnl FROM v WHERE counted), q AS (SELECT *, sum(ln(greatest(1 + pnl, 1e-9))) OVER ({PART}, fold ORDER BY bar_ts) AS path FROM e),
+d AS (SELECT *, 1 - exp(path - greatest(0, max(path) OVER ({PART}, fold ORDER BY bar_ts))) AS drawdown FROM q),
+s AS (SELECT entry, leave, fold, count(*) AS bars, count(*) FILTER (wanted = 1 AND before = 0) AS entries, sum(pnl) AS total, stddev_samp(pnl) AS dev, sum(wanted) AS inside, count(*) FILTER (pnl > 0) AS wins, max(drawdown) AS drawdown FROM d GROUP BY ALL),
+r AS (SELECT array_to_string(entry, '+') AS entry, array_to_string(leave, '+') AS exit, {FOLDED} FROM s GROUP BY ALL)
+SELECT entry, exit, train_bars, test_bars, train_entries, test_entries, {shown(*(f"{part}_{name}" for part in ("train", "test") for name in FIGURED))},
+row_number() OVER (ORDER BY round(train_mean, 9) DESC, entry, exit) AS rank, count(*) OVER () AS tried FROM r""")
+def strat_mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of frequent sets of conditions as entry and exit, ranked by the earlier half and scored on the later."""
+    return rounded(rule_strategies.mined(strategies.with_folds(conditioned(spark, sf_dir), 2), NAMES, 2, LEAST, 5.0))
+
+
+@query(f"""{HOURS}, {CONDITIONS}, o AS (SELECT *, row_number() OVER ({SERIES}) AS rn FROM c), l AS (SELECT sym, rn, fwd, unnest({HELD}) AS cond FROM o),
+s1 AS (SELECT sym, rn, fwd, [cond] AS items FROM l), f1 AS (SELECT items, {OUTCOME} FROM s1 GROUP BY items HAVING count(*) >= 100),
+s2 AS (SELECT DISTINCT b.sym, b.rn, b.fwd, list_append(a.items, b.cond) AS items FROM s1 a JOIN f1 USING (items) JOIN l b ON b.sym = a.sym AND b.rn BETWEEN a.rn + 1 AND a.rn + 3), f2 AS (SELECT items, {OUTCOME} FROM s2 GROUP BY items HAVING count(*) >= 100),
+s3 AS (SELECT DISTINCT b.sym, b.rn, b.fwd, list_append(a.items, b.cond) AS items FROM s2 a JOIN f2 USING (items) JOIN l b ON b.sym = a.sym AND b.rn BETWEEN a.rn + 1 AND a.rn + 3), f3 AS (SELECT items, {OUTCOME} FROM s3 GROUP BY items HAVING count(*) >= 100)
+SELECT array_to_string(items, '>') AS items, n, wins, mean_fwd FROM (FROM f1 UNION ALL FROM f2 UNION ALL FROM f3)""")
+def rule_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three conditions one after another, one to three bars apart."""
+    made = rules.sequences(conditioned(spark, sf_dir), NAMES, 3, 3, 100)
+    return rounded(made.withColumn("items", F.array_join("items", ">")))
+
+
+@query(f"""{LONG}, i1 AS (SELECT sym, bar_ts, fwd, [cond] AS items FROM l WHERE fwd IS NOT NULL), i2 AS (SELECT i.sym, i.bar_ts, i.fwd, list_append(items, cond) AS items FROM i1 i JOIN l ON i.sym = l.sym AND i.bar_ts = l.bar_ts AND cond > items[-1]),
+d AS (SELECT items, bar_ts::DATE::VARCHAR AS day, sum(fwd) AS total, count(*) AS n FROM (FROM i1 UNION ALL FROM i2) GROUP BY ALL), f AS (SELECT items FROM d GROUP BY items HAVING sum(n) >= {LEAST}), e AS (FROM d SEMI JOIN f USING (items)),
+k AS (SELECT range AS k FROM range(-1, 99)), g AS (SELECT DISTINCT day, k, CASE WHEN k >= 0 AND substr(md5('1:' || k || ':' || day), 1, 1) < '8' THEN -1.0 ELSE 1.0 END AS sign FROM e, k),
+s AS (SELECT items, k, sum(n)::BIGINT AS n, sum(total * sign) / nullif(sqrt(sum(total * total)), 0) AS score FROM e JOIN g USING (day) GROUP BY ALL), m AS (SELECT k, max(score) AS high FROM s WHERE k >= 0 GROUP BY k)
+SELECT array_to_string(items, '+') AS items, n, {shown('score')}, ((SELECT count(*) FROM m WHERE round(high, 9) >= round(s.score, 9)) + 1) / 100 AS p FROM s WHERE k = -1""")
+def rule_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of conditions with p-values out of 99 turns of the signs of whole days."""
+    made = rules.permuted(conditioned(spark, sf_dir), NAMES, 2, LEAST)
+    return rounded(made.withColumn("items", F.array_join("items", "+")), "score")

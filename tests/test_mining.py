@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import upper_tail
 from barloom.operators import conditions as cond
 from barloom.operators import indicators as ind
-from barloom.operators import rules, strategies
+from barloom.operators import rule_strategies, rules, strategies
 from barloom.operators.numbering import in_parts
 from barloom.plans.mining import NAMES, conditioned, strategy
 
@@ -267,3 +267,100 @@ def test_portfolio_and_excess(spark, sf_dir):
     total = placed.agg(F.sum("pnl")).first()[0]
     assert strategies.portfolio(placed).agg(F.sum(F.col("pnl") * F.col("n"))).first()[0] == pytest.approx(total)
     assert strategies.excess(placed).agg(F.sum(F.col("excess") + F.col("hold"))).first()[0] == pytest.approx(total)
+
+
+def test_training_does_not_look_into_the_later_half(spark, sf_dir):
+    """A bar whose return ends in the other half counts in neither, for any length of the return."""
+    halves = strategies.with_folds(conditioned(spark, sf_dir).withColumn("fwd", rules.forward_return(3)), 2)
+    known = halves.where("fwd is not null").groupBy("sym").agg(F.count_if(F.col("fold") == 1).alias("n")).collect()
+    left = {r["sym"]: r["n"] for r in rules.purged(halves, 3).where("fwd is not null and fold = 1").groupBy("sym").agg(F.count("*").alias("n")).collect()}
+    assert known and all(left[r["sym"]] == r["n"] - 3 for r in known)
+    first = rules.mined(halves, NAMES, 1, 1, 0.3, h=3).where(F.col("items") == F.array(F.lit("up"))).first()
+    assert first["train_n"] == rules.purged(halves, 3).where("fwd is not null and fold = 1 and up").count()
+
+
+def test_pruning_with_a_common_condition(spark):
+    """Thousands of rules that share a condition meet only the sets below them; sets that are no rules lie between."""
+    rows = [(["hot"], "z", 0.5)] + [(["hot", f"c{k}"], "z", 0.4 if k % 2 else 0.6) for k in range(1500)] + [(["hot", f"c{k}", f"d{k}"], "z", 0.55) for k in range(0, 1500, 3)]
+    df = spark.createDataFrame(rows, "antecedent array<string>, consequent string, confidence double")
+    kept = {tuple(r["antecedent"]) for r in rules.pruned(df).collect()}
+    want = {tuple(a) for a, _, own in rows if all(own > other for b, _, other in rows[:1] + [r for r in rows[1:1501] if r[0][1] in a] if set(b) < set(a))}
+    assert kept == want
+    deep = spark.createDataFrame([(["a"], "z", 0.9), (["a", "b", "c", "d"], "z", 0.5), (["e", "b", "c"], "z", 0.5)], df.schema)
+    assert sorted(tuple(r["antecedent"]) for r in rules.pruned(deep).collect()) == [("a",), ("e", "b", "c")]
+
+
+def test_sequences_by_hand(spark):
+    held_on = {0: "a", 2: "b", 3: "b", 5: "a", 6: "c", 9: "b"}
+    df = bars_of(spark, range(1, 12)).withColumns({c: F.hour("bar_ts").isin(*[k for k, v in held_on.items() if v == c]) for c in "abc"}).withColumn("fwd", rules.forward_return())
+    found = {tuple(r["items"]): r["n"] for r in rules.sequences(df, ["a", "b", "c"], 3, 3, 1).collect()}
+    assert found == {
+        ("a",): 2, ("b",): 3, ("c",): 1, ("a", "b"): 2, ("b", "b"): 1, ("b", "a"): 1, ("a", "c"): 1, ("b", "c"): 1, ("c", "b"): 1,
+        ("a", "b", "b"): 1, ("a", "b", "a"): 1, ("a", "b", "c"): 1, ("b", "b", "a"): 1, ("b", "b", "c"): 1, ("b", "a", "c"): 1, ("a", "c", "b"): 1, ("b", "c", "b"): 1,
+    }
+
+
+def test_permuted_scores_see_through_dependent_bars(spark):
+    """A condition that paid on one lucky day has a high z and no significance by days; one that pays each day keeps it."""
+    rows = []
+    for k in range(24 * 40):
+        day, lucky, steady = k // 24, k // 24 == 7, k % 6 == 0
+        rows.append(("a", START + dt.timedelta(hours=k), lucky, steady, (0.5 if lucky else 0.0) + (0.3 if steady else 0.0) + 0.01 * math.sin(k * k) + 0.001 * (day % 2)))
+    df = spark.createDataFrame(rows, "sym string, bar_ts timestamp_ntz, lucky boolean, steady boolean, fwd double")
+    found = {tuple(r["items"]): r["p"] for r in rules.permuted(df, ["lucky", "steady"], 1, 5).collect()}
+    assert found["steady",] == 0.01 and found["lucky",] > 0.3
+
+
+def loop_of_strategy(df, entry, leave, fold, fee):
+    """(entries, total, exposure, hits, drawdown) of one strategy bar by bar in plain Python."""
+    entries, total, inside, hits, worst = 0, 0.0, 0, 0, 0.0
+    for rows in df.values():
+        wanted, path, top = 0, 0.0, 0.0
+        for k, row in enumerate(rows):
+            before, counted = wanted, k + 1 < len(rows) and rows[k + 1]["fold"] == row["fold"] and row["fwd"] is not None
+            wanted = 0 if all(row[c] for c in leave) else 1 if all(row[c] for c in entry) else wanted
+            if counted and row["fold"] == fold:
+                pnl = wanted * row["fwd"] - abs(wanted - before) * fee
+                entries, total, inside, hits = entries + (wanted > before), total + pnl, inside + wanted, hits + (pnl > 0)
+                path += math.log(max(1 + pnl, 1e-9))
+                top = max(top, path)
+                worst = max(worst, 1 - math.exp(path - top))
+    return entries, total, inside, hits, worst
+
+
+@pytest.mark.parametrize(("block", "at_once", "hours"), [(512, 1024, 720), (3, 4, 5), (1, 1, 1), (50, 7, 100)])
+def test_strategies_of_sets_against_a_loop(spark, sf_dir, monkeypatch, block, at_once, hours):
+    """Blocks, buckets and groups of strategies of any size compose to the same figures."""
+    monkeypatch.setattr(rule_strategies, "BLOCK", block)
+    monkeypatch.setattr(rule_strategies, "AT_ONCE", at_once)
+    halves = strategies.with_folds(conditioned(spark, sf_dir), 2).select("sym", "bar_ts", "fold", "fwd", *NAMES).cache()
+    found = {(r["entry"], r["exit"]): r for r in rule_strategies.mined(halves, NAMES, 2, 8, 5.0, hours=hours).collect()}
+    series = {}
+    for row in halves.orderBy("bar_ts").collect():
+        series.setdefault(row["sym"], []).append(row)
+    assert len(found) > 20 and all(r["tried"] == len(found) for r in found.values()) and sorted(r["rank"] for r in found.values()) == [*range(1, len(found) + 1)]
+    for entry, leave in sorted(found)[::7]:
+        row = found[entry, leave]
+        for fold, part in ((1, "train"), (2, "test")):
+            entries, total, inside, hits, worst = loop_of_strategy(series, entry.split("+"), leave.split("+"), fold, 0.0005)
+            assert (row[f"{part}_entries"], row[f"{part}_total"], row[f"{part}_drawdown"]) == (entries, pytest.approx(total), pytest.approx(worst))
+            assert row[f"{part}_exposure"] == pytest.approx(inside / row[f"{part}_bars"]) and row[f"{part}_hit_rate"] == pytest.approx(hits / inside if inside else None)
+
+
+def test_too_many_strategies_are_refused():
+    with pytest.raises(ValueError, match="raise the least"):
+        rule_strategies.strategies_of([f"c{k}" for k in range(200)], [(f"c{k}",) for k in range(200)])
+    assert rule_strategies.strategies_of(["a", "b"], [("a",), ("a", "b")]).pairs == ((0, 1),)
+
+
+def test_no_sets_give_no_strategies(spark, sf_dir):
+    halves = strategies.with_folds(conditioned(spark, sf_dir), 2)
+    assert rule_strategies.mined(halves, NAMES, 2, 10**6).collect() == []
+
+
+def test_thousands_of_strategies_do_not_multiply_the_bars(spark, sf_dir):
+    """What is shuffled by the job are bars and a row for each bucket, whatever is tried."""
+    halves = strategies.with_folds(conditioned(spark, sf_dir), 2)
+    sets = [(a,) for a in NAMES] + list(itertools.combinations(sorted(NAMES), 2)) + list(itertools.combinations(sorted(NAMES), 3))
+    plan = rule_strategies.scored(halves, rule_strategies.strategies_of(NAMES, sets), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
