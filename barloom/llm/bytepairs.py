@@ -219,7 +219,7 @@ class BytePairs:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of whole texts."""
         cuts = [self.cut(text) for text in texts]
-        missing, known, out = set().union(*cuts) - self.remembered.keys(), self.remembered, []
+        missing, known, out = set().union(*cuts).difference(self.remembered), self.remembered, []
         if missing:
             known |= self.learned(missing)
         for some in cuts:

@@ -169,46 +169,57 @@ def _unpacked(centroids: np.ndarray, inertia: list[int]) -> Callable[[Batches],
     return unpack
 
 
-def sort_means(
+def means(
     vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, components: int = COMPONENTS, scale: int = SCALE, seed: str = SEED, vec_id: str = "vec_id", embedding: str = "embedding"
-) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of each vector that takes part, and the final centroids.
-
-    ``rounds`` times all vectors are assigned and each non-empty centroid is replaced by the floor of its vectors' mean; then they are assigned once more.
-    """
+) -> tuple[np.ndarray, DataFrame, str]:
+    """The centroids after ``rounds``, the blocks as they were last assigned, and the folder that these lie in, which the caller deletes."""
     spark = vectors.sparkSession
     rows = usable(vectors, components, vec_id, embedding)
-    centroids = first_centroids(rows, k, scale, seed)
-    if not len(centroids):
-        return spark.createDataFrame([], ASSIGNED), centroids
+    centroids = first_centroids(rows, k, scale, seed).reshape(-1, components)
     n, width = centroids.shape
     folder = f"{shared_dir(spark)}/means-{uuid.uuid4().hex}"
     blocks = rows.mapInArrow(_packed(scale, components), BLOCKS)
-    for number in range(rounds):
+    for number in range(rounds if n else 0):
         blocks.mapInArrow(_round(centroids), BLOCKS).write.parquet(f"{folder}/{number}")
         blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/{number}")
         if number:
             removed(spark, f"{folder}/{number - 1}")
         counts, sums = _added(blocks, "counts", n), _added(blocks, "sums", n * width)
         centroids = np.array([[sums[c * width + at] // counts[c] for at in range(width)] if counts[c] else centroids[c] for c in range(n)], np.int64)
+    return centroids, blocks, folder
+
+
+def sort_means(vectors: DataFrame, *args: int | str, **kwargs: int | str) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of each vector that takes part, and the final centroids; arguments as of ``means``.
+
+    ``rounds`` times all vectors are assigned and each non-empty centroid is replaced by the floor of its vectors' mean; then they are assigned once more.
+    """
+    spark = vectors.sparkSession
+    centroids, blocks, folder = means(vectors, *args, **kwargs)
+    if not len(centroids):
+        return spark.createDataFrame([], ASSIGNED), np.empty((0, 0), np.int64)
     last = checkpointed(blocks.mapInArrow(_round(centroids), BLOCKS).select("ids", "clusters", "distances", "inertia"))
     removed(spark, folder)
-    return last.mapInArrow(_unpacked(centroids, _added(last, "inertia", n)), ASSIGNED), centroids
+    return last.mapInArrow(_unpacked(centroids, _added(last, "inertia", len(centroids))), ASSIGNED), centroids
 
 
-def oracle() -> str:
-    """DuckDB SQL of the registered clustering over embeddings; doubles hold its integers exactly."""
+def oracle_rounds(k: int, rounds: int) -> str:
+    """SQL of the steps over a table ``k`` (row, vec_id, v): ``a<rounds>`` (row, vec_id, v, cluster, distance) and the centroids ``c<rounds>`` (cluster, m)."""
     away = "list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m)"
-    steps = ""
-    for number in range(ROUNDS + 1):
+    steps = f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS cluster, v AS m FROM k QUALIFY cluster < {k})"
+    for number in range(rounds + 1):
         steps += f""", a{number} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(cluster, row({away}, cluster)) AS cluster, min({away})::BIGINT AS distance FROM k, c{number} GROUP BY row)"""
-        if number < ROUNDS:
+        if number < rounds:
             steps += f""", u{number} AS (SELECT cluster, pos, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS pos FROM a{number}) GROUP BY ALL)
      , c{number + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.m, c.m) AS m FROM c{number} c LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS m FROM u{number} GROUP BY 1) n USING (cluster))"""
+    return steps
+
+
+def oracle() -> str:
+    """DuckDB SQL of the registered clustering over embeddings; doubles hold its integers exactly."""
     return f"""
 WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
            WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS cluster, v AS m FROM k QUALIFY cluster < {CENTROIDS})
-{steps}
+     {oracle_rounds(CENTROIDS, ROUNDS)}
 SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
        sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} USING (cluster)"""

@@ -12,33 +12,39 @@ the others of its kind share the rest. Targets that aren't met are logged (``mis
 
 Targets come as DataFrames (category, share), or as a power to which observed shares are
 raised and renormalised (below 1: large categories are damped). A document's topic is the caller's
-column or else learned: topic words are the most frequent among those words (of ``LETTERS`` characters or
-more) that at most one in ``RARE`` documents holds, and a document's topic is the one that it holds most often.
+column or else learned from all documents: the shares of a text's words that hash into each of ``BUCKETS`` make a vector; what its
+language has on average is taken off, so that topics aren't languages, and the rest is brought to one length, so that short and long texts
+weigh alike; ``TOPICS`` centroids of these vectors, found by sort-means in integers, are the topics. Texts are
+cut into words once to learn, into narrow rows that are kept meanwhile, and once to draw.
 
 Cells are few (sources x languages x topics): up to ``GATHERED`` are raked in one task, as arrays.
 Beyond that the same steps are windows over the distributed table of cells.
 
-Defined cases: null source, language or topic is the category ''; a document without a topic word is of
-topic 'other'; categories without a target keep their own share; a null or empty text has no tokens, and
-a cell without tokens is kept whole; repeated rows have the same fate, and on equal counts the smaller
-topic word is taken; an empty table gives an empty result; other columns are carried by ``sample``, and
+Defined cases: null source, language or topic is the category ''; a document without words is of
+topic 'other', and one that differs in nothing from its language's average of that whose centroid is shortest; categories without a target keep their own share; a null or empty text has no tokens, and
+a cell without tokens is kept whole; repeated rows have the same fate, and of centroids equally near the
+first is taken; an empty table gives an empty result; other columns are carried by ``sample``, and
 those named like its results (a prefix, a parameter) are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from barloom.llm import centroids
 from barloom.llm.util import broadcast_up_to, fields, hash_number
-from barloom.sources.shared import checkpointed
+from barloom.sources.shared import checkpointed, removed
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
@@ -53,9 +59,11 @@ MISSED = 1e-3
 SEED = "mix-1"
 #: Tables of so many cells are raked in one task, and broadcast, at most.
 GATHERED, BROADCAST_CELLS = 200_000, 20_000
-#: Topic words, the least characters of one, and the documents of which one may hold it.
-TOPICS, LETTERS, RARE = 12, 4, 20
+#: Topics, buckets of words, what all of a text's shares come to, the length of a vector, and rounds of learning.
+TOPICS, BUCKETS, WHOLE_SHARE, LENGTH, ROUNDS = 12, 64, 4096, 1024, 3
 OTHER_TOPIC = "other"
+#: Words whose bucket a worker remembers, and languages whose averages are broadcast at most.
+REMEMBERED, BROADCAST_LANGUAGES = 500_000, 10_000
 
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -73,25 +81,103 @@ def token_count(text: str = "text") -> Column:
     return F.coalesce(F.size(_words(text)), F.lit(0)).cast("long")
 
 
-def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
-    """The words that topics are named by, learned from all documents."""
-    words = docs.select(F.explode(F.array_distinct(_words(text))).alias("word")).where(F.length("word") >= LETTERS)
-    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * F.lit(RARE) <= F.lit(docs.count()))
-    return [row["word"] for row in rare.orderBy(F.desc("n"), "word").limit(topics).collect()]
+FEATURES = fields(tokens="long", shares=T.ArrayType(T.IntegerType()))
 
 
-def described(docs: DataFrame, text: str = "text", named: Column | None = None, prefix: str = "mix_") -> DataFrame:
-    """``docs`` with their source, lang, topic and tokens behind the prefix; ``named`` is the caller's topic, else a document's is the topic word that it holds most often."""
-    blank, words, found = F.lit(""), f"{prefix}words", f"{prefix}found"
-    topics = topic_words(docs, text) if named is None else []
-    # each step is a column of its own: inside a function of array elements it would be worked out for every element
-    marked = docs.withColumn(words, _words(text)).withColumns({f"{prefix}tokens": F.coalesce(F.size(words), F.lit(0)).cast("long"), found: F.filter(words, lambda word: word.isin(topics))})
-    if named is None:
-        times = lambda word: F.size(F.col(found)) - F.size(F.array_remove(F.col(found), word))
-        most = F.array_min(F.transform(F.array_distinct(found), lambda word: F.struct((-times(word)).alias("n"), word.alias("word"))))
-        named = F.coalesce(most["word"], F.lit(OTHER_TOPIC))
-    made = {"source": F.coalesce("source", blank), "lang": F.coalesce("lang", blank), "topic": F.coalesce(named, blank)}
-    return marked.withColumns({prefix + name: column for name, column in made.items()}).drop(words, found)
+@F.pandas_udf(FEATURES)
+def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The number of a text's words, and the share of each bucket in them."""
+    known: dict[bytes, int] = {}
+    for batch in texts:
+        made = []
+        for text in batch:
+            words = (text or "").encode().split()  # of bytes, which splits at ASCII's blanks alone
+            for word in {*words}.difference(known):
+                known[word] = hashlib.md5(word).digest()[0] % BUCKETS
+            counts = np.bincount([known[word] for word in words], minlength=BUCKETS) if words else np.zeros(BUCKETS, np.int64)
+            made.append((len(words), (counts * WHOLE_SHARE // max(1, len(words))).astype(np.int32)))
+            if len(known) > REMEMBERED:
+                known.clear()
+        yield pd.DataFrame(made, columns=FEATURES.names)
+
+
+class Topics(NamedTuple):
+    """What was learned: each language's average shares (of_lang, average), and the centroids."""
+
+    averages: DataFrame
+    centroids: np.ndarray
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def direction(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How shares differ from an average, as integers of about one length; null without words."""
+    for tokens, shares, averages in rows:
+        said, out = tokens.to_numpy() > 0, [None] * len(tokens)
+        if said.any():
+            off = (np.stack(shares[said].to_list()).astype(np.int64) - np.stack(averages[said].to_list())).astype(np.float64)
+            length = np.sqrt((off * off).sum(axis=1, keepdims=True))
+            made = np.floor(np.divide(LENGTH * off, length, out=np.zeros_like(off), where=length > 0)).astype(np.int64)
+            for place, row in zip(np.flatnonzero(said), made, strict=True):
+                out[place] = row
+        yield pd.Series(out, dtype=object)
+
+
+def _directions(rows: DataFrame, averages: DataFrame, lang: Column, own: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, their ``direction`` from their language's average."""
+    met = rows.withColumn("__lang", lang).join(broadcast_up_to(averages, BROADCAST_LANGUAGES), F.col("__lang") == F.col("of_lang"), "left")
+    return met.withColumn(name, direction(F.col(own)["tokens"], F.col(own)["shares"], F.col("average"))).drop("__lang", "of_lang", "average")
+
+
+def learned(rows: DataFrame, lang: Column, own: str, doc_id: str, topics: int = TOPICS) -> Topics:
+    """The topics of ``rows``, which have ``features`` as the column ``own``."""
+    said = rows.where(F.col(own)["tokens"] > 0).withColumn("__of", lang).withColumn("__shares", F.col(own)["shares"])
+    average = F.array(*[F.expr(f"CAST(sum(__shares[{b}]) div count(1) AS INT)") for b in range(BUCKETS)])
+    averages = checkpointed(said.groupBy(F.col("__of").alias("of_lang")).agg(average.alias("average")))
+    vectors = _directions(rows, averages, lang, own, "__vector").where("__vector is not null").select(F.col(doc_id).alias("vec_id"), F.col("__vector").alias("embedding"))
+    found, _, folder = centroids.means(vectors, topics, ROUNDS, BUCKETS, 1)
+    removed(rows.sparkSession, folder)
+    return Topics(averages, found)
+
+
+def _nearest(found: np.ndarray):
+    """A column function: the name of the topic that a vector is nearest to."""
+
+    @F.pandas_udf(T.StringType())
+    def topic(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in vectors:
+            said, out = batch.notna().to_numpy(), np.full(len(batch), OTHER_TOPIC, object)
+            if said.any():
+                places = centroids.squared(np.stack(batch[said].to_list()), found).argmin(axis=1)
+                out[said] = [f"topic{place}" for place in places]
+            yield pd.Series(out)
+
+    return topic
+
+
+def narrowed(docs: DataFrame, text: str = "text", prefix: str = "mix_") -> DataFrame:
+    """``docs`` with what mixing needs of their texts instead of these, computed once and kept; what is worked out of it doesn't read texts."""
+    return checkpointed(docs.withColumn(f"{prefix}features", features(text)).drop(text))
+
+
+def described(docs: DataFrame, text: str = "text", named: Column | None = None, prefix: str = "mix_", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with their source, lang, topic and tokens behind the prefix, and narrow rows of the same; ``named`` is the caller's topic, else topics are learned. ``docs`` may be ``narrowed``."""
+    blank, own = F.lit(""), f"{prefix}features"
+    source, lang = F.coalesce("source", blank), F.coalesce("lang", blank)
+    marked = docs if own in docs.columns else docs.withColumn(own, features(text))
+
+    def whole(rows: DataFrame, topic: Column) -> DataFrame:
+        made = {"source": source, "lang": lang, "topic": topic, "tokens": F.col(own)["tokens"]}
+        return rows.withColumns({prefix + name: column for name, column in made.items()}).drop(own, "__vector")
+
+    if named is not None:
+        made = whole(marked, F.coalesce(named, blank))
+        return made, made
+    narrow = docs if own in docs.columns else checkpointed(marked.select(doc_id, "source", "lang", own))
+    model = learned(narrow, lang, own, doc_id)
+    if not len(model.centroids):
+        return whole(marked, F.lit(OTHER_TOPIC)), whole(narrow, F.lit(OTHER_TOPIC))
+    topic = _nearest(model.centroids)(F.col("__vector"))
+    return whole(_directions(marked, model.averages, lang, own, "__vector"), topic), whole(_directions(narrow, model.averages, lang, own, "__vector"), topic)
 
 
 def _aimed(cells: DataFrame, targets: Targets) -> DataFrame:
@@ -236,12 +322,12 @@ def _logged(rows: DataFrame) -> None:
 
 
 def calibrated(
-    docs: DataFrame, targets: Targets = POWERS, text: str = "text", rate: float = RATE, named: Column | None = None, prefix: str = "mix_"
+    docs: DataFrame, targets: Targets = POWERS, text: str = "text", rate: float = RATE, named: Column | None = None, prefix: str = "mix_", doc_id: str = "doc_id"
 ) -> DataFrame:
     """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens and mix_probability (``mix_`` is the ``prefix``)."""
-    marked = described(docs, text, named, prefix)
+    marked, narrow = described(docs, text, named, prefix, doc_id)
     names = {f"{prefix}{name}": name for name in DIMENSIONS}
-    cells = marked.groupBy(*names).agg(F.sum(f"{prefix}tokens").alias("tokens")).withColumnsRenamed(names)
+    cells = narrow.groupBy(*names).agg(F.sum(f"{prefix}tokens").alias("tokens")).withColumnsRenamed(names)
     raked = rake(cells.where("tokens > 0"), targets, rate)
     chance = f"{prefix}probability"
     ratio = F.col("weight") / F.col("tokens")
@@ -255,7 +341,7 @@ def sample(
 ) -> DataFrame:
     """The rows of ``calibrated`` whose hash falls below their probability."""
     salted = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return calibrated(docs, targets, text, rate, named, prefix).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col(f"{prefix}probability"))
+    return calibrated(docs, targets, text, rate, named, prefix, doc_id).where((hash_number(salted, 13) / F.lit(float(1 << 52))) < F.col(f"{prefix}probability"))
 
 
 def oracle() -> str:
@@ -281,9 +367,13 @@ def oracle() -> str:
     return f"""
 WITH RECURSIVE x AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda w: w <> '') AS words, len(words)::BIGINT AS n_tokens FROM documents),
-     v AS (SELECT word FROM (SELECT unnest(list_distinct(words)) AS word FROM x) WHERE length(word) >= {LETTERS} GROUP BY 1 HAVING count(*) * {RARE} <= (SELECT count(*) FROM x) ORDER BY count(*) DESC, word LIMIT {TOPICS}),
-     o AS (SELECT row, arg_min(word, row(-n, word)) AS topic FROM (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM x) JOIN v USING (word) GROUP BY ALL) GROUP BY 1),
-     d AS (SELECT doc_id, source, lang, coalesce(topic, '{OTHER_TOPIC}') AS topic, n_tokens FROM x LEFT JOIN o USING (row)),
+     sh AS MATERIALIZED (SELECT row, doc_id, lang, list_transform(range({BUCKETS}), lambda b: len(list_filter(codes, lambda c: c = b)) * {WHOLE_SHARE} // n_tokens) AS y
+           FROM (SELECT row, doc_id, lang, n_tokens, list_transform(words, lambda w: ('0x' || substr(md5(w), 1, 2))::INT % {BUCKETS}) AS codes FROM x WHERE n_tokens > 0)),
+     av AS (SELECT lang, list(m ORDER BY pos) AS m FROM (SELECT lang, pos, sum(y)::BIGINT // count(*) AS m FROM (SELECT lang, unnest(y) AS y, generate_subscripts(y, 1) AS pos FROM sh) GROUP BY ALL) GROUP BY lang),
+     df AS (SELECT row, doc_id, list_transform(range(1, {BUCKETS} + 1), lambda b: (y[b] - m[b])::DOUBLE) AS off FROM sh JOIN av USING (lang)),
+     k AS MATERIALIZED (SELECT row, doc_id AS vec_id, list_transform(off, lambda o: coalesce(floor({LENGTH}::DOUBLE * o / nullif(sqrt(list_inner_product(off, off)), 0)), 0)) AS v FROM df),
+     {centroids.oracle_rounds(TOPICS, ROUNDS)},
+     d AS (SELECT x.doc_id, source, lang, coalesce('topic' || cluster, '{OTHER_TOPIC}') AS topic, n_tokens FROM x LEFT JOIN a{ROUNDS} USING (row)),
      c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
      total AS (SELECT sum(tokens) AS t FROM c)
 {goals}, free AS (SELECT 0 AS step, source, lang, topic, tokens, {named}, tokens / t AS weight FROM c{cells}, total

@@ -35,7 +35,8 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.sample(dealt_table(spark, sf_dir, "documents"))
+    docs = dealt_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    drawn = mixing.sample(mixing.narrowed(docs))
     named = {name: F.col(f"mix_{name}") for name in mixing.DIMENSIONS}
     return drawn.select(
         "doc_id", *[column.alias(name) for name, column in named.items()], F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability")

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,14 +49,51 @@ def test_all_three_marginals_of_documents_are_met(spark):
         assert len(rows) > 1 and all(row["kept"] / total == pytest.approx(row["own"] ** power / whole, abs=1e-6) for row in rows)
 
 
-def test_topics(spark):
-    rows = [(k, f"common {'alpha ' * (k % 40 == 0)}{'alpha gamma gamma ' * (k % 40 == 1)}{'beta gamma ' * (k % 40 == 2)} a b", "en", "s", k) for k in range(400)] + [(400, None, None, None, 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag long")
-    assert mixing.topic_words(docs) == ["alpha", "gamma", "beta"]
-    found = {row["doc_id"]: row["mix_topic"] for row in mixing.described(docs).collect()}
-    assert [found[k] for k in (0, 1, 2, 3, 400)] == ["alpha", "gamma", "beta", "other", "other"]
-    named = mixing.described(docs, named=F.when(F.col("tag") % 2 == 0, "even"), prefix="own_")
+def test_topics_of_made_up_subjects(spark):
+    """Texts that take their words from one subject share a topic, in whatever language and of whatever length; the languages' common words don't matter."""
+    rng, rows = random.Random(7), []
+    subjects = [[f"s{n}w{k}" for k in range(12)] for n in range(4)]
+    common = {lang: [f"{lang}{k}" for k in range(30)] for lang in ("en", "de")}
+    for k in range(600):
+        lang, subject = ("en", "de")[k % 2], k // 2 % 4
+        n = rng.randrange(40, 200)
+        rows.append((k, " ".join(rng.choice(subjects[subject] if rng.random() < 0.5 else common[lang]) for _ in range(n)), lang, "s", subject))
+    docs = spark.createDataFrame([*rows, (600, None, "en", "s", 9), (601, " \n", "en", "s", 9)], "doc_id long, text string, lang string, source string, subject int")
+    made = mixing.described(docs)[0].groupBy("mix_topic", "subject", "lang").count().collect()
+    assert {row["subject"] for row in made if row["mix_topic"] == mixing.OTHER_TOPIC} == {9}
+    of_topic = {}
+    for row in made:
+        of_topic.setdefault(row["mix_topic"], []).append((row["count"], row["subject"], row["lang"]))
+    pure = sum(sum(n for n, subject, _ in some if subject == max(some)[1]) for some in of_topic.values())
+    assert pure > 0.95 * 602 and all({lang for _, subject, lang in some if subject == max(some)[1]} >= {"en", "de"} for topic, some in of_topic.items() if topic != mixing.OTHER_TOPIC and sum(n for n, *_ in some) > 20)
+
+
+def test_features_against_plain_counting(spark, odd_documents):
+    for row in odd_documents.select("text", mixing.features("text").alias("made")).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", row["text"] or "")
+        buckets = [hashlib.md5(word.encode()).digest()[0] % mixing.BUCKETS for word in words]
+        assert row["made"]["tokens"] == len(words)
+        assert row["made"]["shares"] == [buckets.count(b) * mixing.WHOLE_SHARE // max(1, len(words)) for b in range(mixing.BUCKETS)]
+
+
+def test_topics_spread_over_documents_and_languages(spark):
+    docs = spark.read.parquet(str(TESTDATA / "sf0.01/documents.parquet"))
+    made = mixing.described(docs)[0].groupBy("mix_lang", "mix_topic").count().collect()
+    total = sum(row["count"] for row in made)
+    assert sum(row["count"] for row in made if row["mix_topic"] == mixing.OTHER_TOPIC) < 0.1 * total
+    for lang in {row["mix_lang"] for row in made}:
+        own = [row["count"] for row in made if row["mix_lang"] == lang]
+        assert len(own) >= 6 and max(own) < 0.6 * sum(own)
+
+
+def test_callers_topic_and_narrow_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = mixing.described(docs, named=F.when(F.col("doc_id") % 2 == 0, "even"), prefix="own_")[0]
     assert {row["own_topic"] for row in named.collect()} == {"even", ""} and "mix_topic" not in named.columns
+    names = ["doc_id", *(f"mix_{name}" for name in mixing.DIMENSIONS), "mix_tokens", "mix_probability"]
+    texts = lambda df: sorted(map(repr, df.select(names).collect()))
+    whole, narrow = mixing.sample(docs), mixing.sample(mixing.narrowed(docs))
+    assert texts(whole) == texts(narrow) and "text" not in narrow.columns and set(docs.columns) <= set(whole.columns)
 
 
 def test_repeated_rows_and_categories_without_a_target(spark):
