@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.aggregates import Ladder, mean_absolute_change
 from barloom.operators import bars
-from barloom.operators.joins import lookup_join
+from barloom.operators.joins import hot_join, lookup_join
 from barloom.operators.numbering import as_of_join, range_join
 from barloom.operators.statistics import percentiles
 from barloom.plans.bars import hours
@@ -181,6 +181,15 @@ def rel_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), (F.round(F.sum("o_totalprice"), 2) + F.lit(0.0)).alias("total"))
 
 
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (value > mean) AS above FROM events JOIN (SELECT event_type, avg(value) AS mean FROM events GROUP BY event_type) USING (event_type) GROUP BY user_id""")
+def rel_hot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events that lie above their type's mean, by a join on event types, each of which holds much of the table."""
+    events = load(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    above = F.count_if(F.col("value") > F.col("mean"))
+    return hot_join(events, means, ["event_type"], share=0.05, salts=16).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), above.alias("above"))
+
+
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part)
 SELECT p_partkey, len(words) AS n, list_contains(words, words[1]) AS has_first, array_to_string(list_sort(words), '-') AS sorted, array_to_string(list_reverse(words), ' ') AS reversed,
 list_sum(list_transform(words, lambda x: length(x)))::BIGINT AS letters, len(list_filter(words, lambda x: length(x) > 4)) AS long_words, array_to_string(words[1:2], '+') AS first_two,

@@ -12,7 +12,7 @@ from barloom.plans.registry import AGGREGATES, DAYS, TICKS, query, rounded, show
 from barloom.sources.shared import checkpointed, removed, shared_dir
 from barloom.sources.tables import load
 from barloom.streaming import bars as streams
-from barloom.streaming import figures
+from barloom.streaming import figures, revisions
 
 
 @query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
@@ -53,14 +53,38 @@ def stream_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz")), "vwap")
 
 
+#: Rows of a file that a part of a stream is written to.
+FILE_ROWS = 1_000_000
+
+
+def _written(spark: SparkSession, parts: list[DataFrame], path: str) -> int:
+    """Writes parts one after another, each as equally many files, and returns how many: what one batch of a stream takes."""
+    sizes = [part.count() for part in parts]
+    files = max(1, min(min(sizes), max(sizes) // FILE_ROWS + 1))
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(f"{path}/events.parquet")
+    return files
+
+
 @query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in three batches, the last of which brings the first day's once more: too late, so they change nothing."""
     events, path = load(spark, sf_dir, "events"), f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     middle = F.col("ts") < F.lit(first + (last - first) / 2)
-    for part in (events.where(middle), events.where(~middle), events.where(F.col("ts") < F.lit(first + dt.timedelta(days=1)))):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
-    made = checkpointed(streams.completed(streams.stream_bars(streams.tick_stream(spark, path, files_per_batch=1), "1 day", "10 minutes")))
+    files = _written(spark, [events.where(middle), events.where(~middle), events.where(F.col("ts") < F.lit(first + dt.timedelta(days=1)))], path)
+    made = checkpointed(streams.completed(streams.stream_bars(streams.tick_stream(spark, path, files_per_batch=files), "1 day", "10 minutes")))
     removed(spark, path)
     return made
+
+
+@query(f"{DAYS} SELECT * FROM b")
+def stream_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event of the first half comes last of all: the bars that it belongs to are revised."""
+    events, path = load(spark, sf_dir, "events"), f"{shared_dir(spark)}/revised-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    early, late = F.col("ts") < F.lit(first + (last - first) / 2), F.col("event_id") % 5 == 0
+    files = _written(spark, [events.where(early & ~late), events.where(~early), events.where(early & late)], path)
+    made = revisions.revised_bars(streams.tick_stream(spark, path, files_per_batch=files), "1 day", "60 days")
+    removed(spark, path)
+    return made.drop("version")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.bars import COLUMNS, _aggregates
 from barloom.operators.indicators import ema_step, smoothed
-from barloom.sources.shared import shared_dir
+from barloom.sources.shared import checkpointed, removed, shared_dir
 from barloom.sources.tables import load
 
 
@@ -84,12 +84,18 @@ def _smoothed(stream: Smoothed, folder: str) -> DataFrame:
 def completed(stream: DataFrame | Smoothed, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input at hand, written to the shared folder and read back.
 
-    In complete mode each batch holds the whole result, and the last batch's is returned.
+    In complete mode each batch holds the whole result, and the last batch's is returned. What the run needed
+    is deleted then; the result itself is a checkpoint.
     """
     spark = (stream.ticks if isinstance(stream, Smoothed) else stream).sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if isinstance(stream, Smoothed):
-        return _smoothed(stream, folder)
+    made = checkpointed(_smoothed(stream, folder) if isinstance(stream, Smoothed) else _run(stream, mode, folder))
+    removed(spark, folder)
+    return made
+
+
+def _run(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()

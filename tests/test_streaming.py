@@ -1,13 +1,18 @@
 """Streams over several batches, late ticks, and state."""
 
+import datetime as dt
+from pathlib import Path
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import bars
+from barloom.plans.queries import queries
+from barloom.sources.shared import shared_dir
 from barloom.sources.tables import event_ticks
 from barloom.streaming import bars as streams
-from barloom.streaming import figures
+from barloom.streaming import figures, revisions
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +119,26 @@ def test_figures_stand_until_their_time_is_over(spark, tmp_path):
 def test_figures_of_no_ticks(spark, sf_dir, tmp_path):
     pd.read_parquet(f"{sf_dir}/events.parquet").head(0).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet", index=False)
     assert figures.running_figures(streams.tick_stream(spark, str(tmp_path))).collect() == []
+
+
+def ticks_of(spark, rows):
+    return spark.createDataFrame([("a", dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc), seq, price, 1.0) for seq, (day, hour, price) in enumerate(rows)], "sym string, ts timestamp, seq long, price double, qty double")
+
+
+def test_late_ticks_revise_bars_until_they_are_closed(spark, tmp_path):
+    """A late tick changes its bar's open, close and low; a batch that is run twice changes nothing; a tick behind the time to live is dropped."""
+    batches = [ticks_of(spark, [(1, 10, 5.0), (1, 12, 7.0)]), ticks_of(spark, [(2, 1, 6.0)]), ticks_of(spark, [(1, 9, 4.0), (1, 23, 9.0)]), ticks_of(spark, [(9, 0, 1.0)]), ticks_of(spark, [(1, 11, 100.0), (9, 5, 2.0)])]
+    work = revisions.revise("1 day", "3 days", str(tmp_path))
+    for number, batch in enumerate(batches):
+        for _ in range(1 + (number in (2, 4))):
+            work(batch, number)
+    rows = {row["bar_ts"].day: tuple(row)[2:] for row in revisions.latest(str(tmp_path), batches[0], len(batches)).collect()}
+    assert rows == {1: (4.0, 9.0, 4.0, 9.0, 4.0, 4, 2), 2: (6.0, 6.0, 6.0, 6.0, 1.0, 1, 1), 9: (1.0, 2.0, 1.0, 2.0, 2.0, 2, 4)}
+
+
+def test_streams_leave_no_folders(spark, sf_dir):
+    before = {path.name for path in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    queries()["stream_ema"](spark, sf_dir).count()
+    queries()["stream_bars_complete"](spark, sf_dir).count()
+    left = {path.name for path in Path(shared_dir(spark).removeprefix("file:")).iterdir()} - before
+    assert not [name for name in left if name.startswith("stream-")]
