@@ -12,7 +12,7 @@ from barloom.plans.registry import AGGREGATES, DAYS, TICKS, query, rounded, show
 from barloom.sources.shared import checkpointed, removed, shared_dir
 from barloom.sources.tables import load
 from barloom.streaming import bars as streams
-from barloom.streaming import figures, revisions
+from barloom.streaming import brackets, figures, revisions
 
 
 @query(f"{DAYS} SELECT * FROM b WHERE bar_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
@@ -88,3 +88,13 @@ def stream_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = revisions.revised_bars(streams.tick_stream(spark, path, files_per_batch=files), "1 day", "60 days")
     removed(spark, path)
     return made.drop("version")
+
+
+@query(f"""{NUMBERED_TICKS}, l AS (SELECT e.sym, e.rn, e.ts AS t_in, e.price AS price_in, x.rn AS xrn, x.ts, x.price, x.price <= e.price * (1 - 0.3::DOUBLE) AS stopped, x.price >= e.price * (1 + 0.1::DOUBLE) AS reached
+FROM n e JOIN n x ON x.sym = e.sym AND x.rn BETWEEN e.rn + 1 AND e.rn + 4 WHERE e.price > 120), f AS (SELECT sym, rn, coalesce(min(xrn) FILTER (stopped OR reached), max(xrn)) AS at_rn FROM l GROUP BY ALL),
+d AS (SELECT l.*, CASE WHEN stopped THEN 'stop' WHEN reached THEN 'target' WHEN xrn = l.rn + 4 THEN 'time' END AS reason FROM l JOIN f ON f.sym = l.sym AND f.rn = l.rn AND f.at_rn = xrn)
+SELECT sym, t_in, {shown('price_in')}, ts AS t_out, reason, {shown(ret="CASE reason WHEN 'stop' THEN price_in * (1 - 0.3::DOUBLE) WHEN 'target' THEN price_in * (1 + 0.1::DOUBLE) ELSE price END / price_in - 1")}
+FROM d WHERE reason IS NOT NULL AND (epoch_us(ts) + 3599999999) // 3600000000 * 3600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""")
+def stream_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades that begin with a high tick and end by a stop, a target or the fourth tick behind it, out of lists and timers of keyed state."""
+    return rounded(brackets.ended_trades(streams.tick_stream(spark, sf_dir), F.col("price") > 120, 0.3, 0.1, 4, "10 minutes"))

@@ -24,8 +24,9 @@ PARTS = 8
 #: Milliseconds of a month.
 MONTH = 30 * 24 * 3_600_000
 STATE = "ticks long, qty double, worth double, high double, low double, at long, seq long, last double"
-CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+#: What keyed state of one's own needs.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+CONF = STATE_STORE | {
     # state of the clock's time asks for batches without data for ever, and a run over the input at hand would not end
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -79,7 +80,7 @@ def standing(rows: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _session(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+def session_with(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     """The session with ``conf`` for the time of a query's start and run."""
     before = {key: spark.conf.get(key, None) for key in conf}
     try:
@@ -93,5 +94,5 @@ def _session(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 
 def running_figures(ticks: DataFrame, live: int = MONTH, parts: int = PARTS) -> DataFrame:
     """What a stream's symbols come to when all the input at hand has been read."""
-    with _session(ticks.sparkSession, CONF):
+    with session_with(ticks.sparkSession, CONF):
         return standing(completed(stream_figures(ticks, live, parts)))

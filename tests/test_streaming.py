@@ -1,8 +1,10 @@
 """Streams over several batches, late ticks, and state."""
 
 import datetime as dt
+import os
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from barloom.plans.queries import queries
 from barloom.sources.shared import shared_dir
 from barloom.sources.tables import event_ticks
 from barloom.streaming import bars as streams
-from barloom.streaming import figures, revisions
+from barloom.streaming import brackets, figures, revisions
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +144,34 @@ def test_streams_leave_no_folders(spark, sf_dir):
     queries()["stream_bars_complete"](spark, sf_dir).count()
     left = {path.name for path in Path(shared_dir(spark).removeprefix("file:")).iterdir()} - before
     assert not [name for name in left if name.startswith("stream-")]
+
+
+def brackets_by_hand(ticks, stop, target, longest):
+    """(t_in, reason, t_out) of (time, price, enter) in order."""
+    out = []
+    for k, (at, paid, enter) in enumerate(ticks):
+        later = ticks[k + 1 : k + 1 + longest] if enter else []
+        hit = next(((j, "stop" if p <= paid * (1 - stop) else "target") for j, (_, p, _) in enumerate(later) if p <= paid * (1 - stop) or p >= paid * (1 + target)), None)
+        if hit:
+            out.append((at, hit[1], later[hit[0]][0]))
+        elif enter and len(later) == longest:
+            out.append((at, "time", later[-1][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cuts", [[], [100], [40, 80, 120, 160]])
+def test_brackets_do_not_depend_on_batches(spark, tmp_path, cuts):
+    """Ticks in any split into batches, the ticks of a batch in any order, and trades that go on from batch to batch."""
+    rng = np.random.default_rng(9)
+    start, prices = dt.datetime(2024, 1, 1), 100 * np.exp(np.cumsum(rng.normal(0, 0.05, 200)))
+    events = pd.DataFrame({"event_id": range(200), "ts": [start + dt.timedelta(minutes=7 * k) for k in range(200)], "user_id": 1, "event_type": "a", "value": prices, "props": "{}"})
+    (tmp_path / "events.parquet").mkdir()
+    for number, (a, b) in enumerate(zip([0, *cuts], [*cuts, 200], strict=True)):
+        events.iloc[rng.permutation(np.arange(a, b))].to_parquet(tmp_path / "events.parquet" / f"part-{number}.parquet", coerce_timestamps="us", index=False)
+        os.utime(tmp_path / "events.parquet" / f"part-{number}.parquet", (1_700_000_000 + number, 1_700_000_000 + number))
+    stream = streams.tick_stream(spark, str(tmp_path), files_per_batch=1)
+    found = brackets.ended_trades(stream, F.col("seq") % 3 == 0, 0.1, 0.15, 12, "10 minutes").collect()
+    closed = start + dt.timedelta(minutes=7 * 199 - 10)
+    hour_end = lambda at: start + -(-(at - start) // dt.timedelta(hours=1)) * dt.timedelta(hours=1)
+    want = [row for row in brackets_by_hand([(start + dt.timedelta(minutes=7 * k), prices[k], k % 3 == 0) for k in range(200)], 0.1, 0.15, 12) if hour_end(row[2]) <= closed]
+    assert sorted((row["t_in"], row["reason"], row["t_out"]) for row in found) == want and {row[1] for row in want} == {"stop", "target", "time"}
