@@ -63,7 +63,7 @@ GATHERED, BROADCAST_CELLS = 200_000, 20_000
 TOPICS, BUCKETS, WHOLE_SHARE, LENGTH, ROUNDS = 12, 64, 4096, 1024, 3
 OTHER_TOPIC = "other"
 #: Words whose bucket a worker remembers, and languages whose averages are broadcast at most.
-REMEMBERED, BROADCAST_LANGUAGES = 500_000, 10_000
+REMEMBERED, BROADCAST_LANGUAGES = 50_000, 10_000
 
 _BLANK = r"[\x20\x09-\x0D]"
 
