@@ -3,8 +3,8 @@
 Headers (id, URL, payload digest, size) are folded by digest and id and then shuffled by digest; the
 smallest id of equal payloads is the original response and every other record becomes a revisit of it.
 What was decided goes back to the pages by id: through a broadcast while it is at most
-``BROADCAST_REVISITS`` rows, so that no payload leaves its task, else through a join in which each page
-moves once by its own id. A join of headers with a very common digest is for Spark to split (adaptive
+``BROADCAST_REVISITS`` rows. Beyond that a Bloom filter of the repeated digests, whose size is bounded, is broadcast instead: a page that
+it excludes is a response and stays in its task, and only the others are joined by their own id. A join of headers with a very common digest is for Spark to split (adaptive
 skew join): both of its sides are shuffled for it alone.
 
 Archives hold one gzip member a record, behind a member with their ``warcinfo``, so each record can be
@@ -36,16 +36,21 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.util import broadcast_up_to, fields
+from barloom.llm.util import fields
 from barloom.sources.shared import checkpointed, removed, shared_dir
 
 ARCHIVE_BYTES = 32 << 20
 #: So many decided headers (about 150 bytes each) are broadcast at most.
 BROADCAST_REVISITS = 100_000
+#: Bits of a filter of digests at most (16 MB), and the bits that a digest sets.
+FILTER_BITS, PROBES = 1 << 27, 4
+DECISIONS = ("refers_to", "refers_url", "named", "repeated")
 #: Files that are renamed at a time.
 RENAMED = 32
 LEVEL = 6
@@ -86,14 +91,61 @@ def decided(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
+def _numbers(digest: str) -> list[Column]:
+    """Two numbers of 40 bits out of a digest in base32."""
+    plain = F.translate(digest, BASE32, DIGITS)
+    return [F.conv(F.substring(plain, at, 8), 32, 10).cast("long") for at in (1, 9)]
+
+
+def _places(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(first + k * second) % bits for k in range(PROBES)]
+
+
+class DigestFilter:
+    """A Bloom filter of digests, of at most ``FILTER_BITS`` bits however many there are: beyond that it lets more through."""
+
+    def __init__(self, digests: DataFrame, count: int):
+        self.bits = min(FILTER_BITS, 1 << max(16, (10 * count).bit_length()))
+        first, second = _numbers("payload_digest")
+        places = F.array(*[F.pmod(first + k * second, F.lit(self.bits)) for k in range(PROBES)])
+        words = digests.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 31 AS INT))")).alias("bits"))
+        self.words = np.zeros(self.bits // 32, np.uint32)
+        found = words.toPandas()  # a row for 32 bits of the filter at most
+        self.words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+
+    def holds(self, spark: SparkSession, digest: str) -> Column:
+        """Whether a digest may be among them; false is certain."""
+        shared, bits = spark.sparkContext.broadcast(self.words), self.bits
+
+        @F.pandas_udf(T.BooleanType())
+        def may(first: pd.Series, second: pd.Series) -> pd.Series:
+            places = _places(first.to_numpy(np.int64), second.to_numpy(np.int64), bits)
+            return pd.Series(np.logical_and.reduce([(shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 for place in places]).astype(bool))
+
+        return may(*_numbers(digest))
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url, named, repeated) of every page; revisits have no payload."""
-    payload = F.coalesce(html, F.lit(""))
+    payload, spark = F.coalesce(html, F.lit("")), pages.sparkSession
     full = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))}
     )
-    found = broadcast_up_to(checkpointed(decided(full.drop("payload"), min_bytes)), BROADCAST_REVISITS).withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
-    met = full.join(found, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
+    found = checkpointed(decided(full.drop("payload"), min_bytes))
+    count = found.count()
+    renamed = found.withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
+    if count <= BROADCAST_REVISITS:
+        return _resolved(full, F.broadcast(renamed))
+    marked = full.withColumn("__may", DigestFilter(found.select("payload_digest").distinct(), count).holds(spark, "payload_digest"))
+    alone = marked.where(~F.col("__may")).drop("__may").withColumns({name: F.lit(None).cast(found.schema[name].dataType) for name in renamed.columns if name in DECISIONS})
+    return _resolved(marked.where("__may").drop("__may"), renamed).unionByName(_records(alone))
+
+
+def _resolved(full: DataFrame, found: DataFrame) -> DataFrame:
+    return _records(full.join(found, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left"))
+
+
+def _records(met: DataFrame) -> DataFrame:
     revisit = F.col("refers_to").isNotNull()
     return met.select(
         "page_id", "url", F.when(~revisit, F.col("payload").cast("binary")).alias("payload"), "payload_bytes", "payload_digest",

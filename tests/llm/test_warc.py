@@ -94,6 +94,31 @@ def test_only_headers_are_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_pages_alone_with_their_payload_stay_in_their_task(spark, monkeypatch):
+    """Beyond the broadcast a filter of bounded size tells them: only pages that it lets through enter an exchange, and results are the same."""
+    pages = spark.createDataFrame([(k, f"u{k}", f"text {k if k % 4 else k % 40}") for k in range(2000)], PAGES)
+    want = sorted(map(repr, warc.resolve(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    moved = []
+    original = warc._resolved
+    monkeypatch.setattr(warc, "_resolved", lambda full, found: (moved.append(full.count()), original(full, found))[1])
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(warc, "FILTER_BITS", bits)
+        made = warc.resolve(pages)
+        assert sorted(map(repr, made.collect())) == want
+    repeated = 500
+    assert repeated <= moved[0] < repeated + 20 and moved[1] > moved[0]
+
+
+def test_filters_of_digests(spark):
+    digests = spark.range(5000).select(warc.payload_digest(F.col("id").cast("string")).alias("payload_digest"))
+    known = digests.limit(2500)
+    made = warc.DigestFilter(known, 2500)
+    found = digests.select("payload_digest", made.holds(spark, "payload_digest").alias("may")).collect()
+    inside = {row["payload_digest"] for row in known.collect()}
+    assert all(row["may"] for row in found if row["payload_digest"] in inside) and sum(row["may"] for row in found) < 2600
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError, match="no record"):
         list(warc.parse(io.BytesIO(b"junk\r\n")))
