@@ -113,6 +113,28 @@ def test_long_tables_and_open_ended_units():
     assert (found["streams"], found["bad_tables"], found["payload"], found["units"]) == (60, 0, b"open", [(0, 77, True)])
 
 
+def sliced(stream: bytes) -> tuple[bytes, int, list[int]]:
+    """(payload, units, the offsets of random access) of a whole stream, by cutting it at its headers alone."""
+    units, points = [], []
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47
+        body = packet[4:]
+        if packet[3] & 0x20:
+            flags, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+        else:
+            flags = b""
+        if (packet[1] & 0x1F) << 8 | packet[2] != media.ES_PID:
+            continue
+        if packet[1] & 0x40:
+            if flags and flags[0] & 0x40:
+                points.append(len(units))
+            units.append(b"")
+        units[-1] += body
+    payloads = [unit[9 + unit[8] :] for unit in units]
+    return b"".join(payloads), len(units), [sum(map(len, payloads[:k])) for k in points]
+
+
 def test_query_against_plain_python(spark, sf_dir):
     texts = {row["doc_id"]: row["text"] for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op1_transport_stream(spark, sf_dir).collect()
@@ -124,6 +146,11 @@ def test_query_against_plain_python(spark, sf_dir):
         assert row["payload_sha256"] == hashlib.sha256(padded).hexdigest() and row["tail_crc32"] == zlib.crc32(padded[-16:])
         stream = media.mux(padded)
         assert (row["media_bytes"], row["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        payload, units, points = sliced(stream)
+        assert payload == padded
+        assert row["feature"] == (
+            f"programs=1;streams=1;packets={len(stream) // 188};units={units};pts=0..{(units - 1) * media.TICKS};random_access={','.join(map(str, points))};skipped=0;gaps=0"
+        )
 
 
 def test_odd_documents(odd_documents, no_documents):
