@@ -26,12 +26,13 @@ def bucket_of(ts: str | Column, every: str) -> Column:
     return F.window(ts, every)["start"]
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "row") -> DataFrame:
-    """``df`` with each row's number within ``keys`` from 1; ``bucket`` must not fall as ``order`` rises."""
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "row", total: str | None = None) -> DataFrame:
+    """``df`` with each row's number within ``keys`` from 1, and as ``total`` how many there are; ``bucket`` must not fall as ``order`` rises."""
     marked = df.withColumn("__bucket", bucket)
     sizes = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    whole = [] if total is None else [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)]
+    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), *whole)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     return marked.join(offsets, [*keys, "__bucket"]).withColumn(name, F.row_number().over(inside) + F.col("__before")).drop("__bucket", "__before")
 

@@ -51,10 +51,10 @@ def ranked(df: DataFrame, value: str, names: dict[str, str], keys: Sequence[str]
     return df.join(figures, met([*keys, value], "__of")).select(*[name for name in df.columns if name not in names], *names)
 
 
-def numbered(df: DataFrame, keys: Sequence[str] = ("sym",), ts: str = "bar_ts", name: str = "row") -> DataFrame:
-    """``df`` with each row's number in time within ``keys``, from 1, worked out in buckets of time; null keys are keys like any other."""
+def numbered(df: DataFrame, keys: Sequence[str] = ("sym",), ts: str = "bar_ts", name: str = "row", total: str | None = None) -> DataFrame:
+    """``df`` with each row's number in time within ``keys``, from 1, and as ``total`` how many there are, worked out in buckets of time; null keys are keys like any other."""
     whole = df.withColumn("__keys", F.struct(*keys))
-    return row_numbers(whole, ["__keys"], [ts], bucket(ts), name).drop("__keys", "__n")
+    return row_numbers(whole, ["__keys"], [ts], bucket(ts), name, total).drop("__keys")
 
 
 def tile(row: Column, rows: Column, tiles: int) -> Column:
@@ -67,8 +67,7 @@ def tile(row: Column, rows: Column, tiles: int) -> Column:
 
 def with_tiles(df: DataFrame, tiles: int, name: str = "tile", keys: Sequence[str] = ("sym",), ts: str = "bar_ts") -> DataFrame:
     """``df`` with ``name``: each series in time, cut into equal parts from 1."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all")).withColumnsRenamed({key: f"{key}__of" for key in keys})
-    made = numbered(df, keys, ts, "__row").join(broadcast_up_to(checkpointed(counts), BROADCAST_KEYS), met(keys, "__of"))
+    made = numbered(df, keys, ts, "__row", "__all")
     return made.withColumn(name, tile(F.col("__row"), F.col("__all"), tiles)).select(*[column for column in df.columns if column != name], name)
 
 
