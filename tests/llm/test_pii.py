@@ -1,7 +1,6 @@
 import datetime as dt
 import ipaddress
 import re
-import zlib
 from collections import Counter
 
 import pytest
