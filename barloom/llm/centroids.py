@@ -178,15 +178,17 @@ def means(
     centroids = first_centroids(rows, k, scale, seed).reshape(-1, components)
     n, width = centroids.shape
     folder = f"{shared_dir(spark)}/means-{uuid.uuid4().hex}"
-    blocks = rows.mapInArrow(_packed(scale, components), BLOCKS)
+    pack, blocks = _packed(scale, components), None
     for number in range(rounds if n else 0):
-        blocks.mapInArrow(_round(centroids), BLOCKS).write.parquet(f"{folder}/{number}")
+        assign = _round(centroids)
+        made = blocks.mapInArrow(assign, BLOCKS) if blocks is not None else rows.mapInArrow(lambda batches, assign=assign: assign(pack(batches)), BLOCKS)
+        made.write.parquet(f"{folder}/{number}")
         blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/{number}")
         if number:
             removed(spark, f"{folder}/{number - 1}")
         counts, sums = _added(blocks, "counts", n), _added(blocks, "sums", n * width)
         centroids = np.array([[sums[c * width + at] // counts[c] for at in range(width)] if counts[c] else centroids[c] for c in range(n)], np.int64)
-    return centroids, blocks, folder
+    return centroids, rows.mapInArrow(pack, BLOCKS) if blocks is None else blocks, folder
 
 
 def sort_means(vectors: DataFrame, *args: int | str, **kwargs: int | str) -> tuple[DataFrame, np.ndarray]:

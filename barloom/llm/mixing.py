@@ -84,21 +84,30 @@ def token_count(text: str = "text") -> Column:
 FEATURES = fields(tokens="long", shares=T.ArrayType(T.IntegerType()))
 
 
+class _Counter:
+    """Counts a text's words and the share of each bucket in them; a worker remembers some words' buckets."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
+        words, known = (text or "").encode().split(), self.known  # of bytes, which splits at ASCII's blanks alone
+        if not words:
+            return 0, np.zeros(BUCKETS, np.int32)
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word in {*words}.difference(known):
+            known[word] = hashlib.md5(word).digest()[0] % BUCKETS
+        counts = np.bincount([known[word] for word in words], minlength=BUCKETS)
+        return len(words), (counts * WHOLE_SHARE // len(words)).astype(np.int32)
+
+
 @F.pandas_udf(FEATURES)
 def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The number of a text's words, and the share of each bucket in them."""
-    known: dict[bytes, int] = {}
+    count = _Counter()
     for batch in texts:
-        made = []
-        for text in batch:
-            words = (text or "").encode().split()  # of bytes, which splits at ASCII's blanks alone
-            for word in {*words}.difference(known):
-                known[word] = hashlib.md5(word).digest()[0] % BUCKETS
-            counts = np.bincount([known[word] for word in words], minlength=BUCKETS) if words else np.zeros(BUCKETS, np.int64)
-            made.append((len(words), (counts * WHOLE_SHARE // max(1, len(words))).astype(np.int32)))
-            if len(known) > REMEMBERED:
-                known.clear()
-        yield pd.DataFrame(made, columns=FEATURES.names)
+        yield pd.DataFrame([count(text) for text in batch], columns=FEATURES.names)
 
 
 class Topics(NamedTuple):
@@ -108,24 +117,24 @@ class Topics(NamedTuple):
     centroids: np.ndarray
 
 
+def _differing(shares: list, averages: list) -> np.ndarray:
+    """How shares differ from averages, as integers of about one length."""
+    off = (np.stack(shares).astype(np.int64) - np.stack(averages)).astype(np.float64)
+    length = np.sqrt((off * off).sum(axis=1, keepdims=True))
+    return np.floor(np.divide(LENGTH * off, length, out=np.zeros_like(off), where=length > 0)).astype(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def direction(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """How shares differ from an average, as integers of about one length; null without words."""
-    for tokens, shares, averages in rows:
-        said, out = tokens.to_numpy() > 0, [None] * len(tokens)
-        if said.any():
-            off = (np.stack(shares[said].to_list()).astype(np.int64) - np.stack(averages[said].to_list())).astype(np.float64)
-            length = np.sqrt((off * off).sum(axis=1, keepdims=True))
-            made = np.floor(np.divide(LENGTH * off, length, out=np.zeros_like(off), where=length > 0)).astype(np.int64)
-            for place, row in zip(np.flatnonzero(said), made, strict=True):
-                out[place] = row
-        yield pd.Series(out, dtype=object)
-
-
-def _directions(rows: DataFrame, averages: DataFrame, lang: Column, own: str, name: str) -> DataFrame:
-    """``rows`` with ``name``, their ``direction`` from their language's average."""
+def direction(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How each row's shares differ from its average."""
+    for shares, averages in rows:
+        yield pd.Series(list(_differing(shares.to_list(), averages.to_list())) if len(shares) else [], dtype=object)
+
+
+def _with_average(rows: DataFrame, averages: DataFrame, lang: Column) -> DataFrame:
+    """``rows`` with their language's ``__average``."""
     met = rows.withColumn("__lang", lang).join(broadcast_up_to(averages, BROADCAST_LANGUAGES), F.col("__lang") == F.col("of_lang"), "left")
-    return met.withColumn(name, direction(F.col(own)["tokens"], F.col(own)["shares"], F.col("average"))).drop("__lang", "of_lang", "average")
+    return met.withColumn("__average", F.col("average")).drop("__lang", "of_lang", "average")
 
 
 def learned(rows: DataFrame, lang: Column, own: str, doc_id: str, topics: int = TOPICS) -> Topics:
@@ -133,27 +142,47 @@ def learned(rows: DataFrame, lang: Column, own: str, doc_id: str, topics: int =
     said = rows.where(F.col(own)["tokens"] > 0).withColumn("__of", lang).withColumn("__shares", F.col(own)["shares"])
     average = F.array(*[F.expr(f"CAST(sum(__shares[{b}]) div count(1) AS INT)") for b in range(BUCKETS)])
     averages = checkpointed(said.groupBy(F.col("__of").alias("of_lang")).agg(average.alias("average")))
-    vectors = _directions(rows, averages, lang, own, "__vector").where("__vector is not null").select(F.col(doc_id).alias("vec_id"), F.col("__vector").alias("embedding"))
+    met = _with_average(rows.where(F.col(own)["tokens"] > 0), averages, lang)
+    vectors = met.select(F.col(doc_id).alias("vec_id"), direction(F.col(own)["shares"], F.col("__average")).alias("embedding"))
     found, _, folder = centroids.means(vectors, topics, ROUNDS, BUCKETS, 1)
     removed(rows.sparkSession, folder)
     return Topics(averages, found)
 
 
-def _nearest(found: np.ndarray):
-    """A column function: the name of the topic that a vector is nearest to."""
+def _topics(tokens: np.ndarray, shares: list, averages: list, found: np.ndarray) -> list[str]:
+    """The names of the topics that rows are nearest to."""
+    out, said = [OTHER_TOPIC] * len(tokens), np.flatnonzero(tokens > 0)
+    if len(said):
+        places = centroids.squared(_differing([shares[k] for k in said], [averages[k] for k in said]), found).argmin(axis=1)
+        for k, place in zip(said, places, strict=True):
+            out[k] = f"topic{place}"
+    return out
+
+
+def _named(found: np.ndarray):
+    """A column function of tokens, shares and averages: the name of the topic."""
 
     @F.pandas_udf(T.StringType())
-    def topic(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in vectors:
-            said, out = batch.notna().to_numpy(), np.full(len(batch), OTHER_TOPIC, object)
-            if said.any():
-                places = centroids.squared(np.stack(batch[said].to_list()), found).argmin(axis=1)
-                out[said] = [f"topic{place}" for place in places]
-            yield pd.Series(out)
+    def topic(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for tokens, shares, averages in rows:
+            yield pd.Series(_topics(tokens.to_numpy(), shares.to_list(), averages.to_list(), found), dtype=object)
 
     return topic
 
 
+def _told(found: np.ndarray):
+    """A column function of texts and averages: the number of words and the name of the topic, in one pass through a worker."""
+
+    @F.pandas_udf(fields(tokens="long", topic="string"))
+    def told(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        count = _Counter()
+        for texts, averages in rows:
+            tokens, shares = zip(*[count(text) for text in texts], strict=True) if len(texts) else ((), ())
+            yield pd.DataFrame({"tokens": tokens, "topic": _topics(np.array(tokens, np.int64), list(shares), averages.to_list(), found)}).astype({"tokens": "int64"})
+
+    return told
+
+
 def narrowed(docs: DataFrame, text: str = "text", prefix: str = "mix_") -> DataFrame:
     """``docs`` with what mixing needs of their texts instead of these, computed once and kept; what is worked out of it doesn't read texts."""
     return checkpointed(docs.withColumn(f"{prefix}features", features(text)).drop(text))
@@ -163,21 +192,24 @@ def described(docs: DataFrame, text: str = "text", named: Column | None = None,
     """``docs`` with their source, lang, topic and tokens behind the prefix, and narrow rows of the same; ``named`` is the caller's topic, else topics are learned. ``docs`` may be ``narrowed``."""
     blank, own = F.lit(""), f"{prefix}features"
     source, lang = F.coalesce("source", blank), F.coalesce("lang", blank)
-    marked = docs if own in docs.columns else docs.withColumn(own, features(text))
 
-    def whole(rows: DataFrame, topic: Column) -> DataFrame:
+    def whole(rows: DataFrame, topic: Column, *gone: str) -> DataFrame:
         made = {"source": source, "lang": lang, "topic": topic, "tokens": F.col(own)["tokens"]}
-        return rows.withColumns({prefix + name: column for name, column in made.items()}).drop(own, "__vector")
+        return rows.withColumns({prefix + name: column for name, column in made.items()}).drop(own, *gone)
 
     if named is not None:
-        made = whole(marked, F.coalesce(named, blank))
+        made = whole(docs if own in docs.columns else docs.withColumn(own, features(text)), F.coalesce(named, blank))
         return made, made
-    narrow = docs if own in docs.columns else checkpointed(marked.select(doc_id, "source", "lang", own))
+    is_narrow = own in docs.columns
+    narrow = docs if is_narrow else checkpointed(docs.select(doc_id, "source", "lang", features(text).alias(own)))
     model = learned(narrow, lang, own, doc_id)
-    if not len(model.centroids):
-        return whole(marked, F.lit(OTHER_TOPIC)), whole(narrow, F.lit(OTHER_TOPIC))
-    topic = _nearest(model.centroids)(F.col("__vector"))
-    return whole(_directions(marked, model.averages, lang, own, "__vector"), topic), whole(_directions(narrow, model.averages, lang, own, "__vector"), topic)
+    found = model.centroids if len(model.centroids) else np.zeros((1, BUCKETS), np.int64)  # without a word there is nothing to be near to
+    near = _with_average(narrow, model.averages, lang)
+    made = whole(near, _named(found)(F.col(own)["tokens"], F.col(own)["shares"], F.col("__average")), "__average")
+    if is_narrow:
+        return made, made
+    told = _with_average(docs, model.averages, lang).withColumn(own, _told(found)(F.col(text), F.col("__average")))
+    return whole(told, F.col(own)["topic"], "__average"), made
 
 
 def _aimed(cells: DataFrame, targets: Targets) -> DataFrame:
