@@ -37,6 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +109,7 @@ def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     count = _Counter()
     for batch in texts:
         yield pd.DataFrame([count(text) for text in batch], columns=FEATURES.names)
+    pa.default_memory_pool().release_unused()  # a worker goes on to other work
 
 
 class Topics(NamedTuple):
@@ -179,6 +181,7 @@ def _told(found: np.ndarray):
         for texts, averages in rows:
             tokens, shares = zip(*[count(text) for text in texts], strict=True) if len(texts) else ((), ())
             yield pd.DataFrame({"tokens": tokens, "topic": _topics(np.array(tokens, np.int64), list(shares), averages.to_list(), found)}).astype({"tokens": "int64"})
+        pa.default_memory_pool().release_unused()
 
     return told
 
