@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.aggregates import Ladder, mean_absolute_change
 from barloom.operators import bars
-from barloom.operators.joins import hot_join, lookup_join
+from barloom.operators.joins import BROADCAST_ROWS, broadcast_up_to, hot_join, lookup_join
 from barloom.operators.numbering import as_of_join, range_join
 from barloom.operators.statistics import percentiles
 from barloom.plans.bars import hours
@@ -89,17 +89,22 @@ def rel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, true AS users_near, true AS med_near FROM events GROUP BY event_type")
 def rel_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches held against exact figures: distinct users within three standard errors, the median's rank within the sketch's accuracy."""
+    """Sketches held against exact figures: distinct users within three standard errors, the median's rank within the sketch's accuracy.
+
+    Users are counted exactly apart from the sketches: in one aggregation every pair of an event type and a user would have sketches of its own.
+    """
     events, error, accuracy = load(spark, sf_dir, "events"), 0.02, 1000
     made = events.groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", error).alias("users"), F.approx_percentile("value", 0.5, accuracy).alias("med"), F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("exact"),
+        F.approx_count_distinct("user_id", error).alias("users"), F.approx_percentile("value", 0.5, accuracy).alias("med"), F.count(F.lit(1)).alias("n"), F.count("value").alias("values"),
     )
+    exact = events.select(F.col("event_type").alias("kind"), "user_id").distinct().groupBy("kind").agg(F.count("user_id").alias("exact"))
     below, until = F.count_if(F.col("value") < F.col("med")), F.count_if(F.col("value") <= F.col("med"))
-    ranks = lookup_join(events, made.select("event_type", "med"), ["event_type"]).groupBy("event_type").agg(below.alias("below"), until.alias("until"))
-    off = F.col("n") / accuracy + 1
-    return made.join(ranks, "event_type").select(
+    known = broadcast_up_to(made.select(F.col("event_type").alias("of"), "med"), BROADCAST_ROWS)
+    ranks = events.join(known, F.col("event_type").eqNullSafe(F.col("of"))).groupBy("of").agg(below.alias("below"), until.alias("until"))
+    half, off = F.col("values") / 2, F.col("values") / accuracy + 1
+    return made.join(exact, F.col("event_type").eqNullSafe(F.col("kind"))).join(ranks, F.col("event_type").eqNullSafe(F.col("of"))).select(
         "event_type", "n", (F.abs(F.col("users") - F.col("exact")) <= 3 * error * F.col("exact")).alias("users_near"),
-        ((F.col("below") <= F.col("n") / 2 + off) & (F.col("until") >= F.col("n") / 2 - off)).alias("med_near"),
+        ((F.col("below") <= half + off) & (F.col("until") >= half - off)).alias("med_near"),
     )
 
 

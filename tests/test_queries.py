@@ -1,10 +1,13 @@
 """Every registered query of the library against its SQL, and the entry module."""
 
+import re
+
 import pytest
 
 import __spark_entry__
 from barloom.plans import queries
 from tests.compare import assert_same
+from tests.conftest import views
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
@@ -39,3 +42,14 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir, partitions):
             assert sorted(map(repr, queries.queries()[name](spark, sf_dir).collect())) == before[name]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_sketches_are_one_an_event_type(spark, tmp_path):
+    """No pair of an event type and a user has sketches of its own; rows without a type are a type too, and null values have no rank."""
+    rows = [(k, ("a", "b", None)[k % 3], k % 7 if k % 5 else None, float(k) if k % 2 else None) for k in range(300)] + [(300, "nothing", None, None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    made = queries.queries()["rel_approximate"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("approx_percentile" in line for line in plan)
+    assert not [line for line in plan if "approx" in line and re.search(r"keys=\[[^\]]*user_id", line)]
+    assert_same(made, views(str(tmp_path)).execute(queries.oracle_sql()["rel_approximate"]))
