@@ -126,11 +126,11 @@ def _differing(shares: list, averages: list) -> np.ndarray:
     return np.floor(np.divide(LENGTH * off, length, out=np.zeros_like(off), where=length > 0)).astype(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.ShortType()))
 def direction(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """How each row's shares differ from its average."""
     for shares, averages in rows:
-        yield pd.Series(list(_differing(shares.to_list(), averages.to_list())) if len(shares) else [], dtype=object)
+        yield pd.Series(list(_differing(shares.to_list(), averages.to_list()).astype(np.int16)) if len(shares) else [], dtype=object)
 
 
 def _with_average(rows: DataFrame, averages: DataFrame, lang: Column) -> DataFrame:
@@ -145,7 +145,8 @@ def learned(rows: DataFrame, lang: Column, own: str, doc_id: str, topics: int =
     average = F.array(*[F.expr(f"CAST(sum(__shares[{b}]) div count(1) AS INT)") for b in range(BUCKETS)])
     averages = checkpointed(said.groupBy(F.col("__of").alias("of_lang")).agg(average.alias("average")))
     met = _with_average(rows.where(F.col(own)["tokens"] > 0), averages, lang)
-    vectors = met.select(F.col(doc_id).alias("vec_id"), direction(F.col(own)["shares"], F.col("__average")).alias("embedding"))
+    # kept, as sort-means is a Python step too: two in a task take a worker each, and all workers stay with the executor and take turns later
+    vectors = checkpointed(met.select(F.col(doc_id).alias("vec_id"), direction(F.col(own)["shares"], F.col("__average")).alias("embedding")))
     found, _, folder = centroids.means(vectors, topics, ROUNDS, BUCKETS, 1)
     removed(rows.sparkSession, folder)
     return Topics(averages, found)

@@ -141,3 +141,12 @@ def test_a_tiny_cell_does_not_set_the_scale(spark):
     old, new = langs(mixing.calibrated(docs)), langs(made)
     assert set(before) == set(after)
     assert all(new[k] / sum(new.values()) == pytest.approx(old[k] / sum(old.values()), rel=0.02) for k in old)
+
+
+def test_learning_topics_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Sort-means, a Python step, reads vectors that are kept: what another Python step makes as it reads takes a second worker, which stays."""
+    plans, means = [], mixing.centroids.means
+    monkeypatch.setattr(mixing.centroids, "means", lambda vectors, *args: plans.append(vectors._jdf.queryExecution().executedPlan().toString()) or means(vectors, *args))
+    docs = spark.createDataFrame([(k, f"a{k % 3} b{k % 5} c{k}", "en", "web") for k in range(20)], "doc_id long, text string, lang string, source string")
+    mixing.sample(docs).collect()
+    assert len(plans) == 1 and "EvalPython" not in plans[0]
