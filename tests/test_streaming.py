@@ -175,3 +175,44 @@ def test_brackets_do_not_depend_on_batches(spark, tmp_path, cuts):
     hour_end = lambda at: start + -(-(at - start) // dt.timedelta(hours=1)) * dt.timedelta(hours=1)
     want = [row for row in brackets_by_hand([(start + dt.timedelta(minutes=7 * k), prices[k], k % 3 == 0) for k in range(200)], 0.1, 0.15, 12) if hour_end(row[2]) <= closed]
     assert sorted((row["t_in"], row["reason"], row["t_out"]) for row in found) == want and {row[1] for row in want} == {"stop", "target", "time"}
+
+
+class Held:
+    """A state of any kind in memory, and its handle, that count the calls that change them."""
+
+    def __init__(self):
+        self.values, self.timers, self.written = {}, [], 0
+
+    def getMapState(self, *_):
+        return Held()
+
+    getListState = getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def get(self):
+        return self.values.get("own")
+
+    def getValue(self, key):
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.values[key], self.written = value, self.written + 1
+
+    def update(self, value):
+        self.updateValue("own", value)
+
+    def appendList(self, values):
+        self.written += len(values)
+
+
+def test_brackets_keep_blocks_and_one_timer():
+    """However many ticks and hours a batch has, they wait as one block under one timer."""
+    made, handle = brackets.Brackets(0.1, 0.1, 3), Held()
+    made.init(handle)
+    ticks = pd.DataFrame({"at": [k * 600_000_000 for k in range(3000)], "seq": range(3000), "price": 1.0, "enter": True})
+    list(made.handleInputRows(("a",), iter([ticks[2000:], ticks[:2000]]), None))
+    assert handle.timers == [0]
+    held, blocks = made.waiting()
+    assert held["seq"].tolist() == [*range(3000)] and blocks == made.blocks.written == 2
